@@ -196,3 +196,15 @@ def own_rows(df: DataFrame) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def materialize(df: DataFrame, enabled: bool = True) -> DataFrame:
+    """Cut lineage at a stage boundary with a reliable checkpoint into the shared
+    folder named by ``spark.checkpoint.dir``. The carry steps reference their
+    input twice (rows + edge table), so long chains would otherwise grow the plan
+    geometrically; a checkpoint also bounds recomputation after executor loss."""
+    if not enabled:
+        return df
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -44,7 +44,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder. A cluster names it in
-    ``spark.checkpoint.dir``; only when that is unset (local tests) do we make one."""
+    ``spark.checkpoint.dir`` and that folder is used as is; only when the setting
+    is unset (local tests, a bare local session) is a folder made here."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         spark.sparkContext.setCheckpointDir(conf_dir)
