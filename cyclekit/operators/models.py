@@ -49,7 +49,7 @@ def make_pipeline(features: list[str], label: str, params: GBTParams = GBTParams
                        minInstancesPerNode=params.min_instances_per_node, seed=params.seed,
                        maxBins=params.max_bins, lossType="squared")
     if validation_col:
-        gbt = gbt.setValidationIndicatorCol(validation_col).setValidationTol(params.validation_tol)
+        gbt = gbt.setParams(validationIndicatorCol=validation_col, validationTol=params.validation_tol)
     return Pipeline(stages=[assembler, gbt])
 
 

@@ -95,15 +95,19 @@ def with_halo(df: DataFrame, spec: SeriesSpec, before: int = 0, after: int = 0)
     previous block and the first ``after`` rows of the next block. One pass:
     each row is exploded into itself and at most two copies."""
     p = spec.block_rows
-    if before > p or after > p:
-        raise ValueError("halo larger than a block")
-    lp = F.pmod(F.col(POS) - 1, F.lit(p))
-    copies = [F.struct(F.col(BLK).alias("b"), F.lit(True).alias("o"))]
-    if before:
-        copies.append(F.when(lp >= p - before, F.struct((F.col(BLK) + 1).alias("b"), F.lit(False).alias("o"))))
-    if after:
-        copies.append(F.when((lp < after) & (F.col(BLK) > 0),
-                             F.struct((F.col(BLK) - 1).alias("b"), F.lit(False).alias("o"))))
+    i = F.col(POS) - 1                      # 0-based index in the key
+    blk = F.col(BLK)
+    copies = [F.struct(blk.alias("b"), F.lit(True).alias("o"))]
+    # a row is copied into block b+j when it lies within ``before`` rows of that
+    # block's first row (and into b-j when within ``after`` rows of its last);
+    # with blocks larger than the halo only j = 1 can apply.
+    for j in range(1, -(-before // p) + 1 if before else 1):
+        start = (blk + j) * p
+        copies.append(F.when(start - i <= before, F.struct((blk + j).alias("b"), F.lit(False).alias("o"))))
+    for j in range(1, -(-after // p) + 1 if after else 1):
+        end = (blk - j + 1) * p - 1
+        copies.append(F.when((blk - j >= 0) & (i - end <= after),
+                             F.struct((blk - j).alias("b"), F.lit(False).alias("o"))))
     arr = F.filter(F.array(*copies), lambda x: x.isNotNull())
     cols = [c for c in df.columns if c != BLK]
     return (df.select(*cols, F.explode(arr).alias("_h"))

@@ -91,9 +91,9 @@ def q_audit_append(spark, sf):
         F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), F.col("event_id").cast("string")), 256)
         .alias("request_id"), F.col("user_id").cast("string").alias("reactor"), "elapsed_time", "t_signal",
         "should_continue", "was_clamped", "mode", F.col("ts").alias("timestamp"))
-    append_audit(d, path, batch_id=0)
-    append_audit(d, path, batch_id=0)   # a replayed batch: must not duplicate rows
-    back = spark.read.parquet(path)
+    append_audit(d, path, batch_id=0, partition_by=("date",))
+    append_audit(d, path, batch_id=0, partition_by=("date",))   # a replayed batch: must not duplicate rows
+    back = spark.read.parquet(path).withColumn("reactor", F.col("reactor").cast("string"))
     return back.select("request_id", "reactor", "elapsed_time", "t_signal", "should_continue", "was_clamped",
                        "mode", "timestamp")
 
@@ -226,11 +226,11 @@ def q_control_stream(spark, sf):
 
 
 @register("feature_stream", with_chain("replayed") + f"""SELECT CAST(user_id AS VARCHAR) AS reactor, event_id AS seq,
-  {R6('nh4_diff')}, {R6('nh4_rolling_mean')}, t_signal FROM replayed""")
+  {R6('nh4_diff')}, {R6('nh4_rolling_mean')} FROM replayed""")
 def q_feature_stream(spark, sf):
     out = run_stream(spark, control_events(spark, sf, drop_features=True), ST.control_stream, "features")
     return out.filter(F.col("event_kind") == "tick").select("reactor", "seq", r6("nh4_diff"),
-                                                            r6("nh4_rolling_mean"), "t_signal")
+                                                            r6("nh4_rolling_mean"))
 
 
 def _validate_sql() -> str:
@@ -243,13 +243,13 @@ def _validate_sql() -> str:
     parts.append("CASE WHEN event_kind = 'tick' AND (elapsed_time IS NULL OR elapsed_time % 10 <> 0) "
                  "THEN 'elapsed_time_step' END")
     arr = "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
-    return with_chain("replayed") + f""", ev AS (
+    return with_chain("replayed") + f""", cev AS (
   SELECT 'tick' AS event_kind, event_id AS seq, CAST(user_id AS VARCHAR) AS reactor, elapsed_time, nh4, no3, ph,
     temp, current_r, hour_sin, hour_cos, weekday FROM replayed
   UNION ALL SELECT 'start', event_id, CAST(user_id AS VARCHAR), 0, nh4, no3, ph, temp, current_r, hour_sin,
     hour_cos, weekday FROM replayed WHERE elapsed_time = 0)
 SELECT event_kind, seq, reactor, array_to_string(v, ',') AS violations, len(v) = 0 AS is_valid
-FROM (SELECT *, {arr} AS v FROM ev)"""
+FROM (SELECT *, {arr} AS v FROM cev)"""
 
 
 @register("validate_stream", _validate_sql())

@@ -33,7 +33,8 @@ def append_audit(df: DataFrame, path: str, batch_id: int | None = None,
             done = False
         if done:
             return
-    d.write.mode("append").partitionBy(*partition_by).parquet(path)
+    # one writer per partition folder instead of one small file per task and folder
+    d.repartition(*partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def upsert_metrics(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("section", "metric"),
