@@ -1,7 +1,7 @@
 """Cycles: on-flag, run segmentation and per-cycle tables (P8-P11, W1-W4, W11, W16, A1, SO2)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import threshold_flag_col
@@ -89,8 +89,11 @@ def longest_cycle(cycles: DataFrame, keys: list[str], n_col: str, start_col: str
     d = cycles
     if pred_col is not None and min_pred is not None:
         d = d.filter(F.col(pred_col) >= F.lit(min_pred))
-    w = Window.partitionBy(*keys).orderBy(F.col(n_col).desc(), F.col(start_col).asc())
-    return d.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    # grouped min over (-n, start, row): partial aggregation, no window over a key's cycles
+    payload = [c for c in d.columns if c not in keys]
+    best = d.groupBy(*keys).agg(F.min(F.struct((-F.col(n_col)).alias("_n"), F.col(start_col).alias("_s"),
+                                                F.struct(*payload).alias("_row"))).alias("_m"))
+    return best.select(*keys, "_m._row.*")
 
 
 __all__ = ["add_flag", "cycle_columns", "active_rows", "cycle_starts", "split_by_time", "split_label",

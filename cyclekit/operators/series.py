@@ -131,18 +131,28 @@ def block_scan(df: DataFrame, spec: SeriesSpec, sums: dict[str, Column] | None =
     def tagged(c: Column) -> Column:
         return F.when(c.isNotNull(), F.struct(F.col(POS).alias("p"), c.alias("v")))
 
-    local, edge_aggs = [], []
+    def at(c: Column) -> Column:
+        return F.when(c.isNotNull(), F.col(POS))
+
+    # edge aggregates use fixed-width buffers (max/min of the position, max_by /
+    # min_by of the value) so the partial aggregation is hash-based, not a sort
+    local, edge_aggs, edge_structs = [], [], []
     for out, c in sums.items():
         local.append(F.sum(c).over(upto).alias(f"_ls_{out}"))
         edge_aggs.append(F.sum(c).alias(f"_es_{out}"))
     for out, c in lasts.items():
         local.append(F.max(tagged(c)).over(upto).alias(f"_ll_{out}"))
-        edge_aggs.append(F.max(tagged(c)).alias(f"_el_{out}"))
+        edge_aggs += [F.max(at(c)).alias(f"_elp_{out}"), F.max_by(c, at(c)).alias(f"_elv_{out}")]
+        edge_structs.append(F.when(F.col(f"_elp_{out}").isNotNull(), F.struct(
+            F.col(f"_elp_{out}").alias("p"), F.col(f"_elv_{out}").alias("v"))).alias(f"_el_{out}"))
     for out, c in nexts.items():
         local.append(F.min(tagged(c)).over(onward).alias(f"_ln_{out}"))
-        edge_aggs.append(F.min(tagged(c)).alias(f"_en_{out}"))
+        edge_aggs += [F.min(at(c)).alias(f"_enp_{out}"), F.min_by(c, at(c)).alias(f"_env_{out}")]
+        edge_structs.append(F.when(F.col(f"_enp_{out}").isNotNull(), F.struct(
+            F.col(f"_enp_{out}").alias("p"), F.col(f"_env_{out}").alias("v"))).alias(f"_en_{out}"))
 
     edge = df.groupBy(*keys, BLK).agg(*edge_aggs)
+    edge = edge.select(*keys, BLK, *[f"_es_{o}" for o in sums], *edge_structs)
     prior = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(1, Window.unboundedFollowing)
     carry = [*keys, BLK]
@@ -203,12 +213,20 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def materialize(df: DataFrame, enabled: bool = True) -> DataFrame:
-    """Cut lineage at a stage boundary with a reliable checkpoint into the shared
-    folder named by ``spark.checkpoint.dir``. The carry steps reference their
-    input twice (rows + edge table), so long chains would otherwise grow the plan
-    geometrically; a checkpoint also bounds recomputation after executor loss."""
+    """Cut lineage at a stage boundary: write the frame once as a Parquet table in
+    a fresh folder under the shared ``spark.checkpoint.dir`` and read it back.
+
+    The carry steps reference their input twice (rows + edge table), so long
+    chains would otherwise grow the plan geometrically. The written table also
+    bounds recomputation after executor loss, and later reads of it get column
+    pruning and filter pushdown. (An eager ``Dataset.checkpoint()`` of an
+    unpersisted plan would compute it twice: once to count, once to save.)"""
     if not enabled:
         return df
+    import uuid
+
     from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

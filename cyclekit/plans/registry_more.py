@@ -135,14 +135,19 @@ def q_cycle_model(spark, sf):
 @register("feature_importance")
 def q_importance(spark, sf):
     model, _ = _start_model(spark, sf)
-    return models.feature_importance(model, START_FEATS, spark)
+    path = scratch_path(spark, "importance")
+    write_features(models.feature_importance(model, START_FEATS, spark), path)   # IO5
+    return spark.read.parquet(path)
 
 
 @register("permutation_importance")
 def q_permutation(spark, sf):
     model, d = _start_model(spark, sf)
     sample = models.sample_n(d.filter(F.col("split") == "test"), ["user_id", "event_id"], 1000)
-    return models.permutation_importance(model, sample, START_FEATS, "cycle_runtime", ["user_id", "event_id"])
+    path = scratch_path(spark, "permutation")
+    write_features(models.permutation_importance(model, sample, START_FEATS, "cycle_runtime",
+                                                 ["user_id", "event_id"]), path)   # IO5
+    return spark.read.parquet(path)
 
 
 @register("monotone_audit")
@@ -195,10 +200,10 @@ def control_events(spark, sf, drop_features: bool = False) -> DataFrame:
     return starts.unionByName(ticks).select(*[f.name for f in ST.EVENT_SCHEMA.fields])
 
 
-def run_stream(spark, events: DataFrame, transform, tag: str) -> DataFrame:
+def run_stream(spark, events: DataFrame, transform, tag: str, audit: bool = False) -> DataFrame:
     """Write ``events`` as files, stream them through ``transform`` with an
-    availableNow trigger into a Parquet sink (foreachBatch, idempotent), and
-    return the sink as a table."""
+    availableNow trigger into a Parquet sink via foreachBatch (the audit sink of
+    ST4 when ``audit``), and return the sink as a table."""
     src, sink, ckpt = scratch_path(spark, f"{tag}-src"), scratch_path(spark, f"{tag}-sink"), \
         scratch_path(spark, f"{tag}-ckpt")
     events.write.parquet(src)
@@ -207,7 +212,8 @@ def run_stream(spark, events: DataFrame, transform, tag: str) -> DataFrame:
     def sink_batch(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(sink)
 
-    q = (transform(stream).writeStream.foreachBatch(sink_batch)
+    writer = ST.audit_writer(sink, partition_by=("date",)) if audit else sink_batch
+    q = (transform(stream).writeStream.foreachBatch(writer)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(sink)
@@ -219,7 +225,7 @@ TICK_SQL = with_chain("replayed") + """SELECT CAST(user_id AS VARCHAR) AS reacto
 
 @register("control_stream", TICK_SQL)
 def q_control_stream(spark, sf):
-    out = run_stream(spark, control_events(spark, sf), ST.control_stream, "control")
+    out = run_stream(spark, control_events(spark, sf), ST.control_stream, "control", audit=True)
     return out.filter(F.col("event_kind") == "tick").select(
         "reactor", "seq", "elapsed_time", "start_pred", "buffer_fill", "mode", "t_signal", "was_clamped",
         "should_continue")

@@ -180,16 +180,17 @@ def validate_stream(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return v.filter("is_valid"), v.filter("NOT is_valid")
 
 
-def audit_writer(path: str, reactor_col: str = "reactor"):
+def audit_writer(path: str, reactor_col: str = "reactor", partition_by: tuple[str, ...] | None = None):
     """ST4/IO4: foreachBatch sink appending decisions to a partitioned Parquet
     table, idempotent on the batch id (a replayed batch is not written twice)."""
     from ..sources.sinks import append_audit
+    parts = partition_by or (reactor_col, "date")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         d = (batch.withColumn("request_id", F.sha2(F.concat_ws("|", F.col(reactor_col), F.col("seq").cast("string"),
                                                                 F.col("event_kind")), 256))
                   .withColumn("timestamp", F.col("event_time"))
                   .withColumn("date", F.to_date("event_time")))
-        append_audit(d, path, batch_id=batch_id, partition_by=(reactor_col, "date"))
+        append_audit(d, path, batch_id=batch_id, partition_by=parts)
 
     return write
