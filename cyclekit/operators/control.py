@@ -99,36 +99,51 @@ def replay(steps: DataFrame, starts: DataFrame, spec: SeriesSpec, start_pred_col
            checkpoint: bool = True) -> DataFrame:
     """Full batch back-test without a row loop.
 
-    steps:  step table (all rows); on-rows are replayed.
+    steps:  step table (all rows, with the series positions of the build); on-rows
+            are replayed. A cycle starts at every on-row with elapsed = 0.
     starts: start table (one row per cycle start, keyed by spec.keys + start time)
             with the start model's raw prediction in ``start_pred_col`` and the
             cycle's actual runtime in ``cycle_runtime``.
     step_pred: column expression of the step model's prediction for a row.
-    Returns one row per replayed step with signal, mode and clamp flags."""
-    from .cycles import start_counter_id
-    from .series import with_position
 
-    ts = spec.order[0]
-    on = steps.filter(F.col(flag) == 1).drop(POS, "_blk", "run_id", "run_pos", "run_rows")
-    on = with_position(on, spec)
-    on = start_counter_id(on, spec, elapsed=elapsed, out="cycle_no")
-    # buffer state only depends on rows of the same cycle; computing it before
-    # dropping unmatched cycles keeps positions contiguous for the halo.
-    on = materialize(buffer_state(on, spec, cycle="cycle_no", elapsed=elapsed), checkpoint)
+    One halo pass gives the previous row's elapsed; one carry scan gives the
+    cycle number, buffer restarts, the last restart and the cycle's matched start
+    record. Rows of a cycle are contiguous in the series and every cycle start is
+    a restart, so the full series' previous row is the right one wherever it
+    matters. Returns one row per replayed step (cycles without a start record are
+    skipped)."""
+    from .joins import dedupe_first
+    from .series import BLK, ensure_position
+
     keys = list(spec.keys)
+    ts = spec.order[0]
+    d = ensure_position(steps.drop("run_pos", "run_rows"), spec)
+    h = with_halo(d, spec, before=1)
+    d = own_rows(h.withColumn("_pe", F.lag(elapsed).over(block_window(spec))))
+    on = F.col(flag) == 1
+    is_start = on & (F.col(elapsed) == 0)
+    reset = is_start | (on & (F.col(elapsed) < F.col("_pe")))
+    d = d.withColumn("_start", is_start).withColumn("_reset", reset).drop("_pe")
+
     s = starts.select(*keys, F.col(ts).alias("_sts"), *spec.order[1:],
-                      start_floor(start_pred_col).alias("_start_pred"),
-                      F.col("cycle_runtime").alias("_actual"))
-    from .joins import dedupe_first
+                      start_floor(start_pred_col).alias("_start_pred"), F.col("cycle_runtime").alias("_actual"))
     s = dedupe_first(s, keys + ["_sts"], list(spec.order[1:]) or ["_start_pred"])
-    s = s.select(*keys, "_sts", "_start_pred", "_actual")
-    first = on.filter(F.col(elapsed) == 0).select(*keys, POS, F.col(ts).alias("_sts"))
-    matched = first.join(s, on=keys + ["_sts"], how="inner").drop("_sts")
-    d = on.join(matched, on=keys + [POS], how="left")
-    d = carry_start(d, spec, "cycle_no", ["_start_pred", "_actual"])
-    d = d.filter(F.col("_start_pred").isNotNull())
+    first = d.filter(F.col("_start")).select(*keys, BLK, POS, F.col(ts).alias("_sts"))
+    matched = first.join(s.select(*keys, "_sts", "_start_pred", "_actual"), on=keys + ["_sts"]).drop("_sts")
+    d = d.join(matched, on=keys + [BLK, POS], how="left")
+
+    d = block_scan(d, spec,
+                   sums={"cycle_no": F.col("_start").cast("long"), "segment_no": F.col("_reset").cast("long")},
+                   lasts={"_rp": F.when(F.col("_reset"), F.col(POS)),
+                          "_cs": F.when(F.col("_start"), F.col(POS)),
+                          "_st": F.when(F.col("_start_pred").isNotNull(),
+                                        F.struct(F.col("_start_pred").alias("sp"), F.col("_actual").alias("a")))})
+    same = on & (F.col("_st.p") == F.col("_cs.p"))
+    d = (d.filter(same)
+          .withColumn("start_pred", F.col("_st.v.sp")).withColumn("actual_runtime", F.col("_st.v.a"))
+          .withColumn("buffer_fill", F.least(F.lit(WINDOW_SIZE), (F.col(POS) - F.col("_rp.p") + 1).cast("int")))
+          .drop("_rp", "_cs", "_st", "_start", "_reset", "_start_pred", "_actual"))
     d = d.withColumn("step_pred", step_pred)
-    d = d.withColumnRenamed("_start_pred", "start_pred").withColumnRenamed("_actual", "actual_runtime")
     return materialize(signal_columns(d, "start_pred", elapsed, "buffer_fill", "step_pred"), checkpoint)
 
 

@@ -154,16 +154,19 @@ def q_start_counter_id(spark, sf):
 @register("cycle_first_row", with_chain("cno") + """SELECT user_id, cycle_no, arg_min(event_id, opos) AS event_id,
   arg_min(ts, opos) AS ts, round(arg_min(nh4, opos), 6) AS nh4 FROM cno GROUP BY user_id, cycle_no""")
 def q_cycle_first_row(spark, sf):
-    d = _cno(spark, sf)
+    d = _cno(spark, sf).filter(F.col("current_aeration") == 1)
     first = cycles.cycle_first_row(d.select("user_id", "cycle_no", POS, "event_id", "ts", "nh4"),
                                    ["user_id"], "cycle_no", [POS])
     return first.select("user_id", "cycle_no", "event_id", "ts", r6("nh4"))
 
 
 def _cno(spark, sf):
-    on = steps(spark, sf).filter(F.col("current_aeration") == 1).drop(POS, "_blk")
-    on = with_position(on, SPEC)
-    return cycles.start_counter_id(on, SPEC, "elapsed_time", "cycle_no")
+    """Step table with the cycle number of every on-row (null on off-rows), keeping
+    the series positions so later windows can use the block layout directly."""
+    st = steps(spark, sf)
+    on = F.col("current_aeration") == 1
+    d = cycles.start_counter_id(st.withColumn("_e0", F.when(on, F.col("elapsed_time"))), SPEC, "_e0", "cycle_no")
+    return d.withColumn("cycle_no", F.when(on, F.col("cycle_no"))).drop("_e0")
 
 
 # ================================================================ build pieces
@@ -678,6 +681,7 @@ def q_top(spark, sf):
   WHERE len = 7""")
 def q_sliding(spark, sf):
     d = features.sliding_sequences(_cno(spark, sf), SPEC, ["nh4", "elapsed_time"], 7, "cycle_no")
+    d = d.filter(F.col("current_aeration") == 1)
     seq = F.array_join(F.transform("window", lambda s: F.floor(s["nh4"] * 100 + 0.5).cast("long").cast("string")), ",")
     return d.select("user_id", "event_id", "elapsed_time", "T_remaining", seq.alias("seq"))
 

@@ -162,12 +162,13 @@ def q_step_model(spark, sf):
     from ..operators.features import apply_scaler, fit_scaler, sliding_sequences, window_matrix
     from ..operators.series import POS
     from .registry import SCALE_FEATS, _cno
-    on = _cno(spark, sf)
+    full = _cno(spark, sf)
+    on = full.filter(F.col("current_aeration") == 1)
     train_rows = on.filter(F.col("ts") < F.lit(SPLIT_AT).cast("timestamp_ntz"))
     params = fit_scaler(train_rows, SCALE_FEATS)
-    scaled = apply_scaler(on, params, suffix="_z")
+    scaled = apply_scaler(full, params, suffix="_z")
     zcols = [f"{c}_z" for c in SCALE_FEATS]
-    win = sliding_sequences(scaled, SI.SPEC, zcols, 7, "cycle_no")
+    win = sliding_sequences(scaled, SI.SPEC, zcols, 7, "cycle_no").filter(F.col("current_aeration") == 1)
     flat = window_matrix(win, "window", zcols, "flat")
     n = 7 * len(zcols)
     flat = flat.select("user_id", "event_id", "ts", "T_remaining", *[F.col("flat")[i].alias(f"x{i}") for i in range(n)])

@@ -48,3 +48,45 @@ def read_months(spark: SparkSession, month_paths: dict[int, str], fmt: str = "pa
     for d in frames[1:]:
         out = out.unionByName(d, allowMissingColumns=True)
     return out
+
+
+def read_sensor_csv_any_charset(spark: SparkSession, paths: list[str], schema: T.StructType, header_cell: str,
+                                encoding: str = "cp949") -> DataFrame:
+    """IO1 for legacy charsets. Spark 4 refuses cp949 in the CSV reader unless the
+    session sets ``spark.sql.legacy.javaCharsets=true``; with that flag the plain
+    reader is used. Otherwise each file is read as bytes (``binaryFile``; a file is
+    the unit a task reads anyway) and decoded to UTF-8 rows in ``mapInPandas``,
+    then parsed with the same header rule and casts as ``read_sensor_csv``."""
+    legacy = str(spark.conf.get("spark.sql.legacy.javaCharsets", "false")).lower() == "true"
+    if legacy or encoding.lower().replace("-", "") in ("utf8",):
+        return read_sensor_csv(spark, paths, schema, header_cell, encoding)
+    import csv
+    import io
+
+    import pandas as pd
+
+    names = [f.name for f in schema.fields]
+    out_schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names] +
+                              [T.StructField("source_file", T.StringType(), True)])
+
+    def decode(batches):
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                text = bytes(content).decode(encoding, errors="replace")
+                for rec in csv.reader(io.StringIO(text)):
+                    if not rec or rec[0] == header_cell:
+                        continue
+                    rec = (rec + [None] * len(names))[: len(names)]
+                    rows.append([None if v == "" else v for v in rec] + [path.rsplit("/", 1)[-1]])
+            yield pd.DataFrame(rows, columns=names + ["source_file"])
+
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    raw = files.mapInPandas(decode, out_schema)
+    casts = []
+    for f in schema.fields:
+        if isinstance(f.dataType, T.StringType):
+            casts.append(F.col(f.name))
+        else:
+            casts.append(F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name))
+    return raw.select(*casts, "source_file")

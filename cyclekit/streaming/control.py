@@ -162,8 +162,16 @@ def make_processor(step_model: StepModel = standin_step_model,
 
 
 def control_stream(events: DataFrame, step_model: StepModel = standin_step_model,
-                   scaler: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-    """ST1: keyed state per reactor; works on streaming and batch DataFrames."""
+                   scaler: dict[str, tuple[float, float]] | None = None,
+                   dedupe_within: str | None = None) -> DataFrame:
+    """ST1: keyed state per reactor; works on streaming and batch DataFrames.
+
+    The source system appends a repeated tick again (same elapsed); that is the
+    default here. ``dedupe_within`` (a watermark delay such as "30 minutes", on a
+    stream) drops repeated (reactor, kind, event time, elapsed) events first."""
+    if dedupe_within:
+        events = (events.withWatermark("event_time", dedupe_within)
+                  .dropDuplicatesWithinWatermark(["reactor", "event_kind", "event_time", "elapsed_time"]))
     return events.groupBy("reactor").applyInPandasWithState(
         make_processor(step_model, scaler), DECISION_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.NoTimeout)

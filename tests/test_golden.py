@@ -148,3 +148,28 @@ def test_feature_contract():
     assert len(bad.violations()) == 3
     with pytest.raises(ValueError):
         bad.assert_valid()
+
+
+def test_csv_header_and_charset(spark, tmp_path):
+    """IO1: files with and without header, cp949 and UTF-8, both time formats and
+    a bad timestamp (FIXTURES variants)."""
+    from cyclekit.functions.scalar import parse_ts
+    from cyclekit.schema import QUALITY_HEADER, QUALITY_SCHEMA
+    from cyclekit.sources.readers import read_sensor_csv, read_sensor_csv_any_charset
+    body = [["반응조 A", "12월01월20 0:10", "5.5", "", "3.0", "7.1", "18.0"],
+            ["반응조 B", "2020-12-01 00:20:00", "-999", "", "2.0", "7.0", "18.5"],
+            ["반응조 A", "not a time", "4.0", "", "1.0", "6.9", "18.1"]]
+    hdr = ",".join(QUALITY_HEADER[:7])
+    lines = [",".join(r) for r in body]
+    (tmp_path / "u8").mkdir()
+    (tmp_path / "u8" / "with_header.csv").write_text(hdr + "\n" + "\n".join(lines) + "\n", encoding="utf-8")
+    (tmp_path / "u8" / "no_header.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    (tmp_path / "cp").mkdir()
+    (tmp_path / "cp" / "legacy.csv").write_bytes((hdr + "\n" + "\n".join(lines) + "\n").encode("cp949"))
+    d = read_sensor_csv(spark, [str(tmp_path / "u8")], QUALITY_SCHEMA, "계측기명")
+    assert d.count() == 6 and d.filter(F.col("nh4") == -999).count() == 2
+    p = d.select(parse_ts("수집시간").alias("t")).groupBy(F.col("t").isNull().alias("bad")).count().collect()
+    assert {r["bad"]: r["count"] for r in p} == {False: 4, True: 2}
+    c = read_sensor_csv_any_charset(spark, [str(tmp_path / "cp" / "legacy.csv")], QUALITY_SCHEMA, "계측기명")
+    rows = c.orderBy("nh4").collect()
+    assert [r["계측기명"] for r in rows] == ["반응조 B", "반응조 A", "반응조 A"] and rows[2]["nh4"] == 5.5
