@@ -33,6 +33,15 @@ def require_parsed(df: DataFrame, ts: str) -> DataFrame:
     return df
 
 
+def centered_exprs(spec: SeriesSpec, col: str, window: int = NO3_SPIKE_WINDOW, med: str = "_med",
+                   std: str = "_std") -> dict[str, Column]:
+    """W8 columns over a frame with ``window // 2`` halo rows on each side."""
+    half = window // 2
+    w = block_window(spec).rowsBetween(-half, half)
+    return {med: F.percentile(F.col(col), F.lit(0.5)).over(w),
+            std: F.coalesce(F.stddev_samp(F.col(col)).over(w), F.lit(1.0))}
+
+
 def centered_stats(df: DataFrame, spec: SeriesSpec, col: str, window: int = NO3_SPIKE_WINDOW,
                    med: str = "_med", std: str = "_std") -> DataFrame:
     """Centered rolling median and sample std over ``window`` rows (min 1 value);
@@ -40,30 +49,34 @@ def centered_stats(df: DataFrame, spec: SeriesSpec, col: str, window: int = NO3_
     half = window // 2
     df = ensure_position(df, spec)
     h = with_halo(df, spec, before=half, after=half)
-    w = block_window(spec).rowsBetween(-half, half)
-    h = h.withColumn(med, F.percentile(F.col(col), F.lit(0.5)).over(w))
-    h = h.withColumn(std, F.coalesce(F.stddev_samp(F.col(col)).over(w), F.lit(1.0)))
-    return own_rows(h)
+    return own_rows(h.withColumns(centered_exprs(spec, col, window, med, std)))
 
 
-def despike(df: DataFrame, spec: SeriesSpec, col: str = "no3", window: int = NO3_SPIKE_WINDOW,
-            k: float = NO3_SPIKE_STD_THRESHOLD, abs_threshold: float | None = NO3_ABSOLUTE_THRESHOLD) -> DataFrame:
-    """Null where |x - median| > k * std, or x > abs_threshold."""
-    d = centered_stats(df, spec, col, window)
+def despike_finish(df: DataFrame, col: str, k: float = NO3_SPIKE_STD_THRESHOLD,
+                   abs_threshold: float | None = NO3_ABSOLUTE_THRESHOLD) -> DataFrame:
+    """W9 rule on precomputed ``_med``/``_std``: null where |x - median| > k * std
+    or x > abs_threshold."""
     x = F.col(col)
     spike = F.abs(x - F.col("_med")) > F.lit(k) * F.col("_std")
     if abs_threshold is not None:
         spike = spike | (x > F.lit(abs_threshold))
-    return d.withColumn(col, F.when(~F.coalesce(spike, F.lit(False)), x)).drop("_med", "_std")
+    return df.withColumn(col, F.when(~F.coalesce(spike, F.lit(False)), x)).drop("_med", "_std")
 
 
-def interpolate_linear(df: DataFrame, spec: SeriesSpec, cols: list[str]) -> DataFrame:
-    """Linear interpolation by row position inside each key; leading and
-    trailing gaps take the nearest known value."""
-    df = ensure_position(df, spec)
-    s = block_scan(df, spec,
-                   lasts={f"_ip_{c}": F.col(c) for c in cols},
-                   nexts={f"_in_{c}": F.col(c) for c in cols})
+def despike(df: DataFrame, spec: SeriesSpec, col: str = "no3", window: int = NO3_SPIKE_WINDOW,
+            k: float = NO3_SPIKE_STD_THRESHOLD, abs_threshold: float | None = NO3_ABSOLUTE_THRESHOLD) -> DataFrame:
+    """Null where |x - median| > k * std, or x > abs_threshold."""
+    return despike_finish(centered_stats(df, spec, col, window), col, k, abs_threshold)
+
+
+def interp_scan(cols: list[str]) -> tuple[dict, dict]:
+    """``block_scan`` arguments (lasts, nexts) for ``interp_finish``."""
+    return ({f"_ip_{c}": F.col(c) for c in cols}, {f"_in_{c}": F.col(c) for c in cols})
+
+
+def interp_finish(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Linear formula by row position between the carried neighbours; edges take
+    the nearest known value."""
     out = {}
     for c in cols:
         prev, nxt = F.col(f"_ip_{c}"), F.col(f"_in_{c}")
@@ -72,7 +85,15 @@ def interpolate_linear(df: DataFrame, spec: SeriesSpec, cols: list[str]) -> Data
                   .when(prev.isNotNull() & nxt.isNotNull(), slope * (F.col(POS) - prev["p"]) + prev["v"])
                   .when(prev.isNotNull(), prev["v"])
                   .otherwise(nxt["v"]))
-    return s.withColumns(out).drop(*[f"_ip_{c}" for c in cols], *[f"_in_{c}" for c in cols])
+    return df.withColumns(out).drop(*[f"_ip_{c}" for c in cols], *[f"_in_{c}" for c in cols])
+
+
+def interpolate_linear(df: DataFrame, spec: SeriesSpec, cols: list[str]) -> DataFrame:
+    """Linear interpolation by row position inside each key; leading and
+    trailing gaps take the nearest known value."""
+    df = ensure_position(df, spec)
+    lasts, nexts = interp_scan(cols)
+    return interp_finish(block_scan(df, spec, lasts=lasts, nexts=nexts), cols)
 
 
 def impute_ramp(df: DataFrame, ts: str, config: dict[str, tuple[float, float]], month: int,

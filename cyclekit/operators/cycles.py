@@ -14,15 +14,20 @@ def add_flag(df: DataFrame, value_col: str, threshold: float, out: str = "curren
     return df.withColumn(out, threshold_flag_col(value_col, threshold))
 
 
+def cycle_finish(df: DataFrame, flag: str = "current_aeration", step: int = STEP_MINUTES) -> DataFrame:
+    """W2-W4 from run_pos / run_rows: cycle_runtime (run rows x step on on-runs,
+    else 0), elapsed_time (position in run x step x flag), T_remaining."""
+    f = F.col(flag)
+    runtime = F.when(f == 1, F.col("run_rows") * step).otherwise(0).cast("int")
+    elapsed = (F.col("run_pos") * step * f).cast("int")
+    return df.withColumns({"cycle_runtime": runtime, "elapsed_time": elapsed,
+                           "T_remaining": (runtime - elapsed).cast("int")})
+
+
 def cycle_columns(df: DataFrame, spec: SeriesSpec, flag: str = "current_aeration",
                   step: int = STEP_MINUTES) -> DataFrame:
-    """run_id, cycle_runtime (= run rows x step on on-runs, else 0),
-    elapsed_time (= position in run x step x flag), T_remaining."""
-    d = segment_runs(ensure_position(df, spec), spec, flag, prefix="run")
-    f = F.col(flag)
-    return (d.withColumn("cycle_runtime", F.when(f == 1, F.col("run_rows") * step).otherwise(0).cast("int"))
-             .withColumn("elapsed_time", (F.col("run_pos") * step * f).cast("int"))
-             .withColumn("T_remaining", (F.col("cycle_runtime") - F.col("elapsed_time")).cast("int")))
+    """run_id, cycle_runtime, elapsed_time, T_remaining."""
+    return cycle_finish(segment_runs(ensure_position(df, spec), spec, flag, prefix="run"), flag, step)
 
 
 def active_rows(df: DataFrame, flag: str = "current_aeration", runtime: str = "cycle_runtime") -> DataFrame:
@@ -96,5 +101,5 @@ def longest_cycle(cycles: DataFrame, keys: list[str], n_col: str, start_col: str
     return best.select(*keys, "_m._row.*")
 
 
-__all__ = ["add_flag", "cycle_columns", "active_rows", "cycle_starts", "split_by_time", "split_label",
+__all__ = ["add_flag", "cycle_finish", "cycle_columns", "active_rows", "cycle_starts", "split_by_time", "split_label",
            "cycle_summary", "start_counter_id", "cycle_first_row", "longest_cycle", "POS"]

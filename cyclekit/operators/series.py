@@ -97,21 +97,20 @@ def with_halo(df: DataFrame, spec: SeriesSpec, before: int = 0, after: int = 0)
     p = spec.block_rows
     i = F.col(POS) - 1                      # 0-based index in the key
     blk = F.col(BLK)
-    copies = [F.struct(blk.alias("b"), F.lit(True).alias("o"))]
+    copies = [F.struct(blk.alias(BLK), F.lit(True).alias(OWN))]
     # a row is copied into block b+j when it lies within ``before`` rows of that
     # block's first row (and into b-j when within ``after`` rows of its last);
     # with blocks larger than the halo only j = 1 can apply.
     for j in range(1, -(-before // p) + 1 if before else 1):
         start = (blk + j) * p
-        copies.append(F.when(start - i <= before, F.struct((blk + j).alias("b"), F.lit(False).alias("o"))))
+        copies.append(F.when(start - i <= before, F.struct((blk + j).alias(BLK), F.lit(False).alias(OWN))))
     for j in range(1, -(-after // p) + 1 if after else 1):
         end = (blk - j + 1) * p - 1
         copies.append(F.when((blk - j >= 0) & (i - end <= after),
-                             F.struct((blk - j).alias("b"), F.lit(False).alias("o"))))
+                             F.struct((blk - j).alias(BLK), F.lit(False).alias(OWN))))
     arr = F.filter(F.array(*copies), lambda x: x.isNotNull())
     cols = [c for c in df.columns if c != BLK]
-    return (df.select(*cols, F.explode(arr).alias("_h"))
-              .select(*cols, F.col("_h.b").alias(BLK), F.col("_h.o").alias(OWN)))
+    return df.select(*cols, F.inline(arr))
 
 
 def block_scan(df: DataFrame, spec: SeriesSpec, sums: dict[str, Column] | None = None,
@@ -144,59 +143,60 @@ def block_scan(df: DataFrame, spec: SeriesSpec, sums: dict[str, Column] | None =
         local.append(F.max(tagged(c)).over(upto).alias(f"_ll_{out}"))
         edge_aggs += [F.max(at(c)).alias(f"_elp_{out}"), F.max_by(c, at(c)).alias(f"_elv_{out}")]
         edge_structs.append(F.when(F.col(f"_elp_{out}").isNotNull(), F.struct(
-            F.col(f"_elp_{out}").alias("p"), F.col(f"_elv_{out}").alias("v"))).alias(f"_el_{out}"))
+            F.col(f"_elp_{out}").alias("p"), F.col(f"_elv_{out}").alias("v"))))
     for out, c in nexts.items():
         local.append(F.min(tagged(c)).over(onward).alias(f"_ln_{out}"))
         edge_aggs += [F.min(at(c)).alias(f"_enp_{out}"), F.min_by(c, at(c)).alias(f"_env_{out}")]
         edge_structs.append(F.when(F.col(f"_enp_{out}").isNotNull(), F.struct(
-            F.col(f"_enp_{out}").alias("p"), F.col(f"_env_{out}").alias("v"))).alias(f"_en_{out}"))
+            F.col(f"_enp_{out}").alias("p"), F.col(f"_env_{out}").alias("v"))))
 
     edge = df.groupBy(*keys, BLK).agg(*edge_aggs)
-    edge = edge.select(*keys, BLK, *[f"_es_{o}" for o in sums], *edge_structs)
     prior = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(1, Window.unboundedFollowing)
     carry = [*keys, BLK]
     carry += [F.coalesce(F.sum(f"_es_{o}").over(prior), F.lit(0)).alias(f"_cs_{o}") for o in sums]
-    carry += [F.max(f"_el_{o}").over(prior).alias(f"_cl_{o}") for o in lasts]
-    carry += [F.min(f"_en_{o}").over(later).alias(f"_cn_{o}") for o in nexts]
+    carry += [F.max(e).over(prior).alias(f"_cl_{o}") for o, e in zip(lasts, edge_structs[:len(lasts)])]
+    carry += [F.min(e).over(later).alias(f"_cn_{o}") for o, e in zip(nexts, edge_structs[len(lasts):])]
     edge = edge.select(*carry)
 
-    out = df.select("*", *local).join(edge, on=keys + [BLK], how="inner")
-    finals = []
-    for o in sums:
-        finals.append((F.col(f"_ls_{o}") + F.col(f"_cs_{o}")).alias(o))
-    for o in lasts:
-        finals.append(F.coalesce(F.col(f"_ll_{o}"), F.col(f"_cl_{o}")).alias(o))
-    for o in nexts:
-        finals.append(F.coalesce(F.col(f"_ln_{o}"), F.col(f"_cn_{o}")).alias(o))
-    helper = [c for c in out.columns if c[:4] in ("_ls_", "_ll_", "_ln_", "_cs_", "_cl_", "_cn_")]
+    finals = [(F.col(f"_ls_{o}") + F.col(f"_cs_{o}")).alias(o) for o in sums]
+    finals += [F.coalesce(F.col(f"_ll_{o}"), F.col(f"_cl_{o}")).alias(o) for o in lasts]
+    finals += [F.coalesce(F.col(f"_ln_{o}"), F.col(f"_cn_{o}")).alias(o) for o in nexts]
     kept = [c for c in df.columns if c not in set(sums) | set(lasts) | set(nexts)]
-    return out.select(*kept, *finals).drop(*[h for h in helper if h in kept])
+    return df.select("*", *local).join(edge, on=keys + [BLK], how="inner").select(*kept, *finals)
+
+
+def run_boundaries(flag: str, spec: SeriesSpec) -> dict[str, Column]:
+    """Columns marking run starts (``_chg``) and run ends (``_last``); evaluate on
+    a frame with at least one halo row on each side of every block."""
+    w = block_window(spec)
+    f = F.col(flag)
+    chg = (F.col(POS) == 1) | ~F.lag(f).over(w).eqNullSafe(f)
+    last = F.lead(F.col(POS)).over(w).isNull() | ~F.lead(f).over(w).eqNullSafe(f)
+    return {"_chg": chg.cast("long"), "_last": last}
+
+
+def run_scan(prefix: str = "run") -> tuple[dict, dict, dict]:
+    """``block_scan`` arguments (sums, lasts, nexts) that finish a segmentation."""
+    return ({f"{prefix}_id": F.col("_chg")},
+            {"_rs": F.when(F.col("_chg") == 1, F.col(POS))},
+            {"_re": F.when(F.col("_last"), F.col(POS))})
+
+
+def run_finish(df: DataFrame, prefix: str = "run") -> DataFrame:
+    return (df.withColumns({f"{prefix}_pos": F.col(POS) - F.col("_rs.p"),
+                            f"{prefix}_rows": F.col("_re.p") - F.col("_rs.p") + 1})
+              .drop("_rs", "_re", "_chg", "_last"))
 
 
 def segment_runs(df: DataFrame, spec: SeriesSpec, flag: str, prefix: str = "run") -> DataFrame:
     """Gaps-and-islands over the whole key: a run is a maximal stretch of equal
     ``flag`` values. Adds ``{prefix}_id`` (first run = 1), ``{prefix}_pos``
     (0-based position inside the run) and ``{prefix}_rows`` (run length)."""
-    keys = list(spec.keys)
     h = with_halo(df, spec, before=1, after=1)
-    w = block_window(spec)
-    f = F.col(flag)
-    h = (h.withColumn("_pf", F.lag(f).over(w))
-          .withColumn("_np", F.lead(F.col(POS)).over(w))
-          .withColumn("_nf", F.lead(f).over(w))
-          .filter(F.col(OWN)).drop(OWN))
-    chg = (F.col(POS) == 1) | ~F.col("_pf").eqNullSafe(f)
-    last = F.col("_np").isNull() | ~F.col("_nf").eqNullSafe(f)
-    h = h.withColumn("_chg", chg.cast("long")).withColumn("_last", last).drop("_pf", "_np", "_nf")
-    s = block_scan(h, spec,
-                   sums={f"{prefix}_id": F.col("_chg")},
-                   lasts={"_rs": F.when(F.col("_chg") == 1, F.col(POS))},
-                   nexts={"_re": F.when(F.col("_last"), F.col(POS))})
-    del keys
-    return (s.withColumn(f"{prefix}_pos", F.col(POS) - F.col("_rs.p"))
-             .withColumn(f"{prefix}_rows", F.col("_re.p") - F.col("_rs.p") + 1)
-             .drop("_rs", "_re", "_chg", "_last"))
+    d = own_rows(h.withColumns(run_boundaries(flag, spec)))
+    sums, lasts, nexts = run_scan(prefix)
+    return run_finish(block_scan(d, spec, sums=sums, lasts=lasts, nexts=nexts), prefix)
 
 
 def halo_frame(df: DataFrame, spec: SeriesSpec, before: int = 0, after: int = 0) -> DataFrame:

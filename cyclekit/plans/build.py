@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators.clean import despike, interpolate_linear, null_sentinel
-from ..operators.cycles import active_rows, add_flag, cycle_columns
+from ..operators.clean import centered_exprs, despike_finish, interp_finish, interp_scan, null_sentinel
+from ..operators.cycles import active_rows, add_flag, cycle_finish
 from ..operators.features import add_reactor_code, calendar_features, ratio_features, run_features
-from ..operators.series import SeriesSpec, materialize, with_position
+from ..operators.series import (SeriesSpec, block_scan, materialize, own_rows, run_boundaries,
+                                run_finish, run_scan, with_halo, with_position)
 from ..schema import (AERATION_CURRENT_THRESHOLD, INTERP_COLS, NO3_ABSOLUTE_THRESHOLD,
                       NO3_SPIKE_STD_THRESHOLD, NO3_SPIKE_WINDOW, SENTINEL_COLS, SENTINEL_VALUE,
                       STEP_MINUTES, VALID_REACTORS)
@@ -29,12 +30,22 @@ def build_dataset(aligned: DataFrame, spec: SeriesSpec, current_col: str = "curr
     nulled before do_saturation) and ``clean_no3_sentinel`` (V5)."""
     cols = list(sentinel_cols) + (["no3"] if clean_no3_sentinel else []) + (["temp"] if clean_temp_first else [])
     d = with_position(aligned, spec)
-    d = null_sentinel(d, cols, sentinel)
-    d = despike(d, spec, "no3", NO3_SPIKE_WINDOW, spike_k, spike_abs)
-    d = interpolate_linear(d, spec, list(interp_cols))
-    d = materialize(d, checkpoint)      # cleaned series: stage boundary
-    d = add_flag(d, current_col, threshold)
-    d = cycle_columns(d, spec, "current_aeration", step)
+    d = add_flag(null_sentinel(d, cols, sentinel), current_col, threshold)
+    # One halo exchange serves the centered no3 stats (W8, +-2 rows) and the run
+    # boundaries (W1, +-1 row): the on-flag comes from the raw current, so runs
+    # need not wait for cleaning.
+    half = NO3_SPIKE_WINDOW // 2
+    h = with_halo(d, spec, before=half, after=half)
+    d = own_rows(h.withColumns({**centered_exprs(spec, "no3", NO3_SPIKE_WINDOW),
+                                **run_boundaries("current_aeration", spec)}))
+    d = despike_finish(d, "no3", spike_k, spike_abs)
+    # One carry scan serves interpolation (W10) and run ids / bounds.
+    i_lasts, i_nexts = interp_scan(list(interp_cols))
+    r_sums, r_lasts, r_nexts = run_scan("run")
+    d = block_scan(d, spec, sums=r_sums, lasts={**i_lasts, **r_lasts}, nexts={**i_nexts, **r_nexts})
+    d = run_finish(interp_finish(d, list(interp_cols)), "run")
+    d = cycle_finish(d, "current_aeration", step)
+    d = materialize(d, checkpoint)      # cleaned, segmented series: stage boundary
     d = run_features(d, spec, "run_id", step)
     d = calendar_features(d, spec.order[0])
     return materialize(ratio_features(d), checkpoint)   # the step feature table
