@@ -79,11 +79,11 @@ def carry_start(df: DataFrame, spec: SeriesSpec, cycle: str, value_cols: list[st
 def first_stop(steps: DataFrame, keys: list[str], cycle: str = "cycle_no", signal: str = "t_signal",
                threshold: int = STOP_THRESHOLD, elapsed: str = "elapsed_time", nh4: str = "nh4") -> DataFrame:
     """Per cycle, elapsed and nh4 at the first row with signal <= threshold
-    (null when none). Grouped min over structs: partial aggregation."""
-    hit = F.when(F.col(signal) <= F.lit(threshold),
-                 F.struct(F.col(POS).alias("p"), F.col(elapsed).alias("e"), F.col(nh4).alias("n")))
-    return (steps.groupBy(*keys, cycle).agg(F.min(hit).alias("_s"))
-                 .select(*keys, cycle, F.col("_s.e").alias("stop_elapsed"), F.col("_s.n").alias("stop_nh4")))
+    (null when none). Grouped ``min_by`` with scalar buffers: hash-based partial
+    aggregation."""
+    at = F.when(F.col(signal) <= F.lit(threshold), F.col(POS))
+    return steps.groupBy(*keys, cycle).agg(F.min_by(elapsed, at).alias("stop_elapsed"),
+                                           F.min_by(nh4, at).alias("stop_nh4"))
 
 
 def current_history(steps: DataFrame, keys: list[str], cycle: str = "cycle_no") -> DataFrame:

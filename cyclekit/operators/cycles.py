@@ -77,13 +77,10 @@ def start_counter_id(df: DataFrame, spec: SeriesSpec, elapsed: str = "elapsed_ti
 
 
 def cycle_first_row(df: DataFrame, keys: list[str], cycle: str, order: list[str]) -> DataFrame:
-    """First row of every cycle, as a grouped min over (order, row) — no
-    window over a possibly huge cycle."""
-    payload = [c for c in df.columns if c not in keys and c != cycle]
-    ordered = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
-                       F.struct(*payload).alias("_row"))
-    first = df.groupBy(*keys, cycle).agg(F.min(ordered).alias("_m"))
-    return first.select(*keys, cycle, "_m._row.*")
+    """First row of every cycle as a grouped aggregate (partial aggregation)
+    — no window over a possibly huge cycle."""
+    from .joins import first_by
+    return first_by(df, list(keys) + [cycle], list(order))
 
 
 def longest_cycle(cycles: DataFrame, keys: list[str], n_col: str, start_col: str,

@@ -15,7 +15,18 @@ def align_sources(quality: DataFrame, current: DataFrame, keys: list[str]) -> Da
 def dedupe_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Keep the first row per ``keys`` by ``order`` as a grouped min: partial
     aggregation, so a hot key is combined map-side instead of sorted in one task."""
+    return first_by(df, keys, order)
+
+
+def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Row with the smallest ``order`` per ``keys`` as a grouped aggregate. With a
+    single order column every payload column is a ``min_by`` (scalar buffers, hash
+    aggregation); several order columns fall back to a min over one struct."""
     payload = [c for c in df.columns if c not in keys]
+    if len(order) == 1:
+        o = F.col(order[0])
+        return df.groupBy(*keys).agg(*[(F.min(o) if c == order[0] else F.min_by(c, o)).alias(c)
+                                      for c in payload])
     ordered = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
                        F.struct(*payload).alias("_row"))
     return df.groupBy(*keys).agg(F.min(ordered).alias("_m")).select(*keys, "_m._row.*")

@@ -113,24 +113,28 @@ def target_check(metrics: DataFrame, kind: str, mae="mae", rmse="rmse") -> DataF
                    .withColumn("rmse_pass", F.coalesce(_c(rmse) < F.lit(rt), F.lit(False))))
 
 
-def describe(df: DataFrame, col: str) -> DataFrame:
-    """A10: count, mean, sample std, min, quartiles (linear interpolation), max."""
+def describe(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
+    """A10: count, mean, sample std, min, quartiles, max. Exact quartiles
+    (linear interpolation) keep one count per distinct value in the buffer,
+    cheap for runtimes (multiples of 10 minutes); ``exact=False`` uses
+    ``percentile_approx`` for continuous columns at scale."""
     c = F.col(col).cast("double")
+    if exact:
+        qs = [F.percentile(c, F.lit(p)) for p in (0.25, 0.5, 0.75)]
+    else:
+        qs = [F.percentile_approx(c, F.lit(p), F.lit(10_000)).cast("double") for p in (0.25, 0.5, 0.75)]
     return df.agg(F.count(c).cast("long").alias("count"), F.avg(c).alias("mean"),
                   F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
-                  F.percentile(c, F.lit(0.25)).alias("p25"), F.percentile(c, F.lit(0.5)).alias("p50"),
-                  F.percentile(c, F.lit(0.75)).alias("p75"), F.max(c).alias("max"))
+                  qs[0].alias("p25"), qs[1].alias("p50"), qs[2].alias("p75"), F.max(c).alias("max"))
 
 
 def samples_per_month(df: DataFrame, ts: str, split: str = "split") -> DataFrame:
-    """Rows per (split, month) with totals per split and overall, via
-    GROUPING SETS; also first/last timestamp."""
+    """Rows per (split, month) with totals per split and overall (GROUPING
+    SETS), plus first/last timestamp."""
     d = df.select(F.col(split).alias("split"), F.month(ts).alias("month"), F.col(ts).alias("_ts"))
-    d.createOrReplaceTempView("_spm")
-    return d.sparkSession.sql("""
-        SELECT split, month, grouping_id(split, month) AS level,
-               CAST(count(*) AS BIGINT) AS n, min(_ts) AS first_ts, max(_ts) AS last_ts
-        FROM _spm GROUP BY GROUPING SETS ((split, month), (split), ())""")
+    return (d.groupingSets([["split", "month"], ["split"], []], "split", "month")
+             .agg(F.grouping_id("split", "month").alias("level"), F.count(F.lit(1)).cast("long").alias("n"),
+                  F.min("_ts").alias("first_ts"), F.max("_ts").alias("last_ts")))
 
 
 def table_summary(df: DataFrame, key: str, remaining: str | None = "T_remaining") -> DataFrame:
@@ -147,8 +151,8 @@ def end_quantile(df: DataFrame, keys: list[str], run_col: str, pos_col: str, val
                  q: float = 0.95, exact: bool = True) -> DataFrame:
     """Quantile of ``value`` at the last row of every run (exact
     ``percentile`` or ``percentile_approx`` at scale)."""
-    last = df.groupBy(*keys, run_col).agg(F.max(F.struct(F.col(pos_col), F.col(value))).alias("_l"))
-    v = F.col("_l").getField(value)
+    last = df.groupBy(*keys, run_col).agg(F.max_by(F.col(value), F.col(pos_col)).alias("_l"))
+    v = F.col("_l")
     if exact:
         agg = F.percentile(v, F.lit(q))
     else:

@@ -166,13 +166,21 @@ def block_scan(df: DataFrame, spec: SeriesSpec, sums: dict[str, Column] | None =
     return df.select("*", *local).join(edge, on=keys + [BLK], how="inner").select(*kept, *finals)
 
 
-def run_boundaries(flag: str, spec: SeriesSpec) -> dict[str, Column]:
+def run_boundaries(flag: str, spec: SeriesSpec, max_gap_seconds: int | None = None) -> dict[str, Column]:
     """Columns marking run starts (``_chg``) and run ends (``_last``); evaluate on
-    a frame with at least one halo row on each side of every block."""
+    a frame with at least one halo row on each side of every block. With
+    ``max_gap_seconds`` a time gap larger than that also ends a run (by default
+    runs count rows, not minutes)."""
     w = block_window(spec)
     f = F.col(flag)
     chg = (F.col(POS) == 1) | ~F.lag(f).over(w).eqNullSafe(f)
     last = F.lead(F.col(POS)).over(w).isNull() | ~F.lead(f).over(w).eqNullSafe(f)
+    if max_gap_seconds is not None:
+        t = F.col(spec.order[0])
+        gap_before = F.timestamp_diff("SECOND", F.lag(t).over(w), t) > F.lit(max_gap_seconds)
+        gap_after = F.timestamp_diff("SECOND", t, F.lead(t).over(w)) > F.lit(max_gap_seconds)
+        chg = chg | F.coalesce(gap_before, F.lit(False))
+        last = last | F.coalesce(gap_after, F.lit(False))
     return {"_chg": chg.cast("long"), "_last": last}
 
 
@@ -189,12 +197,14 @@ def run_finish(df: DataFrame, prefix: str = "run") -> DataFrame:
               .drop("_rs", "_re", "_chg", "_last"))
 
 
-def segment_runs(df: DataFrame, spec: SeriesSpec, flag: str, prefix: str = "run") -> DataFrame:
+def segment_runs(df: DataFrame, spec: SeriesSpec, flag: str, prefix: str = "run",
+                 max_gap_seconds: int | None = None) -> DataFrame:
     """Gaps-and-islands over the whole key: a run is a maximal stretch of equal
-    ``flag`` values. Adds ``{prefix}_id`` (first run = 1), ``{prefix}_pos``
-    (0-based position inside the run) and ``{prefix}_rows`` (run length)."""
+    ``flag`` values (optionally also broken by time gaps > ``max_gap_seconds``).
+    Adds ``{prefix}_id`` (first run = 1), ``{prefix}_pos`` (0-based position
+    inside the run) and ``{prefix}_rows`` (run length)."""
     h = with_halo(df, spec, before=1, after=1)
-    d = own_rows(h.withColumns(run_boundaries(flag, spec)))
+    d = own_rows(h.withColumns(run_boundaries(flag, spec, max_gap_seconds)))
     sums, lasts, nexts = run_scan(prefix)
     return run_finish(block_scan(d, spec, sums=sums, lasts=lasts, nexts=nexts), prefix)
 

@@ -173,3 +173,15 @@ def test_csv_header_and_charset(spark, tmp_path):
     c = read_sensor_csv_any_charset(spark, [str(tmp_path / "cp" / "legacy.csv")], QUALITY_SCHEMA, "계측기명")
     rows = c.orderBy("nh4").collect()
     assert [r["계측기명"] for r in rows] == ["반응조 B", "반응조 A", "반응조 A"] and rows[2]["nh4"] == 5.5
+
+
+def test_max_gap_breaks_runs(spark):
+    """G12 option: a gap longer than max_gap ends a run; by default runs count rows."""
+    from cyclekit.operators.series import segment_runs
+    mins = [0, 10, 20, 90, 100]
+    rows = [("A", T0 + timedelta(minutes=m), i, 1) for i, m in enumerate(mins)]
+    d = spark.createDataFrame(rows, "k string, ts timestamp_ntz, seq long, f int")
+    s = spec(2)
+    plain = [r[0] for r in ordered(segment_runs(with_position(d, s), s, "f"), "run_id")]
+    gapped = [r[0] for r in ordered(segment_runs(with_position(d, s), s, "f", max_gap_seconds=1800), "run_id")]
+    assert plain == [1, 1, 1, 1, 1] and gapped == [1, 1, 1, 2, 2]

@@ -47,3 +47,27 @@ def test_block_invariance(spark, rows, block, bucket):
     assert list(d["elapsed_time"]) == list(e["elapsed"])
     np.testing.assert_allclose(d["v"].astype(float).to_numpy(), e["interp"].astype(float).to_numpy(),
                                rtol=1e-9, equal_nan=True)
+
+
+def test_hot_key_is_split_into_bounded_blocks(spark):
+    """One key holds 90% of the rows: after numbering, every (key, block) window
+    partition holds at most block_rows own rows plus the halo, and results still
+    equal the per-key computation."""
+    from pyspark.sql import functions as F
+
+    from cyclekit.operators.series import BLK, OWN, with_halo
+    n_hot, n_cold = 900, 100
+    rows = [("hot", T0 + timedelta(minutes=i), i, int((i // 7) % 2), float(i % 13)) for i in range(n_hot)]
+    rows += [(f"c{i % 5}", T0 + timedelta(minutes=i), n_hot + i, int((i // 3) % 2), None) for i in range(n_cold)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, seq long, f int, v double")
+    spec = SeriesSpec(("k",), ("ts", "seq"), bucket_seconds=3600, block_rows=50)
+    pos = with_position(df, spec)
+    sizes = with_halo(pos, spec, before=6, after=2).groupBy("k", BLK).agg(
+        F.sum(F.col(OWN).cast("int")).alias("own"), F.count(F.lit(1)).alias("all"))
+    # (a block past a key's last one can receive up to ``before`` halo copies and no own rows)
+    top = sizes.agg(F.max("own"), F.max("all"),
+                    F.countDistinct(F.when((F.col("k") == "hot") & (F.col("own") > 0), F.col(BLK)))).first()
+    assert top[0] <= 50 and top[1] <= 50 + 6 + 2 and top[2] == n_hot // 50
+    d = cycles.cycle_columns(pos, spec, flag="f").toPandas().sort_values("seq")
+    e = expected(pd.DataFrame(rows, columns=["k", "ts", "seq", "f", "v"])).sort_values("seq")
+    assert list(d["run_id"]) == list(e["run_id"]) and list(d["elapsed_time"]) == list(e["elapsed"])
