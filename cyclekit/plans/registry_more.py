@@ -184,9 +184,11 @@ def q_step_model(spark, sf):
 
 # ================================================================ streaming (ST1-ST5)
 def control_events(spark, sf, drop_features: bool = False) -> DataFrame:
-    """Control events derived from the back-test table: one start per replayed
-    cycle (with the start model's raw prediction) and one tick per step."""
-    rep = replayed(spark, sf)
+    """Control events derived from the step table: one start per cycle (on-row with
+    elapsed 0, carrying the start model's raw prediction) and one tick per on-row.
+    Every on-row belongs to a run that starts at elapsed 0, so these are exactly
+    the cycles the batch back-test replays."""
+    rep = steps(spark, sf).filter(F.col("current_aeration") == 1)
     sensors = [F.col(c).cast("double").alias(c) for c in ST.SENSOR_FIELDS]
     base = [F.col("ts").alias("event_time"), F.col("event_id").alias("seq"),
             F.col("user_id").cast("string").alias("reactor")]

@@ -164,7 +164,8 @@ def make_processor(step_model: StepModel = standin_step_model,
 def control_stream(events: DataFrame, step_model: StepModel = standin_step_model,
                    scaler: dict[str, tuple[float, float]] | None = None,
                    dedupe_within: str | None = None) -> DataFrame:
-    """ST1: keyed state per reactor; works on streaming and batch DataFrames.
+    """ST1: keyed state per reactor, on a streaming DataFrame (the batch twin is
+    ``operators.control.replay``).
 
     The source system appends a repeated tick again (same elapsed); that is the
     default here. ``dedupe_within`` (a watermark delay such as "30 minutes", on a
