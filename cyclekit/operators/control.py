@@ -86,11 +86,14 @@ def first_stop(steps: DataFrame, keys: list[str], cycle: str = "cycle_no", signa
                                            F.min_by(nh4, at).alias("stop_nh4"))
 
 
-def current_history(steps: DataFrame, keys: list[str], cycle: str = "cycle_no") -> DataFrame:
+def current_history(steps: DataFrame, spec: SeriesSpec, cycle: str = "cycle_no") -> DataFrame:
     """Log rows of the latest cycle per key, with predicted end = elapsed + signal.
+    The key's latest cycle comes from a per-block aggregate combined over the
+    key's blocks (``key_totals``), so rows are never shuffled by key alone.
     Returned as rows (not one array) so no group is gathered into one value."""
-    latest = steps.groupBy(*keys).agg(F.max(cycle).alias("_latest"))
-    d = steps.join(latest, on=keys).filter(F.col(cycle) == F.col("_latest")).drop("_latest")
+    from .series import key_totals
+    d = key_totals(steps, spec, {"_latest": ("max", F.col(cycle))})
+    d = d.filter(F.col(cycle) == F.col("_latest")).drop("_latest")
     return d.withColumn("predicted_end_time", F.col("elapsed_time") + F.col("t_signal"))
 
 

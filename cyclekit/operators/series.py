@@ -166,6 +166,19 @@ def block_scan(df: DataFrame, spec: SeriesSpec, sums: dict[str, Column] | None =
     return df.select("*", *local).join(edge, on=keys + [BLK], how="inner").select(*kept, *finals)
 
 
+def key_totals(df: DataFrame, spec: SeriesSpec, aggs: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Whole-key aggregates attached to every row without moving a key's rows to
+    one task: partial aggregates per (key, block), combined over the key's blocks
+    by a window on the small edge table, joined back on (key, block).
+    ``aggs``: out -> (kind, column), kind in {"max", "min", "sum"}."""
+    keys = list(spec.keys)
+    fn = {"max": F.max, "min": F.min, "sum": F.sum}
+    edge = df.groupBy(*keys, BLK).agg(*[fn[k](c).alias(f"_kt_{o}") for o, (k, c) in aggs.items()])
+    whole = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edge = edge.select(*keys, BLK, *[fn[k](f"_kt_{o}").over(whole).alias(o) for o, (k, _) in aggs.items()])
+    return df.join(edge, on=keys + [BLK], how="inner")
+
+
 def run_boundaries(flag: str, spec: SeriesSpec, max_gap_seconds: int | None = None) -> dict[str, Column]:
     """Columns marking run starts (``_chg``) and run ends (``_last``); evaluate on
     a frame with at least one halo row on each side of every block. With

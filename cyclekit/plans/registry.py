@@ -445,7 +445,7 @@ def q_first_stop(spark, sf):
   elapsed_time + t_signal AS predicted_end_time, start_pred AS xgb_prediction, mode, was_clamped FROM replayed
   WHERE cycle_no = (SELECT max(cycle_no) FROM replayed r2 WHERE r2.user_id = replayed.user_id)""")
 def q_history(spark, sf):
-    d = control.current_history(replayed(spark, sf), ["user_id"], "cycle_no")
+    d = control.current_history(replayed(spark, sf), SPEC, "cycle_no")
     return d.select("user_id", "cycle_no", "elapsed_time", "t_signal", "predicted_end_time",
                     F.col("start_pred").alias("xgb_prediction"), "mode", "was_clamped")
 
