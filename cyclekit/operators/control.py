@@ -66,14 +66,19 @@ def buffer_state(df: DataFrame, spec: SeriesSpec, cycle: str = "cycle_no", elaps
     return d.withColumn("buffer_fill", fill).drop("_pc", "_pe", "_reset", "_rp")
 
 
-def carry_start(df: DataFrame, spec: SeriesSpec, cycle: str, value_cols: list[str]) -> DataFrame:
-    """Forward-fill the values set on a cycle's start row over the whole cycle.
-    Rows whose cycle has no start values get nulls."""
-    tagged = F.when(F.col(value_cols[0]).isNotNull(),
-                    F.struct(F.col(cycle).alias("c"), *[F.col(v).alias(v) for v in value_cols]))
-    d = block_scan(df, spec, lasts={"_st": tagged})
-    same = F.col("_st.v.c") == F.col(cycle)
-    return d.withColumns({v: F.when(same, F.col(f"_st.v.{v}")) for v in value_cols}).drop("_st")
+def carry_start(df: DataFrame, spec: SeriesSpec, cycle: str, value_cols: list[str],
+                start_flag: str | None = None) -> DataFrame:
+    """Forward-fill the values set on a cycle's start row over the whole cycle
+    (scalar carries, hash-aggregatable). Rows whose cycle start has no values get
+    nulls. ``start_flag`` marks cycle starts; by default the first row of each
+    ``cycle`` value is found by comparing with the carried cycle."""
+    present = F.col(value_cols[0]).isNotNull()
+    lasts = {f"_cv_{v}": F.when(present, F.col(v)) for v in value_cols}
+    lasts["_cc"] = F.when(present, F.col(cycle))
+    d = block_scan(df, spec, lasts=lasts)
+    same = F.col("_cc.v") == F.col(cycle)
+    return (d.withColumns({v: F.when(same, F.col(f"_cv_{v}.v")) for v in value_cols})
+             .drop("_cc", *[f"_cv_{v}" for v in value_cols]))
 
 
 def first_stop(steps: DataFrame, keys: list[str], cycle: str = "cycle_no", signal: str = "t_signal",
@@ -139,13 +144,14 @@ def replay(steps: DataFrame, starts: DataFrame, spec: SeriesSpec, start_pred_col
                    sums={"cycle_no": F.col("_start").cast("long"), "segment_no": F.col("_reset").cast("long")},
                    lasts={"_rp": F.when(F.col("_reset"), F.col(POS)),
                           "_cs": F.when(F.col("_start"), F.col(POS)),
-                          "_st": F.when(F.col("_start_pred").isNotNull(),
-                                        F.struct(F.col("_start_pred").alias("sp"), F.col("_actual").alias("a")))})
-    same = on & (F.col("_st.p") == F.col("_cs.p"))
+                          # scalar carries (hash-aggregatable); both sit on the matched start row
+                          "_sp": F.when(F.col("_start_pred").isNotNull(), F.col("_start_pred")),
+                          "_ac": F.when(F.col("_start_pred").isNotNull(), F.col("_actual"))})
+    same = on & (F.col("_sp.p") == F.col("_cs.p"))
     d = (d.filter(same)
-          .withColumn("start_pred", F.col("_st.v.sp")).withColumn("actual_runtime", F.col("_st.v.a"))
-          .withColumn("buffer_fill", F.least(F.lit(WINDOW_SIZE), (F.col(POS) - F.col("_rp.p") + 1).cast("int")))
-          .drop("_rp", "_cs", "_st", "_start", "_reset", "_start_pred", "_actual"))
+          .withColumns({"start_pred": F.col("_sp.v"), "actual_runtime": F.col("_ac.v"),
+                        "buffer_fill": F.least(F.lit(WINDOW_SIZE), (F.col(POS) - F.col("_rp.p") + 1).cast("int"))})
+          .drop("_rp", "_cs", "_sp", "_ac", "_start", "_reset", "_start_pred", "_actual"))
     d = d.withColumn("step_pred", step_pred)
     return materialize(signal_columns(d, "start_pred", elapsed, "buffer_fill", "step_pred"), checkpoint)
 
