@@ -185,3 +185,16 @@ def test_max_gap_breaks_runs(spark):
     plain = [r[0] for r in ordered(segment_runs(with_position(d, s), s, "f"), "run_id")]
     gapped = [r[0] for r in ordered(segment_runs(with_position(d, s), s, "f", max_gap_seconds=1800), "run_id")]
     assert plain == [1, 1, 1, 1, 1] and gapped == [1, 1, 1, 2, 2]
+
+
+@pytest.mark.parametrize("block", [1, 3, 100])
+def test_carry_start(spark, block):
+    """Values set on a cycle's start row reach every row of that cycle; a cycle
+    whose start row has no value gets nulls (it does not inherit the previous one)."""
+    cyc = [1, 1, 1, 2, 2, 3, 3, 3]
+    val = [50.0, None, None, None, None, 70.0, None, None]
+    rows = [("A", T0 + timedelta(minutes=10 * i), i, c, v) for i, (c, v) in enumerate(zip(cyc, val))]
+    d = spark.createDataFrame(rows, "k string, ts timestamp_ntz, seq long, cycle_no long, sp double")
+    s = spec(block)
+    got = [r[0] for r in ordered(control.carry_start(with_position(d, s), s, "cycle_no", ["sp"]), "sp")]
+    assert got == [50.0, 50.0, 50.0, None, None, 70.0, 70.0, 70.0]
