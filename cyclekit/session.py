@@ -22,7 +22,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("CYCLEKIT_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("CYCLEKIT_DRIVER_MEMORY", "4g"))
     )
     if master:
         builder = builder.master(master)
