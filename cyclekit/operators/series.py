@@ -41,6 +41,7 @@ class SeriesSpec:
     order: tuple[str, ...]
     bucket_seconds: int = 86_400
     block_rows: int = 65_536
+    numbering: str = "range"        # "range" (skew-proof) or "time_bucket"
 
     def with_keys(self, *keys: str) -> "SeriesSpec":
         return replace(self, keys=tuple(keys))
@@ -65,7 +66,16 @@ def with_position(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Add ``_pos`` (1-based row number in the key's order) and ``_blk``.
 
     Key columns must be non-null; the order must be total (add a tie-break
-    column), otherwise positions are not reproducible across task retries."""
+    column), otherwise positions are not reproducible across task retries.
+
+    ``numbering="range"`` (default): range-partition on (keys, order) — Spark
+    samples the data, so a hot key, a hot time bucket or a hot instant is split
+    over balanced, ordered partitions — sort within partitions, take each row's
+    index in its partition (``monotonically_increasing_id`` after the sort), and
+    add the row counts of the key's earlier partitions from a (key, partition)
+    count table. ``numbering="time_bucket"`` ranks inside (key, time bucket)."""
+    if spec.numbering == "range":
+        return _position_by_range(df, spec)
     keys = list(spec.keys)
     ts = spec.order[0]
     long_min = F.lit(-(2 ** 63)).cast("long")
@@ -82,6 +92,26 @@ def with_position(df: DataFrame, spec: SeriesSpec) -> DataFrame:
              .drop("_tb", "_lp", "_base"))
 
 
+def _position_by_range(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    keys, order = list(spec.keys), list(spec.order)
+    sort_cols = [F.col(c).asc_nulls_first() for c in keys + order]
+    d = (df.repartitionByRange(*sort_cols).sortWithinPartitions(*sort_cols)
+           .withColumn("_mid", F.monotonically_increasing_id()))
+    part = F.shiftright(F.col("_mid"), 33)          # partition index of the id
+    # The range bounds come from sampling, seeded per shuffle: the count table and
+    # the rows must see the same partitioning, so the numbered rows are written
+    # once (stage table in the shared checkpoint folder) and both read that.
+    d = materialize(d.withColumn("_rp", part))
+    counts = d.groupBy(*keys, "_rp").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    before = Window.partitionBy(*keys).orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, "_rp", "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    d = d.join(counts, on=keys + ["_rp"], how="inner")
+    pos = (F.col("_base") + F.col("_mid") - F.col("_m0") + 1).cast("long")
+    return (d.withColumn(POS, pos)
+             .withColumn(BLK, F.floor((F.col(POS) - 1) / F.lit(spec.block_rows)).cast("long"))
+             .drop("_mid", "_rp", "_m0", "_base"))
+
+
 def ensure_position(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     return df if POS in df.columns else with_position(df, spec)
 
