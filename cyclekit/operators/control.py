@@ -104,7 +104,7 @@ def current_history(steps: DataFrame, spec: SeriesSpec, cycle: str = "cycle_no")
 
 def replay(steps: DataFrame, starts: DataFrame, spec: SeriesSpec, start_pred_col: str,
            step_pred: Column, flag: str = "current_aeration", elapsed: str = "elapsed_time",
-           checkpoint: bool = True) -> DataFrame:
+           checkpoint: bool = True, dedupe_repeats: bool = False) -> DataFrame:
     """Full batch back-test without a row loop.
 
     steps:  step table (all rows, with the series positions of the build); on-rows
@@ -119,13 +119,23 @@ def replay(steps: DataFrame, starts: DataFrame, spec: SeriesSpec, start_pred_col
     record. Rows of a cycle are contiguous in the series and every cycle start is
     a restart, so the full series' previous row is the right one wherever it
     matters. Returns one row per replayed step (cycles without a start record are
-    skipped)."""
+    skipped). ``dedupe_repeats`` drops a repeated tick (an on-row with the same
+    non-zero elapsed as the previous on-row) and renumbers first; by default a
+    repeat is appended to the buffer again, as in the source system."""
     from .joins import dedupe_first
-    from .series import BLK, ensure_position
+    from .series import BLK, ensure_position, with_position
 
     keys = list(spec.keys)
     ts = spec.order[0]
     d = ensure_position(steps.drop("run_pos", "run_rows"), spec)
+    if dedupe_repeats:
+        w = block_window(spec)
+        h = with_halo(d, spec, before=1)
+        h = h.withColumns({"_pe0": F.lag(elapsed).over(w), "_pf0": F.lag(flag).over(w)})
+        rep = ((F.col(flag) == 1) & (F.col("_pf0") == 1) & (F.col(elapsed) != 0)
+               & (F.col(elapsed) == F.col("_pe0")))
+        d = own_rows(h).filter(~F.coalesce(rep, F.lit(False))).drop("_pe0", "_pf0", POS, BLK)
+        d = with_position(d, spec)
     h = with_halo(d, spec, before=1)
     d = own_rows(h.withColumn("_pe", F.lag(elapsed).over(block_window(spec))))
     on = F.col(flag) == 1

@@ -198,3 +198,16 @@ def test_carry_start(spark, block):
     s = spec(block)
     got = [r[0] for r in ordered(control.carry_start(with_position(d, s), s, "cycle_no", ["sp"]), "sp")]
     assert got == [50.0, 50.0, 50.0, None, None, 70.0, 70.0, 70.0]
+
+
+@pytest.mark.parametrize("dedupe", [False, True])
+def test_repeated_tick(spark, dedupe):
+    """A repeated tick is appended again by default; ``dedupe_repeats`` drops it."""
+    el = [0, 10, 10, 20]
+    rows = [("A", T0 + timedelta(minutes=10 * i), i, e, 1, 40, 5.0, 1.0) for i, e in enumerate(el)]
+    d = spark.createDataFrame(rows, "k string, ts timestamp_ntz, seq long, elapsed_time int, "
+                                    "current_aeration int, cycle_runtime int, nh4 double, p double")
+    starts = d.filter("elapsed_time = 0").withColumn("start_pred_raw", F.lit(100.0))
+    r = control.replay(d, starts, spec(2), "start_pred_raw", F.lit(0.0), checkpoint=False, dedupe_repeats=dedupe)
+    got = [row[0] for row in ordered(r, "buffer_fill")]
+    assert got == ([1, 2, 3] if dedupe else [1, 2, 3, 4])
