@@ -32,20 +32,11 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster. Library code that cuts
-    lineage calls this; it never invents a machine-local folder."""
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
-    spark.sparkContext.setCheckpointDir(conf_dir)
-    return conf_dir
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder. A cluster names it in
-    ``spark.checkpoint.dir`` and that folder is used as is; only when the setting
-    is unset (local tests, a bare local session) is a folder made here."""
+    """The shared folder for written stages: ``spark.checkpoint.dir`` of the session.
+    Only a single-machine session (``local[...]``) that names none gets a temporary
+    folder of its own; on a cluster a missing setting is an error, because executors
+    and driver share no local folder."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         spark.sparkContext.setCheckpointDir(conf_dir)
@@ -53,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir is not set; set it to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="cyclekit-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
