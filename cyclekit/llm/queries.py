@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, kd_shards, secret_scan
+from . import byte_bpe, decontaminate, kd_shards, quality_rules, secret_scan
 from .common import table
 from .ngram_join import jaccard_components
 
@@ -18,6 +18,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.document_quality(table(spark, sf_dir, "documents"))
+
+
 def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.document_shards(table(spark, sf_dir, "documents"))
 
@@ -36,8 +40,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_quality_rules": op6_quality_rules,
     "op7_kd_shards": op7_kd_shards,
     "op9_secret_scan": op9_secret_scan,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_quality_rules": quality_rules.SQL,
+}
