@@ -25,8 +25,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    return _without(docs, ngram_join.jaccard_components(docs).where("doc_id <> component_id")).dropDuplicates(["doc_id"])
+    """Of each group of linked documents the one with the smallest id stays; of rows that
+    repeat an id and its text, one."""
+    others = ngram_join.jaccard_components(docs).where("doc_id <> component_id")
+    return _without(docs, others).dropDuplicates(["doc_id", "text"])
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
