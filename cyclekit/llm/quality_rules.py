@@ -20,6 +20,7 @@ from .common import stage
 
 #: Fixed values of the base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
+MIN_STRENGTH = 4.0      # the prior weighs as much as this many documents at least
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -107,7 +108,7 @@ def rule_failures() -> dict[str, Column]:
 def beta_prior(hosts: DataFrame, fails: str, total: str) -> tuple[float, float]:
     """(a, b) of the beta distribution whose beta-binomial fits the hosts' rates by weighted
     moments. Hosts that differ no more than chance give a strong prior (strength 1e6);
-    the strength is at least 1. Without hosts: (1, 1)."""
+    the strength is at least MIN_STRENGTH documents. Without hosts: (1, 1)."""
     k, n, f, inverse = hosts.agg(F.count("*"), F.sum(total), F.sum(fails), F.sum(1 / F.col(total))).first()
     if not k:
         return 1.0, 1.0
@@ -116,7 +117,7 @@ def beta_prior(hosts: DataFrame, fails: str, total: str) -> tuple[float, float]:
     spread = hosts.agg(F.sum(F.col(total) * gap * gap)).first()[0] * k / (max(k - 1, 1) * n)
     noise = mean * (1 - mean)
     extra = spread - noise * inverse / k
-    strength = min(1e6, max(1.0, (noise - spread) / extra)) if extra > 0 else 1e6
+    strength = min(1e6, max(MIN_STRENGTH, (noise - spread) / extra)) if extra > 0 else 1e6
     mean = min(max(mean, 1e-6), 1 - 1e-6)
     return mean * strength, (1 - mean) * strength
 
@@ -167,7 +168,7 @@ def _sql() -> str:
     moments = ", ".join(f"sum(f_{r})::DOUBLE / sum(n) AS m_{r}" for r in _RULE_SQL)
     spreads = ", ".join(f"sum(n * (f_{r} / n::DOUBLE - m_{r}) ** 2) * count(*) / (greatest(count(*) - 1, 1) * sum(n)) AS s_{r}" for r in _RULE_SQL)
     strength = ", ".join(
-        f"CASE WHEN s_{r} - m_{r} * (1 - m_{r}) * inv / k > 0 THEN least(1e6, greatest(1.0, (m_{r} * (1 - m_{r}) - s_{r}) "
+        f"CASE WHEN s_{r} - m_{r} * (1 - m_{r}) * inv / k > 0 THEN least(1e6, greatest({MIN_STRENGTH}, (m_{r} * (1 - m_{r}) - s_{r}) "
         f"/ (s_{r} - m_{r} * (1 - m_{r}) * inv / k))) ELSE 1e6 END AS t_{r}, least(greatest(m_{r}, 1e-6), 1 - 1e-6) AS c_{r}" for r in _RULE_SQL)
     over = " OR ".join(f"(f_{r} + c_{r} * t_{r}) / (n + t_{r}) > 0.5" for r in _RULE_SQL)
     return f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t,
