@@ -7,14 +7,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import (LEGACY_TIME_FORMAT, MAX_T_SIGNAL, MIN_T_SIGNAL, SENTINEL_VALUE,
-                      STOP_THRESHOLD, UNDERPREDICTION_MARGIN, aerator_kwh_per_min)
+                      STOP_THRESHOLD)
 
 __all__ = [
     "col_of", "strip_blanks", "map_values", "parse_ts", "null_sentinel_col", "nan_to_null",
     "threshold_flag_col", "hour_of", "weekday_of", "month_of", "day_of", "hour_sin", "hour_cos",
     "guarded_ratio", "do_saturation", "clamp_signal", "was_clamped", "start_floor",
-    "clip_nonneg", "encode_category", "ramp_value", "stop_flag", "underpredicted",
-    "kwh_per_min",
+    "clip_nonneg", "encode_category", "ramp_value", "stop_flag",
 ]
 
 
@@ -108,13 +107,16 @@ def was_clamped(raw, lo: int = MIN_T_SIGNAL, hi: int = MAX_T_SIGNAL) -> Column:
 
 
 def start_floor(pred, floor: int = MIN_T_SIGNAL) -> Column:
-    """int(max(floor, p))."""
-    return F.greatest(F.lit(float(floor)), col_of(pred).cast("double")).cast("int")
+    """int(max(floor, p)); no prediction (null, NaN) stays null, infinities saturate."""
+    p = nan_to_null(col_of(pred).cast("double"))
+    top = F.lit(float(2 ** 31 - 1))
+    return F.when(p.isNotNull(), F.least(F.greatest(F.lit(float(floor)), p), top)).cast("int")
 
 
 def clip_nonneg(pred) -> Column:
-    """max(0, p)."""
-    return F.greatest(F.lit(0.0), col_of(pred).cast("double"))
+    """max(0, p); no prediction (null, NaN) stays null."""
+    p = nan_to_null(col_of(pred).cast("double"))
+    return F.when(p.isNotNull(), F.greatest(F.lit(0.0), p))
 
 
 def encode_category(c, order: list[str]) -> Column:
@@ -131,12 +133,3 @@ def ramp_value(ts, v0: float, v1: float, span_days: int) -> Column:
 def stop_flag(signal, threshold: int = STOP_THRESHOLD) -> Column:
     """C4: continue while signal > threshold."""
     return col_of(signal) > F.lit(threshold)
-
-
-def underpredicted(pred, truth, margin: int = UNDERPREDICTION_MARGIN) -> Column:
-    """A3 row test: pred < truth - margin (strict)."""
-    return col_of(pred) < (col_of(truth) - F.lit(margin))
-
-
-def kwh_per_min() -> Column:
-    return F.lit(aerator_kwh_per_min())

@@ -15,11 +15,6 @@ def null_sentinel(df: DataFrame, cols: list[str], sentinel=SENTINEL_VALUE) -> Da
     return df.withColumns({c: null_sentinel_col(c, sentinel) for c in cols})
 
 
-def null_where(df: DataFrame, cols: list[str], predicate: Column) -> DataFrame:
-    """P7 (predicate form): null out ``cols`` on rows where ``predicate`` holds."""
-    return df.withColumns({c: F.when(~F.coalesce(predicate, F.lit(False)), F.col(c)) for c in cols})
-
-
 def bad_ts_count(df: DataFrame, ts: str) -> DataFrame:
     """One-row table with the number of unparsed timestamps."""
     return df.agg(F.count(F.when(F.col(ts).isNull(), 1)).cast("long").alias("bad_ts"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp_signal, clip_nonneg, start_floor, stop_flag, was_clamped
 from ..schema import LSTM_WINDOW_THRESHOLD, MAX_T_SIGNAL, MIN_T_SIGNAL, STOP_THRESHOLD, WINDOW_SIZE
-from .series import POS, SeriesSpec, block_scan, block_window, materialize, own_rows, with_halo
+from .series import POS, SeriesSpec, block_scan, block_window, join_small, materialize, own_rows, with_halo
 
 XGB_ONLY = "xgb_only"
 INTEGRATED = "integrated"
@@ -102,16 +102,32 @@ def current_history(steps: DataFrame, spec: SeriesSpec, cycle: str = "cycle_no")
     return d.withColumn("predicted_end_time", F.col("elapsed_time") + F.col("t_signal"))
 
 
-def replay(steps: DataFrame, starts: DataFrame, spec: SeriesSpec, start_pred_col: str,
+def _matched_starts(d: DataFrame, starts: DataFrame, spec: SeriesSpec, start_pred_col: str) -> DataFrame:
+    """Attach each cycle's start record to its start row: equi-join on (keys, start time),
+    first record by the tie-break columns."""
+    from .joins import dedupe_first
+    from .series import BLK
+    keys, ts = list(spec.keys), spec.order[0]
+    s = starts.select(*keys, F.col(ts).alias("_sts"), *spec.order[1:],
+                      start_floor(start_pred_col).alias("_start_pred"), F.col("cycle_runtime").alias("_actual"))
+    s = dedupe_first(s, keys + ["_sts"], list(spec.order[1:]) or ["_start_pred"])
+    first = d.filter(F.col("_start")).select(*keys, BLK, POS, F.col(ts).alias("_sts"))
+    matched = first.join(s.select(*keys, "_sts", "_start_pred", "_actual"), on=keys + ["_sts"]).drop("_sts")
+    return join_small(d, matched, keys + [BLK, POS], "left")
+
+
+def replay(steps: DataFrame, starts: DataFrame | None, spec: SeriesSpec, start_pred_col: str | Column,
            step_pred: Column, flag: str = "current_aeration", elapsed: str = "elapsed_time",
-           checkpoint: bool = True, dedupe_repeats: bool = False) -> DataFrame:
+           checkpoint: bool = False, dedupe_repeats: bool = False) -> DataFrame:
     """Full batch back-test without a row loop.
 
     steps:  step table (all rows, with the series positions of the build); on-rows
             are replayed. A cycle starts at every on-row with elapsed = 0.
     starts: start table (one row per cycle start, keyed by spec.keys + start time)
             with the start model's raw prediction in ``start_pred_col`` and the
-            cycle's actual runtime in ``cycle_runtime``.
+            cycle's actual runtime in ``cycle_runtime``. None: the step table's own start
+            rows are the start records, ``start_pred_col`` is then an expression on them.
+            Cycles without a prediction (null, NaN) are skipped, see ``skipped_cycles``.
     step_pred: column expression of the step model's prediction for a row.
 
     One halo pass gives the previous row's elapsed; one carry scan gives the
@@ -122,11 +138,8 @@ def replay(steps: DataFrame, starts: DataFrame, spec: SeriesSpec, start_pred_col
     skipped). ``dedupe_repeats`` drops a repeated tick (an on-row with the same
     non-zero elapsed as the previous on-row) and renumbers first; by default a
     repeat is appended to the buffer again, as in the source system."""
-    from .joins import dedupe_first
     from .series import BLK, ensure_position, with_position
 
-    keys = list(spec.keys)
-    ts = spec.order[0]
     d = ensure_position(steps.drop("run_pos", "run_rows"), spec)
     if dedupe_repeats:
         w = block_window(spec)
@@ -143,12 +156,11 @@ def replay(steps: DataFrame, starts: DataFrame, spec: SeriesSpec, start_pred_col
     reset = is_start | (on & (F.col(elapsed) < F.col("_pe")))
     d = d.withColumn("_start", is_start).withColumn("_reset", reset).drop("_pe")
 
-    s = starts.select(*keys, F.col(ts).alias("_sts"), *spec.order[1:],
-                      start_floor(start_pred_col).alias("_start_pred"), F.col("cycle_runtime").alias("_actual"))
-    s = dedupe_first(s, keys + ["_sts"], list(spec.order[1:]) or ["_start_pred"])
-    first = d.filter(F.col("_start")).select(*keys, BLK, POS, F.col(ts).alias("_sts"))
-    matched = first.join(s.select(*keys, "_sts", "_start_pred", "_actual"), on=keys + ["_sts"]).drop("_sts")
-    d = d.join(matched, on=keys + [BLK, POS], how="left")
+    if starts is None:
+        pred = start_floor(start_pred_col)
+        d = d.withColumns({"_start_pred": F.when(is_start, pred), "_actual": F.when(is_start, F.col("cycle_runtime"))})
+    else:
+        d = _matched_starts(d, starts, spec, start_pred_col)
 
     d = block_scan(d, spec,
                    sums={"cycle_no": F.col("_start").cast("long"), "segment_no": F.col("_reset").cast("long")},
@@ -168,6 +180,14 @@ def replay(steps: DataFrame, starts: DataFrame, spec: SeriesSpec, start_pred_col
 
 def cycle_outcomes(replayed: DataFrame, keys: list[str], cycle: str = "cycle_no") -> DataFrame:
     """Per replayed cycle: actual runtime, stop elapsed and nh4 at stop."""
-    actual = replayed.groupBy(*keys, cycle).agg(F.max("actual_runtime").alias("actual_runtime"))
-    stops = first_stop(replayed, keys, cycle)
-    return actual.join(stops, on=keys + [cycle], how="inner")
+    at = F.when(F.col("t_signal") <= F.lit(STOP_THRESHOLD), F.col(POS))
+    return replayed.groupBy(*keys, cycle).agg(
+        F.max("actual_runtime").alias("actual_runtime"), F.min_by("elapsed_time", at).alias("stop_elapsed"),
+        F.min_by("nh4", at).alias("stop_nh4"))
+
+
+def skipped_cycles(starts: DataFrame, start_pred: str) -> DataFrame:
+    """One row: how many cycle starts have a prediction and how many are skipped for want of one."""
+    p = start_floor(start_pred)
+    return starts.agg(F.count(p).cast("long").alias("n_replayed"),
+                      F.count(F.when(p.isNull(), 1)).cast("long").alias("n_skipped"))

@@ -17,15 +17,6 @@ ROLLING_ROWS = 6
 DECAY_LAG = 3
 
 
-def run_diff(df: DataFrame, spec: SeriesSpec, cols: list[str], n: int = 1, run_col: str = "run_id",
-             suffix: str = "_diff") -> DataFrame:
-    """Value minus the value n rows earlier in the same run; first n rows -> 0."""
-    h = with_halo(df, spec, before=n)
-    w = block_window(spec, run_col)
-    h = h.withColumns({f"{c}{suffix}": F.coalesce(F.col(c) - F.lag(c, n).over(w), F.lit(0.0)) for c in cols})
-    return own_rows(h)
-
-
 def run_features(df: DataFrame, spec: SeriesSpec, run_col: str = "run_id", step: int = STEP_MINUTES) -> DataFrame:
     """W5-W7 in one window pass: nh4/no3/ph diffs, nh4 decay rate over 3 rows,
     trailing 6-row nh4 mean (nulls skipped, min 1 value). All restart per run."""
@@ -43,14 +34,6 @@ def run_features(df: DataFrame, spec: SeriesSpec, run_col: str = "run_id", step:
     return own_rows(h)
 
 
-def rolling_mean(df: DataFrame, spec: SeriesSpec, col: str, rows: int = ROLLING_ROWS, run_col: str = "run_id",
-                 out: str | None = None) -> DataFrame:
-    """Trailing mean over ``rows`` rows inside the run."""
-    h = with_halo(df, spec, before=rows - 1)
-    w = block_window(spec, run_col).rowsBetween(-(rows - 1), 0)
-    return own_rows(h.withColumn(out or f"{col}_rolling_mean", F.avg(col).over(w)))
-
-
 def calendar_features(df: DataFrame, ts: str) -> DataFrame:
     """F1-F2: hour, weekday (Mon = 0) and the cyclic hour encoding."""
     return (df.withColumn("hour", hour_of(ts)).withColumn("weekday", weekday_of(ts))
@@ -100,16 +83,6 @@ def fit_scaler(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]
     return out
 
 
-def scaler_frame(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A13 fit as a one-row DataFrame (mean_*, std_*), std 0 -> 1, for plans that
-    keep the fit inside Spark."""
-    aggs = []
-    for c in cols:
-        aggs += [F.avg(c).alias(f"mean_{c}"),
-                 F.when(F.stddev_pop(c) == 0, F.lit(1.0)).otherwise(F.stddev_pop(c)).alias(f"std_{c}")]
-    return df.agg(*aggs)
-
-
 def apply_scaler(df: DataFrame, params: dict[str, tuple[float, float]], clip: float | None = SCALER_CLIP,
                  suffix: str = "") -> DataFrame:
     """A13 transform: (x - mean) / std, optionally clipped to +-clip."""

@@ -32,17 +32,8 @@ def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(ordered).alias("_m")).select(*keys, "_m._row.*")
 
 
-def match_cycle_start(first_rows: DataFrame, starts: DataFrame, keys: list[str],
-                      start_order: list[str]) -> DataFrame:
-    """Attach each cycle's start record (looked up by key + start time);
-    duplicate start records -> the first; unmatched cycles are skipped."""
-    s = dedupe_first(starts, keys, start_order)
-    return first_rows.join(s, on=keys, how="inner")
-
-
-def compare_sites(left: DataFrame, right: DataFrame, on: list[str], value_cols: list[str],
-                  left_tag: str, right_tag: str) -> DataFrame:
-    """Two result sets side by side; a metric missing on one side is null."""
-    lsel = left.select(*on, *[F.col(c).alias(f"{c}_{left_tag}") for c in value_cols])
-    rsel = right.select(*on, *[F.col(c).alias(f"{c}_{right_tag}") for c in value_cols])
-    return lsel.join(rsel, on=on, how="full_outer")
+def compare_sites(results: DataFrame, on: list[str], site_col: str, sites: list, value_cols: list[str], tag: str) -> DataFrame:
+    """The sites' values side by side, from one grouped result; a metric missing at a
+    site is null. ``<value>_<tag><site>`` for each site."""
+    return results.groupBy(*on).agg(*[F.max(F.when(F.col(site_col) == s, F.col(c))).alias(f"{c}_{tag}{s}")
+                                      for c in value_cols for s in sites])

@@ -41,7 +41,7 @@ class SeriesSpec:
     order: tuple[str, ...]
     bucket_seconds: int = 86_400
     block_rows: int = 65_536
-    numbering: str = "range"        # "range" (skew-proof) or "time_bucket"
+    numbering: str = "time_bucket"  # lazy; "range" (sampled, writes a stage table) as an option
 
     def with_keys(self, *keys: str) -> "SeriesSpec":
         return replace(self, keys=tuple(keys))
@@ -65,15 +65,18 @@ def _epoch_seconds(df: DataFrame, col: str) -> Column:
 def with_position(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Add ``_pos`` (1-based row number in the key's order) and ``_blk``.
 
-    Key columns must be non-null; the order must be total (add a tie-break
+    A null key is a key like any other. The order must be total (add a tie-break
     column), otherwise positions are not reproducible across task retries.
 
-    ``numbering="range"`` (default): range-partition on (keys, order) — Spark
+    ``numbering="time_bucket"`` (default) ranks inside (key, time bucket) and adds the
+    rows of the key's earlier buckets; it is one lazy plan and bounded by one bucket of
+    one key (choose ``bucket_seconds`` for the densest key). ``numbering="range"``
+    writes a stage table: range-partition on (keys, order) — Spark
     samples the data, so a hot key, a hot time bucket or a hot instant is split
     over balanced, ordered partitions — sort within partitions, take each row's
     index in its partition (``monotonically_increasing_id`` after the sort), and
     add the row counts of the key's earlier partitions from a (key, partition)
-    count table. ``numbering="time_bucket"`` ranks inside (key, time bucket)."""
+    count table."""
     if spec.numbering == "range":
         return _position_by_range(df, spec)
     keys = list(spec.keys)
@@ -85,7 +88,7 @@ def with_position(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     counts = counts.select(*keys, "_tb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     local = Window.partitionBy(*keys, "_tb").orderBy(*[F.col(c).asc_nulls_first() for c in spec.order])
     d = d.withColumn("_lp", F.row_number().over(local))
-    d = d.join(counts, on=keys + ["_tb"], how="inner")
+    d = join_small(d, counts, keys + ["_tb"])
     pos = (F.col("_base") + F.col("_lp")).cast("long")
     return (d.withColumn(POS, pos)
              .withColumn(BLK, F.floor((F.col(POS) - 1) / F.lit(spec.block_rows)).cast("long"))
@@ -105,13 +108,21 @@ def _position_by_range(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     counts = d.groupBy(*keys, "_rp").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     before = Window.partitionBy(*keys).orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*keys, "_rp", "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    d = d.join(counts, on=keys + ["_rp"], how="inner")
+    d = join_small(d, counts, keys + ["_rp"])
     pos = (F.col("_base") + F.col("_mid") - F.col("_m0") + 1).cast("long")
     return (d.withColumn(POS, pos)
              .withColumn(BLK, F.floor((F.col(POS) - 1) / F.lit(spec.block_rows)).cast("long"))
              .drop("_mid", "_rp", "_m0", "_base"))
 
 
+def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join that also matches null keys: a series whose key is null is a series."""
+    names = {c: f"_on_{c}" for c in on}
+    right = small.withColumnsRenamed(names)
+    cond = reduce(lambda a, b: a & b, [df[c].eqNullSafe(right[names[c]]) for c in on])
+    return df.join(right, cond, how).drop(*names.values())
+
+
 def ensure_position(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     return df if POS in df.columns else with_position(df, spec)
 
@@ -193,7 +204,7 @@ def block_scan(df: DataFrame, spec: SeriesSpec, sums: dict[str, Column] | None =
     finals += [F.coalesce(F.col(f"_ll_{o}"), F.col(f"_cl_{o}")).alias(o) for o in lasts]
     finals += [F.coalesce(F.col(f"_ln_{o}"), F.col(f"_cn_{o}")).alias(o) for o in nexts]
     kept = [c for c in df.columns if c not in set(sums) | set(lasts) | set(nexts)]
-    return df.select("*", *local).join(edge, on=keys + [BLK], how="inner").select(*kept, *finals)
+    return join_small(df.select("*", *local), edge, keys + [BLK]).select(*kept, *finals)
 
 
 def key_totals(df: DataFrame, spec: SeriesSpec, aggs: dict[str, tuple[str, Column]]) -> DataFrame:
@@ -206,7 +217,7 @@ def key_totals(df: DataFrame, spec: SeriesSpec, aggs: dict[str, tuple[str, Colum
     edge = df.groupBy(*keys, BLK).agg(*[fn[k](c).alias(f"_kt_{o}") for o, (k, c) in aggs.items()])
     whole = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edge = edge.select(*keys, BLK, *[fn[k](f"_kt_{o}").over(whole).alias(o) for o, (k, _) in aggs.items()])
-    return df.join(edge, on=keys + [BLK], how="inner")
+    return join_small(df, edge, keys + [BLK])
 
 
 def run_boundaries(flag: str, spec: SeriesSpec, max_gap_seconds: int | None = None) -> dict[str, Column]:
@@ -252,19 +263,10 @@ def segment_runs(df: DataFrame, spec: SeriesSpec, flag: str, prefix: str = "run"
     return run_finish(block_scan(d, spec, sums=sums, lasts=lasts, nexts=nexts), prefix)
 
 
-def halo_frame(df: DataFrame, spec: SeriesSpec, before: int = 0, after: int = 0) -> DataFrame:
-    """Alias of ``with_halo`` for callers that compute windows then ``own_rows``."""
-    return with_halo(df, spec, before, after)
-
-
 def own_rows(df: DataFrame) -> DataFrame:
     return df.filter(F.col(OWN)).drop(OWN)
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
 def materialize(df: DataFrame, enabled: bool = True) -> DataFrame:
     """Cut lineage at a stage boundary: write the frame once as a Parquet table in
     a fresh folder under the shared ``spark.checkpoint.dir`` and read it back.

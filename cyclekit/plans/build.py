@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..functions.scalar import nan_to_null
 from ..operators.clean import centered_exprs, despike_finish, interp_finish, interp_scan, null_sentinel
 from ..operators.cycles import active_rows, add_flag, cycle_finish
 from ..operators.features import add_reactor_code, calendar_features, ratio_features, run_features
@@ -22,12 +23,15 @@ def build_dataset(aligned: DataFrame, spec: SeriesSpec, current_col: str = "curr
                   sentinel=SENTINEL_VALUE, spike_k: float = NO3_SPIKE_STD_THRESHOLD,
                   spike_abs: float | None = NO3_ABSOLUTE_THRESHOLD, interp_cols: list[str] = INTERP_COLS,
                   clean_temp_first: bool = False, clean_no3_sentinel: bool = False,
-                  step: int = STEP_MINUTES, checkpoint: bool = True) -> DataFrame:
+                  step: int = STEP_MINUTES, checkpoint: bool = False) -> DataFrame:
     """Step feature table. ``aligned`` has spec.keys, spec.order, nh4, no3, ph,
-    temp and ``current_col``. The cleaned series and the final table are
-    checkpointed to the shared checkpoint folder (``checkpoint=False`` keeps one
-    lazy plan). Options: ``clean_temp_first`` (V4: temp sentinel
+    temp and ``current_col``; NaN counts as missing. One lazy plan: nothing is written
+    unless ``checkpoint=True`` asks for the cleaned series and the final table as stage
+    tables in the shared checkpoint folder, which a caller with many uses of the step
+    table wants. Options: ``clean_temp_first`` (V4: temp sentinel
     nulled before do_saturation) and ``clean_no3_sentinel`` (V5)."""
+    measured = sorted({"nh4", "no3", "ph", "temp", current_col, *interp_cols} & set(aligned.columns))
+    aligned = aligned.withColumns({c: nan_to_null(c) for c in measured})      # NaN is a missing value
     cols = list(sentinel_cols) + (["no3"] if clean_no3_sentinel else []) + (["temp"] if clean_temp_first else [])
     d = with_position(aligned, spec)
     d = add_flag(null_sentinel(d, cols, sentinel), current_col, threshold)

@@ -108,7 +108,7 @@ def q_sample_n(spark, sf):
 START_FEATS = [("current_r" if f == "상전류(R)" else f) for f in XGB_FEATURES if f != "reactor"]
 SPLIT_AT = "2024-01-16 00:00:00"
 VALID_FROM = "2024-01-11 00:00:00"
-ML_PARAMS = models.GBTParams(max_iter=60)
+ML_PARAMS = models.GBTParams()
 
 
 def _start_frame(spark, sf) -> DataFrame:
@@ -143,9 +143,9 @@ def q_importance(spark, sf):
 @register("permutation_importance")
 def q_permutation(spark, sf):
     model, d = _start_model(spark, sf)
-    sample = models.sample_n(d.filter(F.col("split") == "test"), ["user_id", "event_id"], 1000)
+    test = d.filter(F.col("split") == "test")
     path = scratch_path(spark, "permutation")
-    write_features(models.permutation_importance(model, sample, START_FEATS, "cycle_runtime",
+    write_features(models.permutation_importance(model, test, START_FEATS, "cycle_runtime",
                                                  ["user_id", "event_id"]), path)   # IO5
     return spark.read.parquet(path)
 
@@ -153,14 +153,13 @@ def q_permutation(spark, sf):
 @register("monotone_audit")
 def q_monotone(spark, sf):
     model, d = _start_model(spark, sf)
-    sample = models.sample_n(d.filter(F.col("split") == "test"), ["user_id", "event_id"], 200)
-    return models.monotone_audit(model, sample, START_FEATS, ["nh4", "nh4_rolling_mean"], ["user_id", "event_id"])
+    test = d.filter(F.col("split") == "test")
+    return models.monotone_audit(model, test, START_FEATS, ["nh4", "nh4_rolling_mean"], ["user_id", "event_id"])
 
 
 @register("step_model_scores")
 def q_step_model(spark, sf):
     from ..operators.features import apply_scaler, fit_scaler, sliding_sequences, window_matrix
-    from ..operators.series import POS
     from .registry import SCALE_FEATS, _cno
     full = _cno(spark, sf)
     on = full.filter(F.col("current_aeration") == 1)
@@ -175,13 +174,29 @@ def q_step_model(spark, sf):
     flat = flat.withColumn("split", F.when(F.col("ts") < F.lit(SPLIT_AT).cast("timestamp_ntz"), "train")
                            .otherwise("test"))
     feats = [f"x{i}" for i in range(n)]
-    model = models.fit_model(flat.filter(F.col("split") == "train"), feats, "T_remaining",
-                             models.GBTParams(max_iter=30))
+    flat = flat.withColumn("is_val", F.col("ts") >= F.lit(VALID_FROM).cast("timestamp_ntz"))
+    model = models.fit_model(flat.filter(F.col("split") == "train"), feats, "T_remaining", ML_PARAMS,
+                             validation_col="is_val")
     s = models.score(model, flat.filter(F.col("split") == "test"))
-    del POS
     return s.select("user_id", "event_id", "T_remaining", r6("pred"))
 
 
+@register("model_backtest")
+def q_model_backtest(spark, sf):
+    """Fit the start model, score the test starts, replay the cycles that have a
+    prediction, and report the stop KPIs with the number of skipped cycles."""
+    from ..operators import control, metrics
+    from .registry import SPEC
+    st = steps(spark, sf)
+    model, d = _start_model(spark, sf)
+    scored = models.score(model, d.filter(F.col("split") == "test"), "start_model_pred").select(
+        "user_id", "ts", "event_id", "cycle_runtime", "start_model_pred")
+    rep = control.replay(st, scored, SPEC, "start_model_pred", SI.step_pred_expr())
+    kpis = metrics.stop_kpis(control.cycle_outcomes(rep, ["user_id"], "cycle_no"))
+    every = starts_of(st).join(scored.select("user_id", "event_id", "start_model_pred"), ["user_id", "event_id"], "left")
+    return kpis.join(F.broadcast(control.skipped_cycles(every, "start_model_pred")))   # one row each
+
+
 # ================================================================ streaming (ST1-ST5)
 def control_events(spark, sf, drop_features: bool = False) -> DataFrame:
     """Control events derived from the step table: one start per cycle (on-row with
@@ -235,11 +250,13 @@ def q_control_stream(spark, sf):
 
 
 @register("feature_stream", with_chain("replayed") + f"""SELECT CAST(user_id AS VARCHAR) AS reactor, event_id AS seq,
-  {R6('nh4_diff')}, {R6('nh4_rolling_mean')} FROM replayed""")
+  {', '.join(R6(c) for c in ST.RUN_FEATURES)}, sha256(CAST(user_id AS VARCHAR) || '|' ||
+  strftime(max(CASE WHEN elapsed_time = 0 THEN ts END) OVER (PARTITION BY user_id, cycle_no), '%Y-%m-%d %H:%M:%S'))[:32]
+  AS cycle_id FROM replayed""")
 def q_feature_stream(spark, sf):
     out = run_stream(spark, control_events(spark, sf, drop_features=True), ST.control_stream, "features")
-    return out.filter(F.col("event_kind") == "tick").select("reactor", "seq", r6("nh4_diff"),
-                                                            r6("nh4_rolling_mean"))
+    return out.filter(F.col("event_kind") == "tick").select("reactor", "seq", "cycle_id",
+                                                            *[r6(c) for c in ST.RUN_FEATURES])
 
 
 def _validate_sql() -> str:

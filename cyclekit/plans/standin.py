@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..operators.series import SeriesSpec
 from .build import build_dataset
 
-SPEC = SeriesSpec(keys=("user_id",), order=("ts", "event_id"), bucket_seconds=86_400, block_rows=64)
+SPEC = SeriesSpec(keys=("user_id",), order=("ts", "event_id"), bucket_seconds=86_400)
 ON_THRESHOLD = 10.0
 
 

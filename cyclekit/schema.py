@@ -21,7 +21,6 @@ STEP_MINUTES = 10
 QUALITY_REACTORS = ["반응조 A", "반응조 B"]
 CURRENT_REACTORS = ["MOP-202A 포기기", "MOP-202B 포기기"]
 REACTOR_NAME_MAP = {"MOP-202A 포기기": "반응조A", "MOP-202B 포기기": "반응조B"}
-REACTOR_CODE = {"반응조A": 0, "반응조B": 1}
 VALID_REACTORS = ["반응조A", "반응조B"]
 
 SENTINEL_COLS = ["nh4", "ph"]
@@ -69,11 +68,7 @@ AERATOR_RATIO = 0.55
 KRW_PER_KWH = 110
 TEST_MONTH_DAYS = 31
 
-TRAIN_END = "2020-12-01 00:00:00"
-TRAIN_MONTHS = [6, 7, 8, 9, 10, 11]
-TEST_MONTHS = [12]
 SEPT_IMPUTE = {"temp": (23.87, 21.33), "do_saturation": (8.437, 8.843)}
-IMPUTE_MONTH = 9
 IMPUTE_MONTH_SPAN_DAYS = 29
 
 STAGES = [("0~30", 0, 30), ("31~90", 31, 90), ("91+", 91, 9999)]
@@ -96,8 +91,6 @@ INPUT_BOUNDS = {
     "weekday": (0, 6),
 }
 
-# API field name <-> sensor column name
-API_TO_SENSOR = {"current_r": "상전류(R)"}
 # ---------------------------------------------------------------------------
 
 

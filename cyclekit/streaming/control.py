@@ -24,6 +24,9 @@ from ..schema import (LSTM_WINDOW_THRESHOLD, MAX_T_SIGNAL, MIN_T_SIGNAL, SCALER_
 SENSOR_FIELDS = ["nh4", "no3", "ph", "temp", "current_r", "nh4_no3_ratio", "do_saturation", "nh4_diff",
                  "no3_diff", "ph_diff", "nh4_rolling_mean", "nh4_decay_rate", "hour_sin", "hour_cos"]
 
+#: Features of the run so far, filled in when the client did not send them (ST5).
+RUN_FEATURES = ["nh4_diff", "no3_diff", "ph_diff", "nh4_decay_rate", "nh4_rolling_mean"]
+
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_kind", T.StringType()),
     T.StructField("event_time", T.TimestampNTZType()),
@@ -48,8 +51,7 @@ DECISION_SCHEMA = T.StructType([
     T.StructField("t_signal", T.IntegerType()),
     T.StructField("was_clamped", T.BooleanType()),
     T.StructField("should_continue", T.BooleanType()),
-    T.StructField("nh4_diff", T.DoubleType()),
-    T.StructField("nh4_rolling_mean", T.DoubleType()),
+    *[T.StructField(c, T.DoubleType()) for c in RUN_FEATURES],
 ])
 
 STATE_SCHEMA = T.StructType([
@@ -60,36 +62,38 @@ STATE_SCHEMA = T.StructType([
     T.StructField("history", T.StringType()),
 ])
 
-StepModel = Callable[[list[dict], dict], float]
+StepModel = Callable[[list[dict], dict], "float | None"]
 
 
 def standin_step_model(window: list[dict], row: dict) -> float:
     """Stand-in step predictor (same formula as the batch back-test), on the raw
     current row: 3 * nh4_rolling_mean - elapsed_time. A real model scores
-    ``window`` (the scaled buffer, oldest first)."""
+    ``window`` (the scaled buffer, oldest first). No prediction without the mean."""
+    if row.get("nh4_rolling_mean") is None:
+        return None
     return 3.0 * row["nh4_rolling_mean"] - row["elapsed_time"]
 
 
 def cycle_id_for(reactor: str, start_time) -> str:
     """ST3: replay-safe cycle id (a hash of reactor and start time, not a random uuid)."""
-    return hashlib.sha256(f"{reactor}|{start_time}".encode()).hexdigest()[:32]
+    return hashlib.sha256(f"{reactor}|{start_time:%Y-%m-%d %H:%M:%S}".encode()).hexdigest()[:32]
 
 
 def _features_from_history(row: dict, hist: list[dict], step: int = STEP_MINUTES) -> dict:
     """ST5: fill run features a client did not send from the cycle's recent samples."""
+    def change(c: str, back: int) -> float:
+        """Change since ``back`` samples ago; 0 where either value is missing."""
+        old = hist[-back].get(c) if len(hist) >= back else None
+        return row[c] - old if old is not None and row.get(c) is not None else 0.0
+
     out = dict(row)
-    if out.get("nh4_diff") is None:
-        out["nh4_diff"] = (row["nh4"] - hist[-1]["nh4"]) if hist and row["nh4"] is not None else 0.0
-    if out.get("no3_diff") is None:
-        out["no3_diff"] = (row["no3"] - hist[-1]["no3"]) if hist and row["no3"] is not None else 0.0
-    if out.get("ph_diff") is None:
-        out["ph_diff"] = (row["ph"] - hist[-1]["ph"]) if hist and row["ph"] is not None else 0.0
+    for c in ("nh4", "no3", "ph"):
+        if out.get(f"{c}_diff") is None:
+            out[f"{c}_diff"] = change(c, 1)
     if out.get("nh4_decay_rate") is None:
-        out["nh4_decay_rate"] = ((row["nh4"] - hist[-3]["nh4"]) / (3 * step)
-                                 if len(hist) >= 3 and row["nh4"] is not None else 0.0)
+        out["nh4_decay_rate"] = change("nh4", 3) / (3 * step)
     if out.get("nh4_rolling_mean") is None:
-        vals = [h["nh4"] for h in hist[-5:]] + [row["nh4"]]
-        vals = [v for v in vals if v is not None]
+        vals = [v for v in [*(h.get("nh4") for h in hist[-5:]), row.get("nh4")] if v is not None]
         out["nh4_rolling_mean"] = sum(vals) / len(vals) if vals else None
     return out
 
@@ -117,7 +121,7 @@ def make_processor(step_model: StepModel = standin_step_model,
             sp, le, cid, buf, hist = state.get
             buffer, history = json.loads(buf), json.loads(hist)
         else:
-            sp, le, cid, buffer, history = 0, -1, None, [], []
+            sp, le, cid, buffer, history = None, -1, None, [], []
         batch = pd.concat(list(pdfs), ignore_index=True)
         batch = batch.assign(_k=(batch["event_kind"] != "start").astype(int))
         batch = batch.sort_values(["event_time", "seq", "_k"], kind="stable").drop(columns="_k")
@@ -127,13 +131,18 @@ def make_processor(step_model: StepModel = standin_step_model,
             kind = rec["event_kind"]
             if kind == "start":
                 pred = rec.get("start_pred_raw")
-                sp = int(max(MIN_T_SIGNAL, pred if pred is not None else 0.0))
+                sp = None if pred is None else int(min(max(MIN_T_SIGNAL, pred), 2 ** 31 - 1))
                 le, buffer, history = -1, [], []
                 cid = cycle_id_for(reactor, rec["event_time"])
                 out.append(dict(reactor=reactor, event_kind=kind, event_time=rec["event_time"], seq=rec["seq"],
                                 cycle_id=cid, elapsed_time=0, start_pred=sp, buffer_fill=0, mode=None,
                                 t_signal=None, was_clamped=None, should_continue=None,
-                                nh4_diff=None, nh4_rolling_mean=None))
+                                **dict.fromkeys(RUN_FEATURES)))
+                continue
+            if rec["elapsed_time"] is None or sp is None:
+                # nothing to decide on: a tick without elapsed time, or a cycle without a prediction
+                out.append({**dict.fromkeys(f.name for f in DECISION_SCHEMA.fields), "reactor": reactor, "event_kind": "skipped",
+                            "event_time": rec["event_time"], "seq": rec["seq"], "cycle_id": cid})
                 continue
             elapsed = int(rec["elapsed_time"])
             if elapsed < le:
@@ -147,13 +156,13 @@ def make_processor(step_model: StepModel = standin_step_model,
             if elapsed < LSTM_WINDOW_THRESHOLD or len(buffer) < WINDOW_SIZE:
                 mode, raw = "xgb_only", base
             else:
-                mode, raw = "integrated", max(base, max(0.0, float(step_model(buffer, row))))
+                step_pred = step_model(buffer, row)
+                mode, raw = "integrated", max(base, 0.0 if step_pred is None else float(step_pred))
             t = int(min(max(raw, MIN_T_SIGNAL), MAX_T_SIGNAL))
             out.append(dict(reactor=reactor, event_kind=kind, event_time=rec["event_time"], seq=rec["seq"],
                             cycle_id=cid, elapsed_time=elapsed, start_pred=sp, buffer_fill=len(buffer), mode=mode,
                             t_signal=t, was_clamped=not (MIN_T_SIGNAL <= raw <= MAX_T_SIGNAL),
-                            should_continue=t > STOP_THRESHOLD, nh4_diff=row["nh4_diff"],
-                            nh4_rolling_mean=row["nh4_rolling_mean"]))
+                            should_continue=t > STOP_THRESHOLD, **{c: row[c] for c in RUN_FEATURES}))
         state.update((sp, le, cid, json.dumps(buffer), json.dumps(history)))
         cols = [f.name for f in DECISION_SCHEMA.fields]
         yield pd.DataFrame(out, columns=cols)
@@ -178,10 +187,13 @@ def control_stream(events: DataFrame, step_model: StepModel = standin_step_model
         GroupStateTimeout.NoTimeout)
 
 
-def validate_stream(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """ST2: stateless range checks; returns (valid, quarantine)."""
+def validate_stream(events: DataFrame, reactors: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """ST2: stateless checks; returns (valid, quarantine). A reactor must be named and, with
+    ``reactors``, be one of them."""
     from ..operators.clean import range_rules, validate_rows
     rules = range_rules(reactor_col=None, elapsed_col=None)
+    known = F.col("reactor").isin(*reactors) if reactors else F.lit(True)
+    rules.append(("reactor_unknown", F.col("reactor").isNull() | ~known))
     tick = F.col("event_kind") == "tick"
     e = F.col("elapsed_time")
     rules.append(("elapsed_time_step", tick & (e.isNull() | (F.pmod(e, F.lit(STEP_MINUTES)) != 0))))
