@@ -211,3 +211,76 @@ def test_repeated_tick(spark, dedupe):
     r = control.replay(d, starts, spec(2), "start_pred_raw", F.lit(0.0), checkpoint=False, dedupe_repeats=dedupe)
     got = [row[0] for row in ordered(r, "buffer_fill")]
     assert got == ([1, 2, 3] if dedupe else [1, 2, 3, 4])
+
+
+def test_csv_columns_follow_the_header(spark, tmp_path):
+    """IO1: named columns in any order, the header cell in any place, narrow files, NaN text;
+    surplus cells are an error."""
+    from cyclekit.schema import QUALITY_SCHEMA
+    from cyclekit.sources.readers import read_sensor_csv, read_sensor_csv_any_charset
+    files = {"a.csv": "계측기명,수집시간,ph,nh4\nA,t,7.1,5.5\n", "b.csv": "수집시간,계측기명,nh4,extra\nt,B,NaN,zz\n",
+             "c.csv": "C,t,4.5\n", "d.csv": ""}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    want = {("A", "t", 5.5, 7.1, None), ("B", "t", None, None, None), ("C", "t", 4.5, None, None)}
+    cols = ["계측기명", "수집시간", "nh4", "ph", "no3"]
+    assert {tuple(r) for r in read_sensor_csv(spark, [str(tmp_path)], QUALITY_SCHEMA, "계측기명").select(*cols).collect()} == want
+    legacy = [str(tmp_path / "l.csv"), str(tmp_path / "m.csv")]
+    (tmp_path / "l.csv").write_bytes(files["a.csv"].encode("cp949"))
+    (tmp_path / "m.csv").write_bytes(files["b.csv"].encode("cp949"))
+    got = read_sensor_csv_any_charset(spark, legacy, QUALITY_SCHEMA, "계측기명").select(*cols).collect()
+    assert {tuple(r) for r in got} == want - {("C", "t", 4.5, None, None)}
+    (tmp_path / "wide").mkdir()
+    (tmp_path / "wide" / "w.csv").write_text("계측기명,nh4\nA,1,2,3\n", encoding="utf-8")
+    with pytest.raises(Exception):
+        read_sensor_csv(spark, [str(tmp_path / "wide")], QUALITY_SCHEMA, "계측기명").collect()
+
+
+def test_missing_prediction_is_no_signal(spark):
+    """Null and NaN predictions stay null; their cycles are skipped and counted."""
+    from cyclekit.functions.scalar import clip_nonneg, start_floor
+    d = spark.createDataFrame([(None,), (float("nan"),), (3.0,), (float("inf"),)], "p double")
+    got = d.select(start_floor("p").alias("s"), clip_nonneg("p").alias("c")).collect()
+    assert [r.s for r in got] == [None, None, 10, 2 ** 31 - 1] and [r.c for r in got][:3] == [None, None, 3.0]
+    counts = control.skipped_cycles(d, "p").first()
+    assert (counts.n_replayed, counts.n_skipped) == (2, 2)
+
+
+def test_stream_survives_missing_values():
+    """ST1/ST5: missing sensors, a tick without elapsed time, a start without a prediction."""
+    import pandas as pd
+
+    from cyclekit.streaming.control import SENSOR_FIELDS, make_processor
+
+    class State:
+        exists, value = False, None
+
+        @property
+        def get(self):
+            return self.value
+
+        def update(self, v):
+            self.exists, self.value = True, v
+
+    def event(i, kind, elapsed, pred, nh4):
+        return {**dict.fromkeys(SENSOR_FIELDS), "event_kind": kind, "event_time": T0 + timedelta(minutes=i), "seq": i, "reactor": "A",
+                "elapsed_time": elapsed, "start_pred_raw": pred, "nh4": nh4, "weekday": 0}
+
+    state, run = State(), make_processor()
+    first = [event(0, "start", 0, 50.0, 1.0), event(1, "tick", 0, None, None), event(2, "tick", None, None, 2.0), event(3, "tick", 10, None, 3.0)]
+    second = [event(4, "tick", 20, None, 4.0), event(5, "start", 0, None, 1.0), event(6, "tick", 0, None, 1.0)]
+    out = [r for part in (first, second) for pdf in run(("A",), iter([pd.DataFrame(part)]), state) for r in pdf.to_dict("records")]
+    assert [r["event_kind"] for r in out] == ["start", "tick", "skipped", "tick", "tick", "start", "skipped"]
+    assert [r["t_signal"] for r in out if r["event_kind"] == "tick"] == [50, 40, 30]
+    assert [r["nh4_diff"] for r in out if r["event_kind"] == "tick"] == [0.0, 0.0, 1.0]
+
+
+def test_audit_batch_replaces_itself(spark, tmp_path):
+    """IO4: a replayed batch, also one that was cut short, leaves its rows once."""
+    from cyclekit.sources.sinks import append_audit
+    d = spark.createDataFrame([(i, T0 + timedelta(days=i % 2)) for i in range(10)], "seq long, timestamp timestamp_ntz")
+    path = str(tmp_path / "audit")
+    append_audit(d.limit(4), path, batch_id=3, partition_by=("date",))
+    append_audit(d, path, batch_id=3, partition_by=("date",))
+    append_audit(d, path, batch_id=4, partition_by=("date",))
+    assert {r["batch_id"]: r["count"] for r in spark.read.parquet(path).groupBy("batch_id").count().collect()} == {3: 10, 4: 10}
