@@ -202,8 +202,19 @@ _simple_step("run_diff", ["nh4_diff", "no3_diff", "ph_diff"])
 _simple_step("decay_rate", ["nh4_decay_rate"])
 _simple_step("rolling_mean", ["nh4_rolling_mean"])
 _simple_step("guarded_ratio", ["nh4_no3_ratio"])
-_simple_step("do_saturation", ["do_saturation"])
-_simple_step("cyclic_hour", ["hour", "hour_sin", "hour_cos"])
+
+
+def _simple_row(name, cols):
+    """Row formulas straight from the source columns: no series positions are needed."""
+    @register(name, with_chain("steps") + f"SELECT {_step_sql(['user_id', 'event_id'] + cols)} FROM steps")
+    def q(spark, sf):
+        d = features.ratio_features(features.calendar_features(SI.aligned(spark, sf), "ts"))
+        return d.select(*_step_select(["user_id", "event_id"] + cols))
+    return q
+
+
+_simple_row("do_saturation", ["do_saturation"])
+_simple_row("cyclic_hour", ["hour", "hour_sin", "hour_cos"])
 _simple_step("interpolate_linear", ["nh4", "no3", "ph"])
 
 
@@ -236,13 +247,15 @@ def q_calendar(spark, sf):
                     S.month_of("ts").alias("month"), S.day_of("ts").alias("day"))
 
 
-@register("impute_ramp", with_chain("steps") + """SELECT event_id,
-  round(CASE WHEN month(ts) = 1 THEN 23.87 + (21.33 - 23.87) * (day(ts) - 1) / 29.0 ELSE temp END, 6) AS temp,
-  round(CASE WHEN month(ts) = 1 THEN 8.437 + (8.843 - 8.437) * (day(ts) - 1) / 29.0 ELSE do_saturation END, 6)
-  AS do_saturation FROM steps""")
+@register("impute_ramp", """SELECT event_id,
+  round(CASE WHEN month(t) = 1 THEN 23.87 + (21.33 - 23.87) * (day(t) - 1) / 29.0 ELSE temp END, 6) AS temp,
+  round(CASE WHEN month(t) = 1 THEN 8.437 + (8.843 - 8.437) * (day(t) - 1) / 29.0 ELSE 468.0 / (31.6 + temp) END, 6)
+  AS do_saturation FROM (SELECT event_id, ts + to_months(CAST(event_id % 2 AS INTEGER)) AS t,
+  5.0 + CAST(json_extract_string(props, '$.k') AS DOUBLE) / 4 AS temp FROM events)""")
 def q_impute_ramp(spark, sf):
-    # the test data covers one month, so the ramp month is 1 here (9 in the source system)
-    d = clean.impute_ramp(steps(spark, sf), "ts", SEPT_IMPUTE, month=1, span_days=29)
+    # the events cover one month: odd ids move a month on, so that both branches run
+    d = SI.aligned(spark, sf).withColumn("ts", F.expr("ts + make_ym_interval(0, cast(event_id % 2 AS int))"))
+    d = clean.impute_ramp(features.ratio_features(d), "ts", SEPT_IMPUTE, month=1, span_days=29)
     return d.select("event_id", r6("temp"), r6("do_saturation"))
 
 
