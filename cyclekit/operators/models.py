@@ -78,9 +78,9 @@ def feature_importance(model: PipelineModel, features: list[str], spark) -> Data
 
 
 def sample_n(df: DataFrame, key_cols: list[str], n: int = 1000, seed: int = 42) -> DataFrame:
-    """Reproducible sample of n rows: the n smallest hashes of (seed, key).
+    """Reproducible sample of n rows: the n smallest MD5 hashes of (seed, key).
     Spark runs this as a per-partition top-n plus a merge of n-row lists."""
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols])
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols]).cast("binary"))
     return df.withColumn("_h", h).orderBy("_h", *key_cols).limit(n).drop("_h")
 
 

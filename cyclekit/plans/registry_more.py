@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import models
-from ..schema import QUALITY_SCHEMA, XGB_FEATURES
+from ..operators.series import materialize
+from ..schema import AUDIT_SCHEMA, QUALITY_SCHEMA, XGB_FEATURES
 from ..session import ensure_checkpoint_dir
 from ..sources.readers import read_sensor_csv
 from ..sources.sinks import append_audit, upsert_metrics, write_features
@@ -82,27 +83,39 @@ def q_metrics_upsert(spark, sf):
     return upsert_metrics(old, new).select("section", "metric", "value", "updated_at")
 
 
-@register("audit_append", with_chain("replayed") + """SELECT sha256(concat_ws('|', user_id, event_id)) AS request_id,
-  CAST(user_id AS VARCHAR) AS reactor, elapsed_time, t_signal, should_continue, was_clamped, mode, ts AS "timestamp"
-  FROM replayed""")
+_AUDIT_DOUBLES = [f.name for f in AUDIT_SCHEMA.fields if f.dataType.typeName() == "double"]
+_AUDIT_REST = ["weekday", "elapsed_time", "t_signal", "should_continue", "was_clamped", "mode"]
+
+
+@register("audit_append", with_chain("replayed") + f"""SELECT sha256(concat_ws('|', user_id, event_id)) AS request_id,
+  sha256(CAST(user_id AS VARCHAR) || '|' || strftime(min(ts) OVER (PARTITION BY user_id, cycle_no), '%Y-%m-%d %H:%M:%S'))[:32]
+  AS cycle_id, CAST(user_id AS VARCHAR) AS reactor, {', '.join(R6(c) for c in _AUDIT_DOUBLES)},
+  {', '.join(_AUDIT_REST)}, ts AS "timestamp" FROM replayed""")
 def q_audit_append(spark, sf):
+    """Every column of the audit table; the batch is written twice and must appear once."""
     path = scratch_path(spark, "audit")
-    d = replayed(spark, sf).select(
-        F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), F.col("event_id").cast("string")), 256)
-        .alias("request_id"), F.col("user_id").cast("string").alias("reactor"), "elapsed_time", "t_signal",
-        "should_continue", "was_clamped", "mode", F.col("ts").alias("timestamp"))
+    d = materialize(replayed(spark, sf))        # used three times
+    began = d.groupBy("user_id", "cycle_no").agg(F.min("ts").alias("_began"))
+    d = d.join(began, ["user_id", "cycle_no"])
+    reactor = F.col("user_id").cast("string")
+    d = d.select(
+        F.sha2(F.concat_ws("|", reactor, F.col("event_id").cast("string")), 256).alias("request_id"),
+        F.substring(F.sha2(F.concat_ws("|", reactor, F.date_format("_began", "yyyy-MM-dd HH:mm:ss")), 256), 1, 32).alias("cycle_id"),
+        reactor.alias("reactor"), *_AUDIT_DOUBLES, *_AUDIT_REST, F.col("ts").alias("timestamp"))
     append_audit(d, path, batch_id=0, partition_by=("date",))
     append_audit(d, path, batch_id=0, partition_by=("date",))   # a replayed batch: must not duplicate rows
-    back = spark.read.parquet(path).withColumn("reactor", F.col("reactor").cast("string"))
-    return back.select("request_id", "reactor", "elapsed_time", "t_signal", "should_continue", "was_clamped",
-                       "mode", "timestamp")
+    back = spark.read.parquet(path)
+    return back.select("request_id", "cycle_id", F.col("reactor").cast("string").alias("reactor"),
+                       *[r6(c) for c in _AUDIT_DOUBLES], *_AUDIT_REST, "timestamp")
 
 
 # ================================================================ A14 and models
-@register("sample_n")
+@register("sample_n", with_chain("steps") + f"""SELECT user_id, event_id, {R6('nh4')}, cycle_runtime FROM steps
+  WHERE current_aeration = 1 AND elapsed_time = 0 AND ts >= TIMESTAMP '2024-01-16 00:00:00'
+  ORDER BY md5(concat_ws('|', '42', user_id, event_id)), user_id, event_id LIMIT 1000""")
 def q_sample_n(spark, sf):
-    return models.sample_n(steps(spark, sf).select("user_id", "event_id", "nh4", "T_remaining"),
-                           ["user_id", "event_id"], 1000)
+    test = starts_of(steps(spark, sf)).filter(F.col("ts") >= F.lit(SPLIT_AT).cast("timestamp_ntz"))
+    return models.sample_n(test, ["user_id", "event_id"], 1000).select("user_id", "event_id", r6("nh4"), "cycle_runtime")
 
 
 START_FEATS = [("current_r" if f == "상전류(R)" else f) for f in XGB_FEATURES if f != "reactor"]
