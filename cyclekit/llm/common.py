@@ -26,7 +26,8 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def delete_stage(df: DataFrame) -> None:
-    """Remove the files of a staged frame that nothing reads any more."""
+    """Remove the files of a staged frame that nothing reads any more: the caller has
+    written what follows from it."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}

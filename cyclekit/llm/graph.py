@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import delete_stage, stage
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -22,15 +22,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        big = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-               .where("u <> v").distinct())
+        big = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         near = big.join(low, "u")
-        e = stage(near.select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, e = e, stage(near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
                   .unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")),
-                    F.countDistinct("u")).first()
-        if now[0] == now[2] and now == before:
+        delete_stage(last)
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before or not now[0]:
             break
         before = now
     else:

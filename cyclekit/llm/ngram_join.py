@@ -33,11 +33,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as X
-from .common import stage
+from .common import delete_stage, stage
 from .graph import components
 
 _U = np.uint64
@@ -311,13 +311,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
              .where(F.col("c") >= max(4, heavy_share * total)).select("shingle").collect()]
 
     run, schema = _postings(k, threshold, np.array(heavy, np.int64).view(np.uint64))
-    posted = rows.mapInArrow(run, schema).repartition("key", "salt")
-    sub = posted.groupBy("key", "salt").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("m"))
-    plain = sub.where("salt = 0 and lo <> hi").select("key", "salt", "m")
-    salted = sub.where("salt > 0")
-    whole = salted.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m")).where("lo <> hi")
-    live = plain.unionByName(salted.select("key", "salt").join(whole.select("key", "m"), "key"))
-    members = stage(posted.join(live, ["key", "salt"]).select("key", "sid", "m"), "members").distinct()
+    # one shuffle of the postings: keep those whose key another set has too. A window holds
+    # an ordinary bucket, or one salt of a large one
+    bucket = Window.partitionBy("key", "salt")
+    posted = rows.mapInArrow(run, schema).select(
+        "*", F.min("sid").over(bucket).alias("lo"), F.max("sid").over(bucket).alias("hi"))
+    shared = stage(posted.where("salt > 0 or lo <> hi").select("key", "sid").distinct(), "postings")
+    live = shared.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    members = stage(shared.join(live.select("key", "m"), "key"), "members")
+    delete_stage(shared)
 
     # the best-connected member of each bucket is its centre
     weight = members.groupBy("sid").agg(F.sum("m").alias("w"))
@@ -364,8 +366,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
               .mapInArrow(_blocks(slack, threshold), "a long, b long")
               .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     second = stage(second.join(first, ["a", "b"], "left_anti"), "candidates")
-    links = links.unionAll(verified(second))
-    roots = components(links)
+    if not second.isEmpty():                 # join the components that the remaining links connect
+        of = roots.select(F.col("node"), F.col("root"))
+        more = verified(second)
+        for end in ("a", "b"):
+            more = more.join(of.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        upper = components(more)
+        alone = upper.join(roots, "node", "left_anti")
+        roots = roots.join(upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(
+            "node", F.coalesce("top", "root").alias("root")).unionAll(alone.select("node", "root"))
 
     named = roots.join(sets.select(F.col("sid").alias("node"), "rep"), "node")
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("component")), "root").select(
