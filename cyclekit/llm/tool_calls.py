@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import delete_stage, stage
 
 
 def canonical(value) -> str:
@@ -102,8 +102,9 @@ def depths(calls: DataFrame) -> DataFrame:
         if at.where("up is not null").isEmpty():
             break
         over = at.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        at = stage(at.join(over, ["conv_id", "up"], "left").select(
+        last, at = at, stage(at.join(over, ["conv_id", "up"], "left").select(
             "conv_id", "call_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "calls")
+        delete_stage(last)
     return at.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
