@@ -127,8 +127,9 @@ ML_PARAMS = models.GBTParams()
 def _start_frame(spark, sf) -> DataFrame:
     d = starts_of(steps(spark, sf)).select("user_id", "event_id", "ts", *START_FEATS, "cycle_runtime")
     ts = F.col("ts")
-    return (d.withColumn("split", F.when(ts < F.lit(SPLIT_AT).cast("timestamp_ntz"), "train").otherwise("test"))
-             .withColumn("is_val", ts >= F.lit(VALID_FROM).cast("timestamp_ntz")))
+    d = (d.withColumn("split", F.when(ts < F.lit(SPLIT_AT).cast("timestamp_ntz"), "train").otherwise("test"))
+          .withColumn("is_val", ts >= F.lit(VALID_FROM).cast("timestamp_ntz")))
+    return materialize(d)       # fits and audits read it many times
 
 
 def _start_model(spark, sf):
@@ -174,7 +175,7 @@ def q_monotone(spark, sf):
 def q_step_model(spark, sf):
     from ..operators.features import apply_scaler, fit_scaler, sliding_sequences, window_matrix
     from .registry import SCALE_FEATS, _cno
-    full = _cno(spark, sf)
+    full = materialize(_cno(spark, sf))
     on = full.filter(F.col("current_aeration") == 1)
     train_rows = on.filter(F.col("ts") < F.lit(SPLIT_AT).cast("timestamp_ntz"))
     params = fit_scaler(train_rows, SCALE_FEATS)
@@ -187,7 +188,7 @@ def q_step_model(spark, sf):
     flat = flat.withColumn("split", F.when(F.col("ts") < F.lit(SPLIT_AT).cast("timestamp_ntz"), "train")
                            .otherwise("test"))
     feats = [f"x{i}" for i in range(n)]
-    flat = flat.withColumn("is_val", F.col("ts") >= F.lit(VALID_FROM).cast("timestamp_ntz"))
+    flat = materialize(flat.withColumn("is_val", F.col("ts") >= F.lit(VALID_FROM).cast("timestamp_ntz")))
     model = models.fit_model(flat.filter(F.col("split") == "train"), feats, "T_remaining", ML_PARAMS,
                              validation_col="is_val")
     s = models.score(model, flat.filter(F.col("split") == "test"))
