@@ -8,12 +8,13 @@ domain's, that towards the suffix's, and that towards all pages'.
 A first pass labels every row by its text alone. Grouped aggregation over these labels
 gives how often each declared value and address part goes with each language, and the
 counts behind the priors; a row's own label is taken out of its host's counts. The second
-pass adds the log evidence. What leaves the executors is the text model (``BUCKETS``
-numbers a language, for languages with 0.1 % of the labelled texts or more) and the total
-of each language."""
+pass adds the log evidence. Every label is a language, however rare. What leaves the
+executors is the text model (the non-zero gram counts of each language, ``BUCKETS`` at
+most) and the total of each language: both grow with the languages, not with the corpus."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from .common import stage
 
 BUCKETS = 1 << 14
 EVIDENCE = 50.0        # a text counts as this many independent trigrams at most (they overlap)
+HELD = 256             # languages whose counts a task holds at once (128 KB each)
 STRENGTH = 5.0         # pseudo-rows with which each level is smoothed towards the next
 
 
@@ -44,51 +46,81 @@ def _grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bucket[inside[:-2]], run[off[1:]] - run[off[:-1]]
 
 
-def train_text_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
-                     min_share: float = 0.001) -> tuple[list[str], np.ndarray]:
-    """(languages in order, their log probabilities by bucket) from all texts that have a
-    label. Without labelled texts the model has no language."""
+@dataclass(frozen=True)
+class TextModel:
+    """Log probabilities by bucket: of the buckets that a language has, and of any other."""
+    buckets: list[np.ndarray]
+    values: list[np.ndarray]
+    other: list[float]
+
+    def row(self, k: int) -> np.ndarray:
+        out = np.full(BUCKETS, self.other[k], np.float32)
+        out[self.buckets[k]] = self.values[k]
+        return out
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, bucket, grams) of (lang, text) rows; bucket -1 counts the label's texts."""
+    sums: dict[str, np.ndarray] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, c in sums.items():
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at - 1, pa.int32()), pa.array(c[at])], names=["lang", "bucket", "n"])
+        sums.clear()
+    for batch in batches:
+        for part in X.slices(batch, "text"):
+            buf, off = X.text_buffer(part.column("text"))
+            bucket, n = _grams(buf, off)
+            labels = part.column("lang").dictionary_encode()
+            of = labels.indices.to_numpy()
+            few = len(labels.dictionary) <= 1 << 16          # 16-bit keys are sorted in linear time
+            order = np.argsort(np.repeat(of.astype(np.uint16) if few else of, n), kind="stable")
+            ends = np.cumsum(np.bincount(of, weights=n, minlength=len(labels.dictionary))).astype(np.int64)
+            texts = np.bincount(of, minlength=len(labels.dictionary))
+            lo = 0
+            for i, lang in enumerate(labels.dictionary.to_pylist()):
+                if lang not in sums:
+                    if len(sums) >= HELD:
+                        yield from flush()
+                    sums[lang] = np.zeros(BUCKETS + 1, np.int64)
+                sums[lang][1:] += np.bincount(bucket[order[lo:ends[i]]], minlength=BUCKETS)
+                sums[lang][0] += texts[i]
+                lo = ends[i]
+    yield from flush()
+
+
+def train_text_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], TextModel]:
+    """(languages, the commonest first, their text model) from all texts that have a
+    label. Every label is kept. Without labelled texts the model has no language."""
     d = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(
         "lang is not null and lang <> '' and text is not null")
-    shares = d.groupBy("lang").count()
-    total = shares.agg(F.sum("count")).first()[0] or 0
-    langs = sorted(r[0] for r in shares.where(F.col("count") >= max(1, min_share * total)).collect())
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(langs), BUCKETS), np.int64)
-        number = {lang: i for i, lang in enumerate(langs)}
-        for batch in batches:
-            for part in X.slices(batch, "text"):
-                buf, off = X.text_buffer(part.column("text"))
-                bucket, n = _grams(buf, off)
-                of = np.repeat(np.array([number.get(v, -1) for v in part.column("lang").to_pylist()], np.int64), n)
-                known = of >= 0
-                sums += np.bincount(of[known] * BUCKETS + bucket[known], minlength=sums.size).reshape(sums.shape)
-        lang, bucket = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(sums[lang, bucket])], names=["lang", "bucket", "n"])
-
-    model = np.full((len(langs), BUCKETS), 0.5)
-    if langs:
-        for lang, bucket, n in d.mapInArrow(count, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n")).toArrow().to_pandas().itertuples(index=False):
-            model[lang, bucket] += n
-    return langs, np.log(model / model.sum(axis=1, keepdims=True))
-
-
-def _scored(langs: list[str], model: np.ndarray, keep: list[str]):
-    table = model.T.astype(np.float32).copy()
-
+    sums = d.mapInArrow(_gram_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # one row a language: at most BUCKETS + 1 places and counts
+    found = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).toArrow()
+    rows = []
+    for lang, c in zip(found.column("lang").to_pylist(), (v.values for v in found.column("c").combine_chunks()) if found.num_rows else ()):
+        bucket, n = c.field("bucket").to_numpy(), c.field("n").to_numpy()
+        rows.append((-int(n[bucket < 0].sum()), lang, bucket[bucket >= 0], n[bucket >= 0] + 0.5))
+    rows.sort(key=lambda r: r[:2])
+    size = [r[3].sum() + 0.5 * (BUCKETS - len(r[3])) for r in rows]
+    return [r[1] for r in rows], TextModel([r[2].astype(np.uint16) for r in rows], [np.log(r[3] / t).astype(np.float32) for r, t in zip(rows, size)],
+                                           [float(np.log(0.5 / t)) for t in size])
+
+
+def _scored(size: int, model: TextModel, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in X.slices(batch, "text", X.SLICE_BYTES // 2):
                 buf, off = X.text_buffer(part.column("text"))
                 bucket, n = _grams(buf, off)
-                rows = np.zeros((part.num_rows, len(langs)))
+                rows = np.zeros((part.num_rows, size))
                 full = np.flatnonzero(n)
                 if len(full):
                     first = (np.cumsum(n) - n)[full]
-                    for k in range(len(langs)):
-                        rows[full, k] = np.add.reduceat(table[bucket, k], first, dtype=np.float64) / n[full] * np.minimum(n[full], EVIDENCE)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * len(langs), pa.int32()), pa.array(rows.ravel()))
+                    for k in range(size):
+                        rows[full, k] = np.add.reduceat(model.row(k)[bucket], first, dtype=np.float64) / n[full] * np.minimum(n[full], EVIDENCE)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * size, pa.int32()), pa.array(rows.ravel()))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], lists], names=[*keep, "ll"])
     return run
 
@@ -98,11 +130,11 @@ def _best(scores: Column) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
-def identify(rows: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
+def identify(rows: DataFrame, langs: list[str], model: TextModel) -> DataFrame:
     """``rows(text, declared, address, host, domain, suffix, ...)`` -> its other columns with
     ``text_lang``, ``language``, ``confidence``. Any evidence may be null and is then left
     out; a row without text, markup, address and host gets the commonest language. Ties
-    go to the first language in order. Without languages all three are null."""
+    go to the first (commonest) language. Without languages all three are null."""
     evidence = ["declared", "address", "host", "domain", "suffix"]
     other = [c for c in rows.columns if c not in {"text", *evidence}]
     if not langs:
@@ -110,18 +142,20 @@ def identify(rows: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
         return rows.select(*other, none.cast("string").alias("text_lang"), none.cast("string").alias("language"), none.cast("double").alias("confidence"))
     keep = [*other, *evidence]
     schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep), "ll array<double>"])
-    scored = rows.select(*keep, "text").mapInArrow(_scored(langs, model, keep), schema)
+    scored = rows.select(*keep, "text").mapInArrow(_scored(len(langs), model, keep), schema)
     size, names = len(langs), F.array(*[F.lit(v) for v in langs])
     scored = stage(scored.withColumn("first", _best(F.col("ll"))), "scored")
 
     def counts(d: DataFrame, *by: str) -> DataFrame:
         """Rows of each language under the key, as one array."""
-        return d.where(F.col(by[0]).isNotNull()).groupBy(*by).agg(
-            F.array(*[F.sum(F.when(F.col("first") == i, 1.0).otherwise(0.0)) for i in range(size)]).alias("c"))
+        by_lang = d.where(F.col(by[0]).isNotNull()).groupBy(*by, "first").agg(F.count("*").cast("double").alias("n"))
+        held = by_lang.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("first", "n"))).alias("m"))
+        return held.select(*by, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("c"))
 
-    totals = scored.agg(*[F.sum(F.when(F.col("first") == i, 1.0).otherwise(0.0)).alias(str(i)) for i in range(size)]).first()
-    every = sum(totals[i] or 0 for i in range(size))
-    whole = F.array(*[F.lit(((totals[i] or 0) + 1.0) / (every + size)) for i in range(size)])
+    totals = dict(scored.groupBy("first").count().collect())
+    every = sum(totals.values())
+    whole = F.array(*[F.lit((totals.get(i, 0) + 1.0) / (every + size)) for i in range(size)])
+    seen = F.array(*[F.lit(totals.get(i, 0) + 2.0) for i in range(size)])
 
     def smoothed(c: Column, base: Column) -> Column:
         n = F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
@@ -137,9 +171,9 @@ def identify(rows: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
     def likelihood(by: str, out: str) -> DataFrame:
         """log P(value | language) for each value of the column, add-one smoothed."""
         c = counts(scored, by)
-        return c.select(by, F.array(*[F.log((F.get("c", i) + F.lit(1.0)) / F.lit((totals[i] or 0) + 2.0)) for i in range(size)]).alias(out))
+        return c.select(by, F.zip_with("c", seen, lambda n, t: F.log((n + F.lit(1.0)) / t)).alias(out))
 
-    zero = F.array(*[F.lit(0.0)] * size)
+    zero = F.array_repeat(F.lit(0.0), size)
     d = (scored.join(likelihood("declared", "ld"), "declared", "left").join(likelihood("address", "la"), "address", "left")
          .join(hosts, "host", "left"))
     own = F.zip_with("hc", F.sequence(F.lit(0), F.lit(size - 1)), lambda c, i: F.greatest(F.lit(0.0), c - F.when(i == F.col("first"), 1.0).otherwise(0.0)))

@@ -163,6 +163,23 @@ def test_languages(spark):
     assert [r.language for r in none] == [None, None]
 
 
+def test_rare_languages_are_kept(spark):
+    """One labelled text in 2,000 is Swahili, and one in 4,000 has a label of its own."""
+    text = {"de": "der die das und nicht ist ein schön wir haben heute", "en": "the and of that with have this from they were there"}
+    rare = "watu wote wamezaliwa huru hadhi na haki zao ni sawa"
+    docs = [(i, list(text.values())[i % 2] + f" {i}", list(text)[i % 2], "s") for i in range(3997)]
+    docs += [(5000, rare, "sw", "s"), (5001, rare + " wote", "sw", "s"), (5002, "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ ᏣᎳᎩ", "chr", "s"), (5003, "", None, "s")]
+    html = '<html lang="{}"><p>{}</p></html>'
+    pages = [(1, "http://a.test/sw/1", html.format("sw", rare)), (2, "http://b.test/2", "<p>" + rare), (3, "http://a.test/de/3", html.format("de", text["de"]))]
+    got = language_id.languages(spark.createDataFrame(pages, "page_id long, url string, html string"),
+                                spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()
+    by_doc, by_page = {r.doc_id: r for r in got}, {r.page_id: r for r in got}
+    assert [by_doc[i].language for i in (5000, 5001, 5002)] == ["sw", "sw", "chr"]
+    assert [by_page[i].language for i in (1, 2, 3)] == ["sw", "sw", "de"]
+    assert by_doc[5003].language == "de"       # no evidence: the commonest language
+    assert all(by_doc[i].language == lang for i, _, lang, _ in docs[:3997])
+
+
 # ---------------------------------------------------------------- components, pipeline
 def test_components(spark):
     import random
