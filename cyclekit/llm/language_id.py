@@ -146,11 +146,17 @@ def identify(rows: DataFrame, langs: list[str], model: TextModel) -> DataFrame:
     size, names = len(langs), F.array(*[F.lit(v) for v in langs])
     scored = stage(scored.withColumn("first", _best(F.col("ll"))), "scored")
 
-    def counts(d: DataFrame, *by: str) -> DataFrame:
-        """Rows of each language under the key, as one array."""
-        by_lang = d.where(F.col(by[0]).isNotNull()).groupBy(*by, "first").agg(F.count("*").cast("double").alias("n"))
-        held = by_lang.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("first", "n"))).alias("m"))
-        return held.select(*by, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("c"))
+    def counts(by: str, above: str | None = None) -> DataFrame:
+        """Rows of each language under the key, as one array, and the key's next level. A key
+        can stand with several (a page's host is also a source): its rows are summed, and
+        the level is that of rows that have a suffix, if any."""
+        keys = dict.fromkeys([by, above, "suffix"]) if above else [by]
+        n = scored.where(F.col(by).isNotNull()).groupBy(*keys, "first").agg(F.count("*").cast("double").alias("n"))
+        level = F.struct(F.col("suffix").isNotNull().alias("known"), F.col(above).alias("above")) if above else F.lit(None)
+        n = n.withColumn("level", level).groupBy(by, "first").agg(F.sum("n").alias("n"), F.max("level").alias("level"))
+        n = n.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("first", "n"))).alias("m"), F.max("level").alias("level"))
+        c = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+        return n.select(by, c.alias("c"), *([F.col("level.above").alias(above)] if above else []))
 
     totals = dict(scored.groupBy("first").count().collect())
     every = sum(totals.values())
@@ -161,16 +167,15 @@ def identify(rows: DataFrame, langs: list[str], model: TextModel) -> DataFrame:
         n = F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
         return F.zip_with(c, base, lambda x, p: (x + STRENGTH * p) / (n + STRENGTH))
 
-    suffixes = counts(scored, "suffix").select("suffix", smoothed(F.col("c"), whole).alias("ps"))
-    domains = counts(scored, "domain", "suffix").join(suffixes, "suffix", "left").select(
+    suffixes = counts("suffix").select("suffix", smoothed(F.col("c"), whole).alias("ps"))
+    domains = counts("domain", "suffix").join(suffixes, "suffix", "left").select(
         "domain", smoothed(F.col("c"), F.coalesce("ps", whole)).alias("pd"))
-    domains = domains.dropDuplicates(["domain"])
-    hosts = counts(scored, "host", "domain").join(domains, "domain", "left").select(
-        "host", F.col("c").alias("hc"), F.coalesce("pd", whole).alias("pd")).dropDuplicates(["host"])
+    hosts = counts("host", "domain").join(domains, "domain", "left").select(
+        "host", F.col("c").alias("hc"), F.coalesce("pd", whole).alias("pd"))
 
     def likelihood(by: str, out: str) -> DataFrame:
         """log P(value | language) for each value of the column, add-one smoothed."""
-        c = counts(scored, by)
+        c = counts(by)
         return c.select(by, F.zip_with("c", seen, lambda n, t: F.log((n + F.lit(1.0)) / t)).alias(out))
 
     zero = F.array_repeat(F.lit(0.0), size)

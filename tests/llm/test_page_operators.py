@@ -180,6 +180,19 @@ def test_rare_languages_are_kept(spark):
     assert all(by_doc[i].language == lang for i, _, lang, _ in docs[:3997])
 
 
+def test_host_that_is_also_a_source(spark):
+    """The prior of example.org counts its pages and its documents: English in sum only."""
+    text = {"de": "der die das und nicht ist ein schön wir haben heute", "en": "the and of that with have this from they were there",
+            "fr": "le la les des est une dans pour qui ça nous avons été"}
+    langs = ["de"] * 30 + ["fr"] * 30 + ["en"] * 20
+    docs = [(text[v], v, "other") for v in langs] + [(text[v], v, "example.org") for v in ["de"] * 5 + ["en"] * 4]
+    pages = [(i, "http://example.org/x", "<p>" + text[v]) for i, v in enumerate(["fr"] * 5 + ["en"] * 4)] + [(100, "http://example.org/x", "<p>")]
+    got = language_id.languages(spark.createDataFrame(pages, "page_id long, url string, html string"),
+                                spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(docs) + len(pages)
+    assert {r.page_id: r.language for r in got}[100] == "en"
+
+
 # ---------------------------------------------------------------- components, pipeline
 def test_components(spark):
     import random
