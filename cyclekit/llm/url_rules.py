@@ -1,27 +1,31 @@
 """URL filter: fixed host rules first, then association rules mined from labelled URLs.
 
 Mining: a URL is a set of typed tokens (host, its suffixes, path parts, query keys,
-scheme). Spark's FP-growth finds the frequent token sets of the labelled URLs, each
-URL's set holding its class token; rules with a class as consequent are pruned by support
-and confidence, and by more general rules that are no less sure. A URL's set is cut to its
-``MAX_ITEMS`` most informative tokens for mining only, so at most
-``2 ** MAX_ITEMS / min_support`` token sets can be frequent, whatever the data: the rules
-have a proven bound and are pruned on the driver.
+scheme). A block rule is a token set that enough bad URLs hold and that is surer than
+every set within it. Such sets are searched level by level over whole URLs, however many
+tokens one has. A set that keeps as many good URLs as a set within it is no surer, and
+neither is any set around it, so it is left out without loss; tokens that always stand
+together and suffixes of one host are never combined. A level's sets are counted on the
+executors as bit rows, one pass a level; the driver holds the sets that are left, which
+grow with the combinations that truly differ, not with the tokens of a URL.
 
 Matching: an inverted index posts each rule under its rarest token; URLs look up their
 tokens there and keep the rules whose tokens they all have. Equal URLs are judged once."""
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.fpm import FPGrowth
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
 
-MAX_ITEMS = 10
-BAD, GOOD = "class=block", "class=allow"
+CHUNK_BYTES = 4 << 20      # bit rows of candidate sets that are combined at once
 
 
 @dataclass(frozen=True)
@@ -85,33 +89,96 @@ def parsed(pages: DataFrame, url_col: str = "url") -> DataFrame:
     return urls.withColumn("tokens", url_tokens(F.col("url"), F.col("host"), F.col("path")))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6,
-               max_items: int = MAX_ITEMS) -> list[tuple[tuple[str, ...], float, float]]:
+def _numbered(tokens: list[str]):
+    """Rows (tokens, bad) -> rows (items, bad): places in ``tokens``, others left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = pa.array(tokens, pa.string())
+        for batch in batches:
+            lists = batch.column("tokens")
+            at = pc.index_in(pc.list_flatten(lists).cast(pa.string()), value_set=values)
+            row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[at.is_valid().to_numpy(zero_copy_only=False)]
+            off = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
+            items = pa.ListArray.from_arrays(pa.array(off, pa.int32()), at.drop_null())
+            yield pa.RecordBatch.from_arrays([items, batch.column("bad")], names=["items", "bad"])
+    return run
+
+
+def _counted(sets: np.ndarray, size: int):
+    """Rows (items, bad) -> (place in ``sets``, rows that hold the set, bad ones of them)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, b = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+        for batch in batches:
+            lists = batch.column("items")
+            width = -(-batch.num_rows // 64) * 64
+            held = np.zeros((size + 1, width), bool)          # the last line: bad rows
+            held[pc.list_flatten(lists).to_numpy(zero_copy_only=False), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)] = True
+            held[size, :batch.num_rows] = batch.column("bad").to_numpy(zero_copy_only=False)
+            bits = np.packbits(held, axis=1).view(np.uint64)
+            step = max(1, CHUNK_BYTES // max(1, 8 * bits.shape[1]))
+            for lo in range(0, len(sets), step):
+                part = sets[lo:lo + step]
+                both = bits[part[:, 0]]
+                for j in range(1, part.shape[1]):
+                    both &= bits[part[:, j]]
+                n[lo:lo + step] += np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+                b[lo:lo + step] += np.bitwise_count(both & bits[size]).sum(axis=1, dtype=np.int64)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(b[some])], names=["at", "n", "b"])
+    return run
+
+
+def _wider(sets: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """Sets of one token more, all of whose parts are in ``sets``."""
+    known, by_head = set(sets), {}
+    for s in sorted(sets):
+        by_head.setdefault(s[:-1], []).append(s[-1])
+    out = []
+    for head, last in by_head.items():
+        for i, x in enumerate(last):
+            for y in last[i + 1:]:
+                new = (*head, x, y)
+                if all(new[:j] + new[j + 1:] in known for j in range(len(new) - 2)):
+                    out.append(new)
+    return out
+
+
+def mine_rules(labelled: DataFrame, min_support: float = 0.005,
+               min_confidence: float = 0.6) -> list[tuple[tuple[str, ...], float, float]]:
     """``labelled(tokens, bad)`` -> block rules (tokens, confidence, support), most sure first.
     No labelled rows, or rows of one class only, give no rules."""
+    labelled = stage(labelled.select("tokens", F.col("bad").cast("boolean").alias("bad")), "urls")
     total, bad = labelled.agg(F.count("*"), F.sum(F.col("bad").cast("long"))).first()
     if not bad or bad == total:
         return []
     rate = bad / total
-    seen = labelled.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(
-        F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("b")).where(F.col("n") >= min_support * total)
-    # how far the token's bad share is from the overall share, in standard errors
-    score = F.abs(F.col("b") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    seen = seen.select("token", score.alias("score"))
-    rows = stage(labelled.withColumn("row", F.monotonically_increasing_id()), "urls")
-    kept = rows.select("row", F.explode("tokens").alias("token")).join(seen, "token").groupBy("row").agg(
-        F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "token"))), lambda t: t["token"]),
-                1, max_items).alias("items"))
-    baskets = rows.join(kept, "row").select(F.concat("items", F.array(F.when(F.col("bad"), F.lit(BAD)).otherwise(F.lit(GOOD)))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support * rate, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.array_contains("consequent", BAD)).where(F.col("support") >= min_support * rate)
-    found = {tuple(sorted(r["antecedent"])): (r["confidence"], r["support"]) for r in rules.collect()}
-    pruned = []
-    for tokens, (confidence, support) in found.items():
-        subsets = ([t for j, t in enumerate(tokens) if m >> j & 1] for m in range(1, (1 << len(tokens)) - 1))
-        if not any(found.get(tuple(s), (0, 0))[0] >= confidence for s in subsets):
-            pruned.append((tokens, confidence, support))
-    return sorted(pruned, key=lambda r: (-r[1], -r[2], r[0]))
+    enough = math.ceil(min_support * rate * total)
+    single = {r["token"]: (r["n"], r["b"]) for r in labelled.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(
+        F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("b")).where(
+        (F.col("n") >= min_support * total) & (F.col("b") >= max(1, enough))).collect()}
+    tokens = sorted(single)
+    items = stage(labelled.mapInArrow(_numbered(tokens), "items array<int>, bad boolean"), "items")
+    level = {(i,): single[t] for i, t in enumerate(tokens)}
+    best: dict[tuple[int, ...], float] = {}       # of the last level: the surest set within each
+    rules = []
+    while level:
+        surest = {}
+        for s, (n, b) in level.items():
+            inner = max((best[s[:j] + s[j + 1:]] for j in range(len(s))), default=0.0) if len(s) > 1 else 0.0
+            if b / n > inner and b / n >= min_confidence and b / total >= min_support * rate:
+                rules.append((tuple(tokens[i] for i in s), b / n, b / total))
+            surest[s] = max(inner, b / n)
+        best = surest
+        good = {s: n - b for s, (n, b) in level.items()}
+        sets = _wider([s for s in level if good[s]])      # without good URLs nothing is surer
+        level = {}
+        if sets:
+            counts = items.mapInArrow(_counted(np.array(sets, np.int32), len(tokens)), "at long, n long, b long").groupBy("at").agg(
+                F.sum("n").alias("n"), F.sum("b").alias("b")).where(F.col("b") >= max(1, enough))
+            for at, n, b in counts.collect():
+                s = sets[at]
+                if all(n - b < good[s[:j] + s[j + 1:]] for j in range(len(s))):
+                    level[s] = (n, b)
+    return sorted(rules, key=lambda r: (-r[1], -r[2], r[0]))
 
 
 def matches(urls: DataFrame, rules: list[tuple[tuple[str, ...], float, float]]) -> DataFrame:

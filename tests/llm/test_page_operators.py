@@ -70,6 +70,39 @@ def test_mined_rules_equal_brute_force(spark):
         assert got[i].verdict == ("block" if fires else "allow")
 
 
+def test_rules_of_long_urls_equal_brute_force(spark):
+    """16 frequent tokens a URL; tokens that say little alone are sure together."""
+    import random
+    from itertools import combinations
+    r = random.Random(4)
+    rows = []
+    for i in range(1200):
+        x, y = i % 2, i // 2 % 2
+        bad = x == y == 1 and i % 12 != 3 or i % 7 == 0
+        # informative alone, never sure; then a chain that always stands together
+        loud = [f"loud{k}" for k in range(12) if r.random() < (0.7 if bad else 0.5)]
+        rows.append((["always1", "always2", "always3", *loud, f"quiet{x}a", f"quiet{y}b"], bad))
+    total, bad = len(rows), sum(b for _, b in rows)
+    sets = [(frozenset(t), b) for t, b in rows]
+    found, support = {}, 0.15
+    common = sorted({t for s, _ in sets for t in s})
+    for n in range(1, 5):
+        for c in combinations(common, n):
+            hit = [b for s, b in sets if s.issuperset(c)]
+            if sum(hit) >= support * bad and sum(hit) / len(hit) >= 0.6:
+                found[c] = sum(hit) / len(hit)
+    want = {c for c, p in found.items() if not any(found.get(s, 0) >= p for k in range(1, len(c)) for s in combinations(c, k))}
+    marked = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    rules = url_rules.mine_rules(marked, support, 0.6)
+    assert ("quiet1a", "quiet1b") in want
+    assert {r[0] for r in rules if len(r[0]) < 5} == want
+    assert all(r[1] == found[r[0]] for r in rules if len(r[0]) < 5)
+    # the size of a rule is not bounded: all rules are sure and none has a part that is as sure
+    for tokens, confidence, _ in rules:
+        hits = [[b for s, b in sets if s.issuperset(c)] for c in (tokens, *combinations(tokens, len(tokens) - 1)) if c]
+        assert confidence == sum(hits[0]) / len(hits[0]) and all(sum(h) / len(h) < confidence for h in hits[1:])
+
+
 def test_urls_of_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_rules.judge_urls(pages, spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")).collect() == []
