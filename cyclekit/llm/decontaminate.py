@@ -191,9 +191,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found in it, with its most similar place (first on a tie). Texts and items that are
     null or without words match nothing; items of fewer than 5 words are one shingle
     and match only as the whole stretch. Items that repeat are reported under each id;
-    rows with a null id are reported with a null id. Extra columns are not read."""
+    texts and items with a null id are searched too and reported with a null id (equal
+    items with a null id once). Extra columns are not read."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")
-                             ).where("text is not null and item is not null").distinct()
+                             ).where("text is not null").distinct()
     count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-count // block_items), -(-size // block_bytes))
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))

@@ -160,6 +160,14 @@ def test_decontamination_in_blocks_of_items(spark, no_documents):
     assert decontaminate.contaminated(no_documents, items).collect() == []
 
 
+def test_items_without_an_id_are_searched(spark):
+    items = spark.createDataFrame([(None, sentence(1, 30)), (7, sentence(2, 30)), (None, None), (None, sentence(3, 30))], "item_id long, text string")
+    docs = spark.createDataFrame([(i, sentence(20 + i, 40) + " " + sentence(i, 30)) for i in (1, 2, 3, 4)], "doc_id long, text string")
+    for block_items in (20_000, 1):
+        got = decontaminate.contaminated(docs, items, block_items=block_items).collect()
+        assert sorted((r.doc_id, r.item_id or 0, r.start_word, r.similarity) for r in got) == [(1, 0, 40, 1.0), (2, 7, 40, 1.0), (3, 0, 40, 1.0)]
+
+
 def test_shards(documents, no_documents):
     got = kd_shards.document_shards(documents, shards=5).collect()
     texts = collections.Counter((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in documents.collect())
