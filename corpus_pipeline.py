@@ -1,7 +1,9 @@
 """Corpus pipeline: quality rules, near duplicates, benchmark passages, secrets, tokens.
 
 Each stage gets what its predecessor kept and returns the columns of ``documents``; the
-last one returns the digests of the encoded texts. ``run`` writes every stage as Parquet
+last one returns the digests of the encoded texts. The filtering stages decide row by row:
+each numbers its rows, so rows without an id, and rows that repeat an id with another
+text, go or stay by their own text. ``run`` writes every stage as Parquet
 into the shared folder and reads it back."""
 from __future__ import annotations
 
@@ -14,26 +16,36 @@ from cyclekit.llm.common import stage, table
 REDACTED = "[SECRET]"
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not among ``ids``."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row number ``_row``, written once so that every reader sees the same."""
+    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``rows`` whose number is not among ``gone``, without the number."""
+    return rows.join(gone.select("_row").distinct(), "_row", "left_anti").drop("_row")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return _without(docs, quality_rules.judged(docs).where("not kept"))
+    rows = _numbered(docs)
+    return _without(rows, quality_rules.judged(rows, "_row").where("not kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; of rows that
-    repeat an id and its text, one."""
-    others = ngram_join.jaccard_components(docs).where("doc_id <> component_id")
-    return _without(docs, others).dropDuplicates(["doc_id", "text"])
+    """Of each group of linked documents one row with the smallest id stays (one without an
+    id only if none has one); of rows that repeat an id and its text, one."""
+    rows = _numbered(docs)
+    groups = ngram_join.jaccard_components(rows, "_row").join(rows.select("_row", "doc_id"), "_row")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    kept = first.select(F.col("first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").drop("_row").dropDuplicates(["doc_id", "text"])
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    rows = _numbered(docs)
+    return _without(rows, decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), "_row"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

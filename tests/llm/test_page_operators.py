@@ -283,3 +283,28 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         ids = coder.encode_ordinary(r.text)
         assert out[r.doc_id].n_tokens == len(ids)
         assert out[r.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_pipeline_decides_row_by_row(spark, tmp_path):
+    """Rows without an id, and rows that repeat an id with another text."""
+    import corpus_pipeline
+
+    good, item = [sentence(i, 60) for i in range(8)], sentence(999, 30)
+    planted = good[5] + " " + item
+    rows = [(1, good[0]), (1, "too short"), (None, "too short"), (None, good[1]),
+            (2, good[2]), (3, good[2]), (3, good[3]), (None, good[2]), (None, good[4]), (None, good[4] + " "),
+            (4, planted), (4, good[6]), (None, planted + " " + good[7])]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, step in corpus_pipeline.STAGES[:3]:
+        step(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name.replace(' ', '-')}")
+        docs = spark.read.parquet(f"{tmp_path}/{name.replace(' ', '-')}")
+        kept.append(collections.Counter((r.doc_id, r.text.strip()) for r in docs.collect()))
+    want = collections.Counter((i, t.strip()) for i, t in rows if t != "too short")
+    assert kept[0] == want
+    for gone in ((3, good[2]), (None, good[2]), (None, good[4])):
+        want[gone] -= 1
+    assert kept[1] == +want
+    want -= collections.Counter([(4, planted), (None, planted + " " + good[7])])
+    assert kept[2] == want
