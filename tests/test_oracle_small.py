@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
+from cyclekit.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 FAST = ["cycle_summary", "run_id", "build_dataset", "replay_cycles", "stop_kpis", "energy_savings",
@@ -41,9 +42,8 @@ def test_entry(spark):
 
 
 def test_every_query_has_oracle_or_is_listed():
-    no_sql = set(E.queries()) - set(E.oracle_sql())
-    assert no_sql <= {"sample_n", "cycle_model_scores", "feature_importance", "permutation_importance",
-                      "monotone_audit", "step_model_scores"}
+    assert set(QUERIES) - set(ORACLE) <= {"cycle_model_scores", "feature_importance", "permutation_importance",
+                                          "monotone_audit", "step_model_scores", "model_backtest"}
 
 
 @pytest.mark.parametrize("name", FAST)
