@@ -21,8 +21,6 @@ multiply the states. ``whole_runs`` says that a rule's matches never share a run
 accepting bytes, so that short runs can be passed over in bulk."""
 from __future__ import annotations
 
-import re._constants as C
-import re._parser as parser
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +33,7 @@ from pyspark.sql import functions as F
 from . import text as X
 
 SEGMENT = 256
+FEW = 64           # so few segments are read one at a time
 
 
 @dataclass(frozen=True)
@@ -59,6 +58,98 @@ MORE_RULES = (
 )
 
 
+_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "f": "\f", "v": "\v"}
+_ANY = frozenset(range(256))
+
+
+def parse_rule(regex: str) -> list:
+    """A rule's expression as nested lists: byte sets, ``("or", sequences)`` and ``("rep", low,
+    high, sequence)`` with high None for no limit. Anything else raises ValueError."""
+    at = 0
+
+    def escaped() -> int:
+        nonlocal at
+        c = regex[at]
+        at += 1
+        if c == "x":
+            at += 2
+            return int(regex[at - 2:at], 16)
+        if c.isalnum() and c not in _ESCAPES:
+            raise ValueError(f"not supported in a rule: \\{c}")
+        return ord(_ESCAPES.get(c, c))
+
+    def byte() -> int:
+        nonlocal at
+        at += 1
+        value = escaped() if regex[at - 1] == "\\" else ord(regex[at - 1])
+        if value > 255:
+            raise ValueError("rules are expressions over bytes")
+        return value
+
+    def chars() -> frozenset[int]:
+        nonlocal at
+        negated = regex[at] == "^"
+        at += negated
+        found: set[int] = set()
+        first = at
+        while regex[at] != "]" or at == first:
+            low = high = byte()
+            if regex[at] == "-" and regex[at + 1] != "]":
+                at += 1
+                high = byte()
+            found |= set(range(low, high + 1))
+        at += 1
+        return _ANY - found if negated else frozenset(found)
+
+    def sequence() -> list:
+        nonlocal at
+        options, now = [], []
+        while at < len(regex) and regex[at] != ")":
+            c = regex[at]
+            if c == "|":
+                at += 1
+                options.append(now)
+                now = []
+                continue
+            if c == "(":
+                at += 3 if regex.startswith("(?:", at) else 1
+                if regex[at] == "?":
+                    raise ValueError("not supported in a rule: (?")
+                item = sequence()
+                if at >= len(regex):
+                    raise ValueError("a group without an end")
+                at += 1
+            elif c == "[":
+                at += 1
+                item = [chars()]
+            elif c == ".":
+                at += 1
+                item = [_ANY - {10}]
+            elif c in "^$*+?{":
+                raise ValueError(f"not supported in a rule: {c} at {at}")
+            else:
+                item = [frozenset({byte()})]
+            if at < len(regex) and regex[at] in "*+?{":
+                c, at = regex[at], at + 1
+                if c == "{":
+                    end = regex.index("}", at)
+                    low, comma, high = regex[at:end].partition(",")
+                    at = end + 1
+                    low, high = int(low or 0), (int(high) if high else None) if comma else int(low)
+                else:
+                    low, high = {"*": (0, None), "+": (1, None), "?": (0, 1)}[c]
+                if at < len(regex) and regex[at] in "?+":
+                    raise ValueError("only greedy quantifiers are supported in a rule")
+                item = [("rep", low, high, item)]
+            now += item
+        return [("or", [*options, now])] if options else now
+
+    tree = sequence()
+    if at < len(regex):
+        raise ValueError("a group's end without a start")
+    return tree
+
+
 class _Nfa:
     """Fragments with byte-set edges and empty edges."""
 
@@ -71,14 +162,25 @@ class _Nfa:
         self.empty.append([])
         return len(self.edges) - 1
 
-    def build(self, tree, at: int, fold: bool, back: bool) -> int:
+    def build(self, tree: list, at: int, fold: bool, back: bool) -> int:
         """Add the tree's language from state ``at``; gives the last state."""
-        for op, arg in (reversed(list(tree)) if back else tree):
-            if op is C.MAX_REPEAT:
-                low, high, body = arg
+        for item in (reversed(tree) if back else tree):
+            if isinstance(item, frozenset):
+                after = self.state()
+                self.edges[at].append((_folded(item) if fold else item, after))
+                at = after
+            elif item[0] == "or":
+                end = self.state()
+                for option in item[1]:
+                    first = self.state()
+                    self.empty[at].append(first)
+                    self.empty[self.build(option, first, fold, back)].append(end)
+                at = end
+            else:
+                _, low, high, body = item
                 for _ in range(low):
                     at = self.build(body, at, fold, back)
-                if high is C.MAXREPEAT:
+                if high is None:
                     loop = self.state()
                     self.empty[at].append(loop)
                     self.empty[self.build(body, loop, fold, back)].append(loop)
@@ -90,43 +192,11 @@ class _Nfa:
                         stops.append(at)
                     for s in stops[:-1]:
                         self.empty[s].append(at)
-            elif op is C.SUBPATTERN:
-                at = self.build(arg[3], at, fold, back)
-            elif op is C.BRANCH:
-                end = self.state()
-                for option in arg[1]:
-                    first = self.state()
-                    self.empty[at].append(first)
-                    self.empty[self.build(option, first, fold, back)].append(end)
-                at = end
-            else:
-                after = self.state()
-                self.edges[at].append((_bytes(op, arg, fold), after))
-                at = after
         return at
 
 
-def _bytes(op, arg, fold: bool) -> frozenset[int]:
-    if op is C.LITERAL:
-        found = {arg}
-    elif op is C.NOT_LITERAL:
-        found = set(range(256)) - {arg}
-    elif op is C.ANY:
-        found = set(range(256)) - {10}
-    elif op is C.IN:
-        found = set()
-        for kind, value in arg:
-            found |= {C.LITERAL: lambda v: {v}, C.RANGE: lambda v: set(range(v[0], v[1] + 1)),
-                      C.NEGATE: lambda v: set()}[kind](value)
-        if arg[0][0] is C.NEGATE:
-            found = set(range(256)) - found
-    else:
-        raise ValueError(f"not supported in a rule: {op}")
-    if max(found, default=0) > 255:
-        raise ValueError("rules are expressions over bytes")
-    if fold:
-        found |= {b ^ 32 for b in found if 65 <= b <= 90 or 97 <= b <= 122}
-    return frozenset(found)
+def _folded(chars: frozenset[int]) -> frozenset[int]:
+    return chars | {b ^ 32 for b in chars if 65 <= b <= 90 or 97 <= b <= 122}
 
 
 @dataclass
@@ -149,7 +219,7 @@ def compile_rules(rules: tuple[Rule, ...], anchored: bool = False, back: bool =
     for bit, rule in enumerate(rules):
         first = nfa.state()
         nfa.empty[root].append(first)
-        final[nfa.build(parser.parse(rule.regex), first, rule.ignore_case, back)] = 1 << bit
+        final[nfa.build(parse_rule(rule.regex), first, rule.ignore_case, back)] = 1 << bit
     if not anchored:
         nfa.edges[root].append((frozenset(range(256)), root))
 
@@ -202,10 +272,13 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
         self.all = compile_rules(rules)
+        self.rows = self.all.rows()
         self.flat = (self.all.table * 256).astype(np.int32).ravel()       # next state, times 256
         self.resets = (self.all.table == self.all.table[:1]).all(axis=0)   # bytes that forget the past
+        self.forgets = self.resets.tolist()
         self.forward = [compile_rules((r,), anchored=True) for r in rules]
         self.backward = [compile_rules((r,), anchored=True, back=True) for r in rules]
+        self.fresh = [(d.rows(), d.accept.tolist()) for d in (compile_rules((r,)) for r in rules)]
         self.steps = [(f.rows(), f.accept.tolist(), f.dead) for f in self.forward]
         self.back_steps = [(f.rows(), f.accept.tolist(), f.dead) for f in self.backward]
 
@@ -226,6 +299,14 @@ class Scanner:
         active, falling = len(begin), -length
         for i in range(int(length[0])):
             active = int(np.searchsorted(falling, -i, side="left"))
+            if active <= FEW:                    # the last long segments, one at a time
+                for b, e, s in zip((begin[:active] + i).tolist(), (begin + length)[:active].tolist(), (now[:active] >> 8).tolist()):
+                    run = []
+                    for c in buf[b:e].tobytes():
+                        s = self.rows[s][c]
+                        run.append(s)
+                    out[b:e] = np.array(run, np.int32) << 8
+                break
             at = begin[:active] + i
             now = self.flat[now[:active] + buf[at]]
             out[at] = now
@@ -253,6 +334,19 @@ class Scanner:
                 best = i + 1
         return best
 
+    def _fresh(self, rule: int, data: bytes, first: int) -> tuple[int, bool]:
+        """Read on from ``first`` as if the text began there: (the first place where a match
+        ends, True), or (the place behind a byte that forgets the past, False)."""
+        rows, accept = self.fresh[rule]
+        s = 0
+        for i in range(first, len(data)):
+            s = rows[s][data[i]]
+            if accept[s]:
+                return i, True
+            if self.forgets[data[i]]:
+                return i + 1, False
+        return len(data), False
+
     def spans(self, buf: np.ndarray, off: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
         """text -> (start byte, rule, end byte), by start and then rule."""
         bits = self.all.accept.astype(np.uint32)[self.states(buf, off)]
@@ -268,16 +362,26 @@ class Scanner:
             for lo, hi in zip([0, *edge], [*edge, len(at)]) if len(at) else ():
                 d = int(owner[lo])
                 data, places = buf[off[d]:off[d + 1]].tobytes(), (at[lo:hi] - off[d]).tolist()
-                i = done = 0
+                # places before ``known`` may belong to a match that begins inside the last one:
+                # the text is read again from its end ``done`` on, each byte once
+                i = done = known = 0
                 while i < len(places):
-                    start = self._start(r, data, places[i], done)
+                    end = places[i]
+                    if not rule.whole_runs and end < known:
+                        end, hit = self._fresh(r, data, done)
+                        if not hit:
+                            known = end
+                            i = bisect_left(places, end, i)
+                            continue
+                    start = self._start(r, data, end, done)
                     if start < 0:
                         i += 1
                         continue
                     done = self._end(r, data, start)
-                    if done - places[i] >= rule.min_tail:
+                    known = len(data)
+                    if done - end >= rule.min_tail:
                         found.setdefault(d, []).append((start, r, done))
-                    i = bisect_left(places, done, i + 1)
+                    i = bisect_left(places, done, i)
         return {d: sorted(each) for d, each in found.items()}
 
 

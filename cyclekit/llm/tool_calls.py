@@ -43,7 +43,7 @@ def schema_errors(value, schema: dict, at: str = "$") -> list[str]:
     errors, kind = [], schema.get("type")
     if kind:
         number = isinstance(value, (int, float)) and not isinstance(value, bool)
-        ok = (number if kind == "number" else number and float(value).is_integer() if kind == "integer"
+        ok = (number if kind == "number" else number and (isinstance(value, int) or value.is_integer()) if kind == "integer"
               else isinstance(value, _KINDS[kind]))
         if not ok:
             return [f"{at}: not of type {kind}"]
@@ -74,11 +74,9 @@ def _checked(schemas: dict[str, dict]):
         try:
             value = json.loads("" if arguments is None else arguments)
             text = canonical(value)
-        except (ValueError, RecursionError):
+            return text, ["unknown tool"] if name not in schemas else schema_errors(value, schemas[name])
+        except (ValueError, OverflowError, RecursionError):
             return None, ["$: not JSON"]
-        if name not in schemas:
-            return text, ["unknown tool"]
-        return text, schema_errors(value, schemas[name])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

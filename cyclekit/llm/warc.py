@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import shared_path, stage
 
 BLOCK = 1 << 16
+READERS = 20_000                        # tasks that read archives, at most
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_REVISIT = 100
 CREATED = "2024-01-01T00:00:00Z"       # the pages carry no capture time
@@ -58,7 +60,7 @@ def record_bytes(kind: str, name: str, uri: str | None, payload: bytes, digest:
     block = b"" if kind == "revisit" else payload
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{name}>"), ("WARC-Date", CREATED)]
     if uri:
-        head.append(("WARC-Target-URI", "".join(c for c in uri if c >= " ")))
+        head.append(("WARC-Target-URI", "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in uri)))
     head += [("WARC-Payload-Digest", digest), ("WARC-Block-Digest", _sha256(block))]
     if refers_to is not None:
         head += [("WARC-Profile", REVISIT), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
@@ -70,7 +72,7 @@ def record_bytes(kind: str, name: str, uri: str | None, payload: bytes, digest:
     return z.compress(lines.encode("utf-8") + block + b"\r\n\r\n") + z.flush()
 
 
-def read_records(source, block: int = BLOCK, max_header: int = 1 << 20) -> Iterator[Record]:
+def read_records(source, block: int = BLOCK) -> Iterator[Record]:
     """Records of a stream of gzip members (``source.read(n)``), in order. Raises WarcError
     for cut or trailing data, a wrong length or a wrong block digest."""
     z, held, raw = None, bytearray(), b""
@@ -82,7 +84,7 @@ def read_records(source, block: int = BLOCK, max_header: int = 1 << 20) -> Itera
                     raise WarcError("the archive ends inside a record")
                 return
         if z is None:
-            z, held, headers, need = zlib.decompressobj(31), bytearray(), None, None
+            z, held, headers, need, sought = zlib.decompressobj(31), bytearray(), None, None, 0
             digest = hashlib.sha256()
             payload: list[bytes] = []
         try:
@@ -90,12 +92,11 @@ def read_records(source, block: int = BLOCK, max_header: int = 1 << 20) -> Itera
         except zlib.error as e:
             raise WarcError(f"not a gzip member: {e}") from e
         raw = z.unused_data if z.eof else z.unconsumed_tail
-        if headers is None and (end := held.find(b"\r\n\r\n")) >= 0:
+        if headers is None and (end := held.find(b"\r\n\r\n", sought)) >= 0:
             headers = _headers(bytes(held[:end]))
             need = int(headers["content-length"])
             del held[:end + 4]
-        if headers is None and len(held) > max_header:
-            raise WarcError("a header without an end")
+        sought = max(0, len(held) - 3)
         if headers is not None and need and held:
             part = bytes(held[:need])
             del held[:len(part)]
@@ -131,7 +132,16 @@ def _headers(head: bytes) -> dict[str, str]:
 
 
 def _files(path: str):
-    """(file system, path in it) of a folder's address."""
+    """(file system, path in it) of a folder's address. An address that pyarrow cannot open
+    (``viewfs:``, say) is an error before any work is done."""
+    path = re.sub("^s3[an]://", "s3://", path)
+    try:
+        return _open(path)
+    except (pa.ArrowInvalid, NotImplementedError) as e:
+        raise WarcError(f"archives cannot be kept under {path}: {e}") from e
+
+
+def _open(path: str):
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
@@ -221,8 +231,11 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """One row a record: page_id, uri, record_type, payload_bytes, payload_digest (bare hex),
     refers_to, payload (null without ``with_payload``; empty for revisits). Lengths and
-    digests are those of the full payload. Raises on a damaged archive."""
-    spread = manifest.select("archive", "records").repartition(F.col("archive"))
+    digests are those of the full payload. Raises on a damaged archive. Archives are dealt
+    over as many tasks as there are archives, up to READERS."""
+    n = min(READERS, max(1, manifest.count()))
+    # a number of partitions that is asked for by number is not merged by adaptive execution
+    spread = manifest.select("archive", "records").repartition(n)
     return spread.mapInArrow(_reader(folder, with_payload),
                              "page_id long, uri string, record_type string, payload_bytes long, payload_digest string, "
                              "refers_to long, payload binary")

@@ -128,6 +128,30 @@ def test_warc_round_trip(spark):
     assert warc.archived_pages(pages.limit(0)).collect() == []
 
 
+def test_every_archive_has_a_reading_task(spark):
+    from pyspark.sql import functions as F
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("http://a").alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 40).alias("html"))
+    folder = warc.shared_path(spark, "warc")
+    manifest = warc.write_archives(pages, folder, archive_bytes=5_000)
+    n = manifest.count()
+    per_task = warc.read_archives(manifest, folder).groupBy(F.spark_partition_id()).count().collect()
+    assert n > 8 and len(per_task) > n // 2
+
+
+def test_very_long_urls_round_trip(spark):
+    rows = [(1, "http://a/" + "x" * (2 << 20)), (2, "http://b/\x00 \t\x7f"), (3, "")]
+    folder = warc.shared_path(spark, "warc")
+    pages = spark.createDataFrame([(i, u, "<p>") for i, u in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.uri for r in warc.read_archives(warc.write_archives(pages, folder), folder).collect()}
+    assert got == {1: rows[0][1], 2: "http://b/%00%20%09%7F", 3: None}
+
+
+def test_unknown_archive_stores_are_an_error_before_any_work(spark):
+    pages = spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string")
+    with pytest.raises(warc.WarcError):
+        warc.write_archives(pages, "nostore://bucket/folder")
+
+
 def test_damaged_archives_are_errors():
     one = warc.record_bytes("response", "1", "http://a", b"x" * 1000, warc._sha256(b"x" * 1000))
     assert [r.payload for r in warc.read_records(io.BytesIO(one + one), block=7)] == [b"x" * 1000] * 2
@@ -144,6 +168,16 @@ def test_damaged_archives_are_errors():
 
 
 # ---------------------------------------------------------------- tool calls
+def test_integers_of_any_length_are_validated(spark):
+    calls = spark.createDataFrame([(1, "a", None, 1, "search", '{"limit": %s, "query": "q"}' % ("9" * 400)), (1, "b", None, 2, "search", '{"limit": 1e999, "query": "q"}'),
+                                   (1, "c", None, 3, "search", "[" * 100_000), (1, "d", None, 4, "search", '{"limit": 5, "query": "%s"}' % ("q" * 300_000))],
+                                  "conv_id long, call_id string, parent_id string, turn long, name string, arguments string")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = {r.call_id: r for r in tool_calls.link_calls(calls, results, tool_calls.SCHEMAS).collect()}
+    assert got["a"].errors == ["$.limit: out of range"] and got["a"].arguments.startswith('{"limit":999')
+    assert got["b"].errors == ["$: not JSON"] and got["c"].errors == ["$: not JSON"] and got["d"].errors == ["$.query: wrong length"]
+
+
 def test_tool_calls(spark):
     call = "conv_id long, call_id string, parent_id string, turn long, name string, arguments string, depth int"
     ok = '{"limit": 5.0, "query": "é"}'

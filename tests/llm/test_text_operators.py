@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from cyclekit.llm import byte_bpe, decontaminate, kd_shards, ngram_join, quality_rules, secret_scan
 from cyclekit.llm import text as X
@@ -214,6 +215,35 @@ def test_secrets_equal_regular_expressions(spark, documents):
     assert by_id[2003].n_assign == 1 and by_id[2004].n_assign == 0 and by_id[2001].spans == ""
 
 
+def test_long_value_behind_a_consumed_keyword_is_linear():
+    import time
+    scanner = secret_scan.Scanner(secret_scan.BASE_RULES)
+    for text in ("secret: token: " + "Zz9" * 350_000, "secret:token:" * 80_000, "token=abcdefgh" * 70_000):
+        data = np.frombuffer(text.encode(), np.uint8)
+        t = time.perf_counter()
+        got = scanner.spans(data, np.array([0, len(data)])).get(0, [])
+        assert time.perf_counter() - t < 5
+        assert ",".join(f"{secret_scan.BASE_RULES[r].kind}:{s}:{e}" for s, r, e in got) == base_spans(text)
+
+
+def test_rule_expressions_equal_the_re_module():
+    import random
+    r = random.Random(8)
+    rules = [r"a(b|cd)?e+", r"[^a-c\x20]{2,3}x", r"(?:ab|a|b){2}c", r"\[a\]\.b*", r".a[]b-]+"]
+    for regex in rules:
+        scanner = secret_scan.Scanner((secret_scan.Rule("k", regex),))
+        for _ in range(300):
+            text = "".join(r.choice("aabbcdex []-.") for _ in range(r.randint(1, 9)))
+            rows, accept, _ = scanner.steps[0]
+            s = 0
+            for b in text.encode():
+                s = rows[s][b]
+            assert bool(accept[s]) == bool(re.fullmatch(regex, text)), (regex, text)
+    for bad in (r"a*?", r"(?=a)", r"\d", r"^a", "(a", "a)", "é\u0142"):
+        with pytest.raises(ValueError):
+            secret_scan.parse_rule(bad)
+
+
 def test_redaction_keeps_the_rest(spark, documents, no_documents):
     docs = spark.createDataFrame([(1, "é key: token=abcdefgh end", 5), (2, None, 6), (3, "AKIA" + "B" * 16 + "!", 7)], "doc_id long, text string, c0 int")
     got = {r.doc_id: r for r in secret_scan.scan(docs, redact="[X]").collect()}
