@@ -3,7 +3,9 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -34,3 +36,25 @@ def delete_stage(df: DataFrame) -> None:
     for folder in folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number of its own for each row in column ``name``. Rows of Parquet files
+    are numbered by file and place in the file, so nothing is written and every reader
+    sees the same number; rows of any other frame are written once. The driver holds the
+    names of the files."""
+    try:
+        at = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
+    except AnalysisException:
+        return stage(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+    files = sorted(r[0] for r in at.select("_f").distinct().collect())
+    place = df.sparkSession.createDataFrame([(f, i << 40) for i, f in enumerate(files)], "_f string, _base long")
+    return at.join(F.broadcast(place), "_f").select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_base") + F.col("_i")).alias(name))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of the frame has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -344,10 +344,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                  .join(need, ["id", "sid"]).dropDuplicates(["sid"]).select("sid", "shingles"))
         found = stage(found, "sets")
         both = pairs.join(side("a", found, [("shingles", "xa")]), "a").join(side("b", found, [("shingles", "xb")]), "b")
-        return stage(both.select("a", "b", "xa", "xb").mapInArrow(_linked(threshold), "a long, b long"), "links")
+        linked = stage(both.select("a", "b", "xa", "xb").mapInArrow(_linked(threshold), "a long, b long"), "links")
+        delete_stage(found)
+        return linked
 
     links = verified(first)
     roots = components(links)
+    delete_stage(links)
 
     # buckets that still hold several components
     rest = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
@@ -366,6 +369,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
               .mapInArrow(_blocks(slack, threshold), "a long, b long")
               .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     second = stage(second.join(first, ["a", "b"], "left_anti"), "candidates")
+    delete_stage(members)
+    delete_stage(first)
     if not second.isEmpty():                 # join the components that the remaining links connect
         of = roots.select(F.col("node"), F.col("root"))
         more = verified(second)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .common import stage
+from .common import delete_stage, stage
 
 #: Fixed values of the base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -77,18 +77,20 @@ def _measure(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatc
 
 def text_measures(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
     """``keep`` columns and the measures (long). Null and empty texts measure 0."""
-    d = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("text"))
+    own = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
+    d = docs.select(*own) if text_col in keep else docs.select(*own, F.col(f"`{text_col}`").cast("string").alias("text"))
+    source = f"k{keep.index(text_col)}" if text_col in keep else "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, m in _measure(batch, "text"):
+            for part, m in _measure(batch, source):
                 cols = [part.column(f"k{i}") for i in range(len(keep))] + [pa.array(m[c], pa.int64()) for c in MEASURES]
-                yield pa.RecordBatch.from_arrays(cols, names=[*(f"k{i}" for i in range(len(keep))), *MEASURES])
+                yield pa.RecordBatch.from_arrays(cols, names=[*(f"k{i}" for i in range(len(keep))), *(f"m{i}" for i in range(len(MEASURES)))])
 
     schema = ", ".join([*(f"k{i} {d.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))),
-                        *(f"{m} long" for m in MEASURES)])
+                        *(f"m{i} long" for i in range(len(MEASURES)))])
     done = d.mapInArrow(run, schema)
-    return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *MEASURES)
+    return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"m{i}").alias(m) for i, m in enumerate(MEASURES)])
 
 
 def base_failed() -> Column:
@@ -151,6 +153,23 @@ def judged(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", te
                          rejected.alias("host_rejected"), (~base_failed() & ~rejected).alias("kept"))
 
 
+SMALL = 100_000         # rejected hosts that are sent to every task, at most
+
+
+def kept_rows(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_rate: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, each decided by its own text and host, with
+    all their columns. Texts are measured twice (once for the hosts, once for the rows)
+    rather than written or shuffled. More than SMALL rejected hosts are joined by shuffle."""
+    measured = stage(text_measures(docs, (host_col,), text_col).withColumnRenamed(host_col, "host"), "measures")
+    rejected = stage(host_verdicts(measured, "host", max_rate).where("host_rejected").select("host"), "rejected")
+    delete_stage(measured)
+    spare = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])       # the measures' names may clash
+    text, host = (f"c{docs.columns.index(c)}" for c in (text_col, host_col))
+    good = text_measures(spare, tuple(spare.columns), text).where(~base_failed()).select(*spare.columns)
+    small = rejected.count() <= SMALL
+    return good.join(F.broadcast(rejected) if small else rejected, F.col(host) == F.col("host"), "left_anti").toDF(*docs.columns)
+
+
 def document_quality(docs: DataFrame) -> DataFrame:
     return judged(docs).drop("host_rejected")
 
