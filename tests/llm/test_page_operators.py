@@ -342,3 +342,23 @@ def test_pipeline_decides_row_by_row(spark, tmp_path):
     assert kept[1] == +want
     want -= collections.Counter([(4, planted), (None, planted + " " + good[7])])
     assert kept[2] == want
+
+
+def test_pipeline_with_clashing_names_and_without_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    text = [sentence(i, 60) for i in range(3)]
+    rows = [(1, text[0], "en", "s", 1, 7, ["x"], "a", 5), (2, text[0], "en", "s", 1, 8, None, None, None), (3, text[1] + " token=abcdefgh", "en", "s", 1, 9, ["y"], "b", 6)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, _row int, _spans array<string>, host string, n_words int"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, text[2])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for i, (name, step) in enumerate(corpus_pipeline.STAGES[:4]):
+        step(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        assert docs.columns == table.columns
+    got = {r.doc_id: r for r in docs.collect()}
+    assert set(got) == {1, 3} and got[1][5:] == rows[0][5:] and got[3][5:] == rows[2][5:] and got[3].text.endswith("[SECRET]")
+    table.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([(1, text[2])], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
