@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, kd_shards, language_id, quality_rules, secret_scan, tool_calls, url_rules, warc
+from . import (byte_bpe, decontaminate, hard_negatives, kd_shards, language_id, lexical_search, quality_rules, secret_scan,
+               site_style_tree, tool_calls, url_rules, warc)
 from .common import table
 from .ngram_join import jaccard_components
 
@@ -53,6 +54,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), ranks, tokenizers.PATTERN)
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style_tree.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_rules": op1_url_rules,
     "op2_warc": op2_warc,
@@ -64,8 +77,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_html_text": op11_html_text,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE: dict[str, str] = {
     "op2_warc": warc.SQL,
     "op6_quality_rules": quality_rules.SQL,
+    "op12_lexical_search": lexical_search.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
