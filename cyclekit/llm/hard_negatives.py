@@ -103,6 +103,7 @@ class Cells:
 
     def __init__(self, books: tuple[np.ndarray, np.ndarray], cells: list):
         self.books, k = books, len(books[1])
+        self.block_rows, self.first_rows = BLOCK_ROWS, FIRST_ROWS
         self.count = np.zeros(len(books[0]) * k, np.int64)
         self.radius = [np.zeros(len(c)) for c in books]
         for cell, n, far1, far2 in cells:
@@ -111,7 +112,7 @@ class Cells:
                 radius[code] = max(radius[code], far)
 
     def blocks(self, cell: int) -> int:
-        return -(-int(self.count[cell]) // BLOCK_ROWS)
+        return -(-int(self.count[cell]) // self.block_rows)
 
     def visit(self, vec: np.ndarray, skip: int, floor: int | None) -> Iterator[int]:
         """Non-empty cells by falling bound, the first ``skip`` left out: those whose bound
@@ -139,7 +140,7 @@ class Cells:
                 if place > skip:
                     yield cell
                 seen += int(self.count[cell])
-                if floor is None and seen >= FIRST_ROWS:
+                if floor is None and seen >= self.first_rows:
                     return
 
 

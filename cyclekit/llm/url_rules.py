@@ -1,32 +1,31 @@
 """URL filter: fixed host rules first, then association rules mined from labelled URLs.
 
-Mining: a URL is a set of typed tokens (host, its suffixes, path parts, query keys,
-scheme). A block rule is a token set that enough bad URLs hold and that is surer than
-every set within it. Such sets are searched level by level over whole URLs, however many
-tokens one has. A set that keeps as many good URLs as a set within it is no surer, and
-neither is any set around it, so it is left out without loss; tokens that always stand
-together and suffixes of one host are never combined. A level's sets are counted on the
-executors as bit rows, one pass a level; the driver holds the sets that are left, which
-grow with the combinations that truly differ, not with the tokens of a URL.
-
-Matching: an inverted index posts each rule under its rarest token; URLs look up their
+Mining: a URL is a basket of typed tokens (host, its suffixes, path parts, query keys,
+scheme). Spark's FP-growth mines the token sets that enough bad URLs hold, from whole
+baskets in which tokens that always stand together are one item (any of them makes the same
+rule). An inverted index counts each set among the good URLs, which gives its confidence. A
+block rule is a set of enough support and confidence that is surer than every rule within
+it. Sets and rules are tables; the driver holds the frequent tokens alone, at most the mean
+number of a URL's tokens divided by the support.
+
+Matching: the inverted index posts each rule under its rarest token; URLs look up their
 tokens there and keep the rules whose tokens they all have. Equal URLs are judged once."""
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
 
-CHUNK_BYTES = 4 << 20      # bit rows of candidate sets that are combined at once
-
 
 @dataclass(frozen=True)
 class HostRule:
@@ -89,8 +88,18 @@ def parsed(pages: DataFrame, url_col: str = "url") -> DataFrame:
     return urls.withColumn("tokens", url_tokens(F.col("url"), F.col("host"), F.col("path")))
 
 
-def _numbered(tokens: list[str]):
-    """Rows (tokens, bad) -> rows (items, bad): places in ``tokens``, others left out."""
+@dataclass(frozen=True)
+class Tokens:
+    """Frequent tokens, the rarest first, and for each kept token those that always stand with it."""
+    names: list[str]
+    twins: list[list[str]]
+
+
+RULES = "items array<int>, confidence double, support double"
+
+
+def _numbered(tokens: list[str], keep: list[str]):
+    """Rows (tokens, ...) -> rows (items, ...): places in ``tokens``, others left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = pa.array(tokens, pa.string())
         for batch in batches:
@@ -99,101 +108,95 @@ def _numbered(tokens: list[str]):
             row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[at.is_valid().to_numpy(zero_copy_only=False)]
             off = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
             items = pa.ListArray.from_arrays(pa.array(off, pa.int32()), at.drop_null())
-            yield pa.RecordBatch.from_arrays([items, batch.column("bad")], names=["items", "bad"])
+            yield pa.RecordBatch.from_arrays([items, *(batch.column(c) for c in keep)], names=["items", *keep])
     return run
 
 
-def _counted(sets: np.ndarray, size: int):
-    """Rows (items, bad) -> (place in ``sets``, rows that hold the set, bad ones of them)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, b = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
-        for batch in batches:
-            lists = batch.column("items")
-            width = -(-batch.num_rows // 64) * 64
-            held = np.zeros((size + 1, width), bool)          # the last line: bad rows
-            held[pc.list_flatten(lists).to_numpy(zero_copy_only=False), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)] = True
-            held[size, :batch.num_rows] = batch.column("bad").to_numpy(zero_copy_only=False)
-            bits = np.packbits(held, axis=1).view(np.uint64)
-            step = max(1, CHUNK_BYTES // max(1, 8 * bits.shape[1]))
-            for lo in range(0, len(sets), step):
-                part = sets[lo:lo + step]
-                both = bits[part[:, 0]]
-                for j in range(1, part.shape[1]):
-                    both &= bits[part[:, j]]
-                n[lo:lo + step] += np.bitwise_count(both).sum(axis=1, dtype=np.int64)
-                b[lo:lo + step] += np.bitwise_count(both & bits[size]).sum(axis=1, dtype=np.int64)
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(b[some])], names=["at", "n", "b"])
-    return run
-
-
-def _wider(sets: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
-    """Sets of one token more, all of whose parts are in ``sets``."""
-    known, by_head = set(sets), {}
-    for s in sorted(sets):
-        by_head.setdefault(s[:-1], []).append(s[-1])
-    out = []
-    for head, last in by_head.items():
-        for i, x in enumerate(last):
-            for y in last[i + 1:]:
-                new = (*head, x, y)
-                if all(new[:j] + new[j + 1:] in known for j in range(len(new) - 2)):
-                    out.append(new)
-    return out
-
-
-def mine_rules(labelled: DataFrame, min_support: float = 0.005,
-               min_confidence: float = 0.6) -> list[tuple[tuple[str, ...], float, float]]:
-    """``labelled(tokens, bad)`` -> block rules (tokens, confidence, support), most sure first.
-    No labelled rows, or rows of one class only, give no rules."""
+def baskets(rows: DataFrame, tokens: list[str], keep: list[str]) -> DataFrame:
+    """``rows(tokens, ...)`` -> ``items`` (places in ``tokens``) and the columns of ``keep``."""
+    kinds = ", ".join(["items array<int>", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)])
+    return rows.select("tokens", *keep).mapInArrow(_numbered(tokens, keep), kinds)
+
+
+def holding(rows: DataFrame, sets: DataFrame, keep: list[str]) -> DataFrame:
+    """Pairs of a row (``keep``) and a set that it holds whole (all columns of ``sets``), by the
+    set's rarest item. Both have a column ``items``."""
+    index = sets.withColumn("_item", F.array_min("items")).withColumnRenamed("items", "needs")
+    posted = rows.select(F.col("items").alias("_has"), *keep, F.explode("items").alias("_item"))
+    return posted.join(index, "_item").where(F.size(F.array_except("needs", "_has")) == 0).drop("_item", "_has")
+
+
+def frequent_tokens(labelled: DataFrame, least: float, least_bad: int) -> Tokens:
+    """Tokens that ``least`` URLs and ``least_bad`` bad ones hold; of tokens that stand in the same
+    URLs (equal sums of two hashes of the URLs that hold them) the first by name is kept."""
+    h = F.xxhash64("tokens", "bad")
+    seen = labelled.select(F.explode("tokens").alias("token"), "bad", h.alias("h"), F.xxhash64(h, F.lit(1)).alias("g"))
+    found = seen.groupBy("token").agg(
+        F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("b"),
+        F.sum(F.col("h").cast("decimal(38,0)")).alias("h"), F.sum(F.col("g").cast("decimal(38,0)")).alias("g")).where(
+        (F.col("n") >= least) & (F.col("b") >= least_bad)).collect()
+    groups: dict[tuple, list[str]] = {}
+    for r in sorted(found, key=lambda r: (r["n"], r["token"])):
+        groups.setdefault((r["n"], r["b"], r["h"], r["g"]), []).append(r["token"])
+    return Tokens([g[0] for g in groups.values()], list(groups.values()))
+
+
+def rule_table(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6) -> tuple[Tokens, DataFrame]:
+    """``labelled(tokens, bad)`` -> (tokens, rules): a written table of ``items`` (places in the
+    tokens), ``confidence`` and ``support``. No labelled rows, or rows of one class only, give
+    no rules."""
+    spark = labelled.sparkSession
     labelled = stage(labelled.select("tokens", F.col("bad").cast("boolean").alias("bad")), "urls")
     total, bad = labelled.agg(F.count("*"), F.sum(F.col("bad").cast("long"))).first()
+    none = spark.createDataFrame([], RULES)
     if not bad or bad == total:
-        return []
+        return Tokens([], []), none
     rate = bad / total
-    enough = math.ceil(min_support * rate * total)
-    single = {r["token"]: (r["n"], r["b"]) for r in labelled.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(
-        F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("b")).where(
-        (F.col("n") >= min_support * total) & (F.col("b") >= max(1, enough))).collect()}
-    tokens = sorted(single)
-    items = stage(labelled.mapInArrow(_numbered(tokens), "items array<int>, bad boolean"), "items")
-    level = {(i,): single[t] for i, t in enumerate(tokens)}
-    best: dict[tuple[int, ...], float] = {}       # of the last level: the surest set within each
-    rules = []
-    while level:
-        surest = {}
-        for s, (n, b) in level.items():
-            inner = max((best[s[:j] + s[j + 1:]] for j in range(len(s))), default=0.0) if len(s) > 1 else 0.0
-            if b / n > inner and b / n >= min_confidence and b / total >= min_support * rate:
-                rules.append((tuple(tokens[i] for i in s), b / n, b / total))
-            surest[s] = max(inner, b / n)
-        best = surest
-        good = {s: n - b for s, (n, b) in level.items()}
-        sets = _wider([s for s in level if good[s]])      # without good URLs nothing is surer
-        level = {}
-        if sets:
-            counts = items.mapInArrow(_counted(np.array(sets, np.int32), len(tokens)), "at long, n long, b long").groupBy("at").agg(
-                F.sum("n").alias("n"), F.sum("b").alias("b")).where(F.col("b") >= max(1, enough))
-            for at, n, b in counts.collect():
-                s = sets[at]
-                if all(n - b < good[s[:j] + s[j + 1:]] for j in range(len(s))):
-                    level[s] = (n, b)
-    return sorted(rules, key=lambda r: (-r[1], -r[2], r[0]))
-
-
-def matches(urls: DataFrame, rules: list[tuple[tuple[str, ...], float, float]]) -> DataFrame:
+    enough = max(1, math.ceil(min_support * rate * total))
+    tokens = frequent_tokens(labelled, min_support * total, enough)
+    if not tokens.names:
+        return tokens, none
+    held = stage(baskets(labelled, tokens.names, ["bad"]), "baskets")
+    miner = FPGrowth(itemsCol="items", minSupport=(enough - 0.5) / bad)
+    sets = miner.fit(held.where("bad").select("items")).freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("b"))
+    sets = stage(sets.where(F.col("b") >= enough).withColumn("set", F.monotonically_increasing_id()), "sets")
+    good = holding(held.where("not bad"), sets.select("set", "items"), []).groupBy("set").agg(F.count("*").alias("g"))
+    sure = sets.join(good, "set", "left").withColumn("n", F.col("b") + F.coalesce("g", F.lit(0)))
+    sure = stage(sure.where((F.col("b") / F.col("n") >= min_confidence) & (F.col("b") / total >= min_support * rate)).select("set", "items", "b", "n"), "sure")
+    # a rule within the set that is as sure makes the set needless
+    inner = sure.select("items", F.col("b").alias("ib"), F.col("n").alias("i_n"))
+    needless = holding(sure.select("items", "set", "b", "n"), inner, ["set", "b", "n", F.size("items").alias("size")]).where(
+        (F.size("needs") < F.col("size")) & (F.col("ib") * F.col("n") >= F.col("b") * F.col("i_n"))).select("set").distinct()
+    rules = sure.join(needless, "set", "left_anti").select(
+        "items", (F.col("b") / F.col("n")).alias("confidence"), (F.col("b") / F.lit(total)).alias("support"))
+    return tokens, stage(rules, "rules")
+
+
+def mine_rules(labelled: DataFrame, min_support: float = 0.005,
+               min_confidence: float = 0.6) -> list[tuple[tuple[str, ...], float, float]]:
+    """The rules as a list to look at, (tokens, confidence, support), most sure first; tokens that
+    always stand together give a rule each. Judging reads the table instead."""
+    tokens, rules = rule_table(labelled, min_support, min_confidence)
+    out = [(tuple(sorted(names)), r["confidence"], r["support"]) for r in rules.toLocalIterator()
+           for names in product(*(tokens.twins[i] for i in r["items"]))]
+    return sorted(out, key=lambda r: (-r[1], -r[2], r[0]))
+
+
+def matches(urls: DataFrame, tokens: Tokens, rules: DataFrame) -> DataFrame:
     """``url, mined`` of URLs that a mined rule fits: the surest rule, its tokens joined."""
-    spark = urls.sparkSession
-    uses: dict[str, int] = {}
-    for tokens, _, _ in rules:
-        for t in tokens:
-            uses[t] = uses.get(t, 0) + 1
-    index = spark.createDataFrame(
-        [(min(tokens, key=lambda t: (t.startswith(("scheme=", "query=")), uses[t], t)), list(tokens), i)
-         for i, (tokens, _, _) in enumerate(rules)], "token string, needs array<string>, rank int")
-    hit = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token").where(
-        F.size(F.array_except("needs", "tokens")) == 0)
-    return hit.groupBy("url").agg(F.min_by("needs", "rank").alias("needs")).select("url", F.array_join("needs", " & ").alias("mined"))
+    if not tokens.names:
+        return urls.select("url", F.lit(None).cast("string").alias("mined")).limit(0)
+    names = rules.join(_names(urls.sparkSession, tokens, rules), "items")
+    hit = holding(baskets(urls, tokens.names, ["url"]), names, ["url"])
+    return hit.groupBy("url").agg(F.min(F.struct(-F.col("confidence"), -F.col("support"), "names")).alias("r")).select(
+        "url", F.array_join("r.names", " & ").alias("mined"))
+
+
+def _names(spark, tokens: Tokens, rules: DataFrame) -> DataFrame:
+    """``items, names``: the rules' tokens by name, in order."""
+    named = spark.createDataFrame(list(enumerate(tokens.names)), "item int, name string")
+    return rules.select("items", F.explode("items").alias("item")).join(named, "item").groupBy("items").agg(
+        F.array_sort(F.collect_list("name")).alias("names"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url",
@@ -208,8 +211,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url
     bad = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("page")).agg(
         F.max(F.coalesce((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit(False))).alias("bad"))
     marked = ids.join(bad, "page").groupBy("url").agg(F.max("bad").alias("bad")).join(urls, "url").select("tokens", "bad")
-    rules = mine_rules(marked, min_support, min_confidence)
-    found = matches(urls, rules)
+    tokens, rules = rule_table(marked, min_support, min_confidence)
+    found = matches(urls, tokens, rules)
     judged = urls.select("url", "host", "path").join(found, "url", "left")
     fixed = host_rule(F.col("host"), F.col("path"))
     mined = F.when(F.col("mined").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))

@@ -22,7 +22,7 @@ def test_blocks_of_awkward_markup():
     <body class="with-sidebar"><header><h1>Site</h1></header><nav>menu<article><header><h1>T &amp; t</h1></header><p>one<p>two <b>bold</b><br>x
  y&nbsp;z<a href="a>b">link</a> <p title='q'>3 < 4<div class="cookie-notice">N</div><ul><li>a<li>b</ul><aside>s</aside><!-- c --></article>
     <section id="reader-comments"><div><p>c1</div></section><form><input><p>f</form><footer>ft"""
-    assert blocks_of(page) == ["T & t", "one", "two bold x y z link", "3 < 4", "a", "b"]
+    assert blocks_of(page) == ["T & t", "one", "two bold x y zlink", "3 < 4", "a", "b"]
     assert blocks_of("") == [] and blocks_of("plain text") == ["plain text"] and blocks_of("<p>a<p>") == ["a"]
     assert blocks_of("<form><h2>Whole page</h2><p>is a form") == ["Whole page", "is a form"]
     assert blocks_of("<p>cut <a href='x") == ["cut"] and blocks_of("a</div></p>b") == ["ab"]
