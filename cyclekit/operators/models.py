@@ -9,12 +9,13 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip_nonneg
-from ..schema import WATER_QUALITY_FEATURES
+from ..schema import WATER_QUALITY_FEATURES, FeatureSpec
 
 
 def top_features(scores: DataFrame, name: str, score: str, k: int = 5) -> DataFrame:
@@ -53,6 +54,49 @@ def make_pipeline(features: list[str], label: str, params: GBTParams = GBTParams
     return Pipeline(stages=[assembler, gbt])
 
 
+def fit_contract(train: DataFrame, spec: FeatureSpec, params: GBTParams = GBTParams(),
+                 validation_col: str | None = None) -> PipelineModel:
+    """ML1/ML2 fit by a feature contract: leaks, repeated and missing columns are errors."""
+    spec.assert_valid(train.schema)
+    return fit_model(train, list(spec.features), spec.target, params, validation_col)
+
+
+def vector_column(array_col: str, out: str = "_features") -> Column:
+    """An array column as the feature vector, without a column per element."""
+    return array_to_vector(F.col(array_col).cast("array<double>")).alias(out)
+
+
+def whole_windows(df: DataFrame, array_col: str) -> DataFrame:
+    """Rows whose window has no missing value (ML3: the others cannot be scored)."""
+    return df.filter(F.forall(array_col, lambda v: v.isNotNull() & ~F.isnan(v)))
+
+
+def fit_window_model(train: DataFrame, array_col: str, label: str, params: GBTParams = GBTParams(),
+                     validation_col: str | None = None) -> PipelineModel:
+    """ML2 fit on flattened windows in one array column."""
+    cols = [vector_column(array_col), label] + ([validation_col] if validation_col else [])
+    gbt = make_pipeline([], label, params, validation_col).getStages()[-1]
+    return Pipeline(stages=[gbt]).fit(whole_windows(train, array_col).select(*cols))
+
+
+def fit_huber(train: DataFrame, array_col: str, label: str, epsilon: float = 1.35, reg: float = 1e-4,
+              max_iter: int = 100) -> PipelineModel:
+    """ML2's robust baseline: a linear model under the Huber loss on flattened windows."""
+    line = LinearRegression(featuresCol="_features", labelCol=label, loss="huber", epsilon=epsilon, regParam=reg, maxIter=max_iter)
+    return Pipeline(stages=[line]).fit(whole_windows(train, array_col).select(vector_column(array_col), F.col(label).cast("double").alias(label)))
+
+
+def score_windows(model: PipelineModel, df: DataFrame, array_col: str, out: str = "pred") -> DataFrame:
+    """ML3 on flattened windows, batch or stream, clipped at 0. Rows without a whole window have
+    no prediction (null) and stay."""
+    whole = F.coalesce((F.size(array_col) > 0) & F.forall(array_col, lambda v: v.isNotNull() & ~F.isnan(v)), F.lit(False))
+    n = model.stages[-1].numFeatures
+    zero = F.array_repeat(F.lit(0.0), n)
+    d = df.withColumn("_features", array_to_vector(F.when(whole, F.col(array_col).cast("array<double>")).otherwise(zero)))
+    d = model.transform(d).withColumn(out, F.when(whole, clip_nonneg("prediction")))
+    return d.drop("prediction", "_features")
+
+
 def fit_model(train: DataFrame, features: list[str], label: str, params: GBTParams = GBTParams(),
               validation_col: str | None = None) -> PipelineModel:
     """ML1/ML2 fit. Rows with a missing feature are skipped by the assembler."""

@@ -1,20 +1,24 @@
 """Registry, part two: sources/sinks, streaming and model queries."""
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import models
-from ..operators.series import materialize
-from ..schema import AUDIT_SCHEMA, QUALITY_SCHEMA, XGB_FEATURES
+from ..operators.artefacts import ModelStore, missing_features
+from ..operators.series import POS, materialize
+from ..schema import (AUDIT_SCHEMA, CYCLE_SPEC, LSTM_FEATURES, MAX_T_SIGNAL, MIN_T_SIGNAL, QUALITY_SCHEMA, STEP_SPEC, WINDOW_SIZE,
+                      XGB_FEATURES, FeatureSpec)
 from ..session import ensure_checkpoint_dir
 from ..sources.readers import read_sensor_csv
 from ..sources.sinks import append_audit, upsert_metrics, write_features
 from ..streaming import control as ST
+from ..streaming.online import ChainPaths, append_slice, chain_tables, run_chain
 from . import standin as SI
-from .registry import (NAME_SQL, R6, name_col, r6, register, replayed, starts_of, steps)
+from .registry import (NAME_SQL, R6, STEP_COLS, _step_select, _step_sql, name_col, r6, register, replayed, starts_of, steps)
 from .standin import table, with_chain
 
 
@@ -119,24 +123,69 @@ def q_sample_n(spark, sf):
 
 
 START_FEATS = [("current_r" if f == "상전류(R)" else f) for f in XGB_FEATURES if f != "reactor"]
+STEP_FEATS = [("current_r" if f == "상전류(R)" else f) for f in LSTM_FEATURES]
+START_SPEC = FeatureSpec("cycle_start", tuple(START_FEATS), CYCLE_SPEC.target, CYCLE_SPEC.forbidden,
+                         tuple(m for f, m in zip(XGB_FEATURES, CYCLE_SPEC.monotone) if f != "reactor"))
+WINDOW_SPEC = FeatureSpec("step", tuple(STEP_FEATS), STEP_SPEC.target, STEP_SPEC.forbidden, extra={"window": WINDOW_SIZE})
 SPLIT_AT = "2024-01-16 00:00:00"
 VALID_FROM = "2024-01-11 00:00:00"
+SPLIT = {"test_from": SPLIT_AT, "validation_from": VALID_FROM}
 ML_PARAMS = models.GBTParams()
 
 
+def model_store(spark, sf) -> ModelStore:
+    """The models of this application and input: a model is fitted once and loaded by every
+    other query."""
+    tag = hashlib.sha256(f"{spark.sparkContext.applicationId}|{sf}".encode()).hexdigest()[:16]
+    return ModelStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/models-{tag}")
+
+
+def _split(d: DataFrame) -> DataFrame:
+    ts = F.col("ts")
+    return (d.withColumn("split", F.when(ts < F.lit(SPLIT_AT).cast("timestamp_ntz"), "train").otherwise("test"))
+             .withColumn("is_val", ts >= F.lit(VALID_FROM).cast("timestamp_ntz")))
+
+
 def _start_frame(spark, sf) -> DataFrame:
     d = starts_of(steps(spark, sf)).select("user_id", "event_id", "ts", *START_FEATS, "cycle_runtime")
-    ts = F.col("ts")
-    d = (d.withColumn("split", F.when(ts < F.lit(SPLIT_AT).cast("timestamp_ntz"), "train").otherwise("test"))
-          .withColumn("is_val", ts >= F.lit(VALID_FROM).cast("timestamp_ntz")))
-    return materialize(d)       # fits and audits read it many times
+    return materialize(_split(d))       # fits and audits read it many times
+
+
+def _fit_start(d: DataFrame):
+    return models.fit_contract(d.filter(F.col("split") == "train"), START_SPEC, ML_PARAMS, validation_col="is_val")
 
 
 def _start_model(spark, sf):
-    d = _start_frame(spark, sf)
-    train = d.filter(F.col("split") == "train")
-    model = models.fit_model(train, START_FEATS, "cycle_runtime", ML_PARAMS, validation_col="is_val")
-    return model, d
+    store, d = model_store(spark, sf), _start_frame(spark, sf)
+    if not store.versions("start"):
+        store.save("start", _fit_start(d), START_SPEC, split=SPLIT)
+    return store.load("start").model, d
+
+
+def _window_frame(spark, sf, scaler: dict | None) -> tuple[DataFrame, dict]:
+    """Flattened scaled windows (``flat``) of every on-row that has one; the scaler is fitted on
+    the training rows unless given."""
+    from ..operators.features import apply_scaler, fit_scaler, sliding_sequences, window_matrix
+    from .registry import _cno
+    full = materialize(_cno(spark, sf))
+    on = full.filter(F.col("current_aeration") == 1)
+    params = scaler or fit_scaler(on.filter(F.col("ts") < F.lit(SPLIT_AT).cast("timestamp_ntz")), STEP_FEATS)
+    z = [f"{c}_z" for c in STEP_FEATS]
+    win = sliding_sequences(apply_scaler(full, params, suffix="_z"), SI.SPEC, z, WINDOW_SIZE, "cycle_no").filter(F.col("current_aeration") == 1)
+    flat = window_matrix(win, "window", z, "flat").select("user_id", "event_id", "ts", POS, "T_remaining", "flat")
+    return materialize(_split(flat)), params
+
+
+def _step_model(spark, sf):
+    store = model_store(spark, sf)
+    if not store.versions("step"):
+        d, scaler = _window_frame(spark, sf, None)
+        WINDOW_SPEC.assert_valid()
+        model = models.fit_window_model(d.filter(F.col("split") == "train"), "flat", WINDOW_SPEC.target, ML_PARAMS, validation_col="is_val")
+        store.save("step", model, WINDOW_SPEC, scaler, SPLIT)
+        return store.load("step"), d
+    saved = store.load("step")
+    return saved, _window_frame(spark, sf, saved.scaler)[0]
 
 
 @register("cycle_model_scores")
@@ -146,6 +195,28 @@ def q_cycle_model(spark, sf):
     return s.select("user_id", "event_id", "cycle_runtime", r6("pred"))
 
 
+_TEST_STARTS = f"""SELECT * FROM steps WHERE current_aeration = 1 AND elapsed_time = 0 AND ts >= TIMESTAMP '{SPLIT_AT}'"""
+
+
+@register("model_reload", with_chain("steps") + f"""SELECT count(*) AS n_rows, 0::BIGINT AS n_unscored, count(*) AS n_scored,
+  0::BIGINT AS n_differ, 0::BIGINT AS n_negative, {len(START_FEATS)}::INTEGER AS n_features FROM ({_TEST_STARTS})""")
+def q_model_reload(spark, sf):
+    """Save a fit, load it again, score the test starts with both: every row has a score, none
+    differs, none is negative; the loaded contract names the features."""
+    d = _start_frame(spark, sf)
+    fitted = _fit_start(d)
+    store = ModelStore(spark, scratch_path(spark, "reload"))
+    store.save("start", fitted, START_SPEC, split=SPLIT)
+    loaded = store.load("start")
+    test = d.filter(F.col("split") == "test")
+    both = models.score(fitted, test, "a").join(models.score(loaded.model, test, "b").select("user_id", "event_id", "b"), ["user_id", "event_id"])
+    out = both.agg(F.count("a").alias("n_scored"), F.count(F.when(~F.col("a").eqNullSafe(F.col("b")), 1)).alias("n_differ"),
+                   F.count(F.when((F.col("a") < 0) | (F.col("b") < 0), 1)).alias("n_negative"))
+    lost = missing_features(test, list(loaded.spec.features))                  # one row each
+    return lost.join(F.broadcast(out)).select("n_rows", "n_unscored", "n_scored", "n_differ", "n_negative",
+                                              F.lit(len(loaded.spec.features)).alias("n_features"))
+
+
 @register("feature_importance")
 def q_importance(spark, sf):
     model, _ = _start_model(spark, sf)
@@ -173,44 +244,76 @@ def q_monotone(spark, sf):
 
 @register("step_model_scores")
 def q_step_model(spark, sf):
-    from ..operators.features import apply_scaler, fit_scaler, sliding_sequences, window_matrix
-    from .registry import SCALE_FEATS, _cno
-    full = materialize(_cno(spark, sf))
-    on = full.filter(F.col("current_aeration") == 1)
-    train_rows = on.filter(F.col("ts") < F.lit(SPLIT_AT).cast("timestamp_ntz"))
-    params = fit_scaler(train_rows, SCALE_FEATS)
-    scaled = apply_scaler(full, params, suffix="_z")
-    zcols = [f"{c}_z" for c in SCALE_FEATS]
-    win = sliding_sequences(scaled, SI.SPEC, zcols, 7, "cycle_no").filter(F.col("current_aeration") == 1)
-    flat = window_matrix(win, "window", zcols, "flat")
-    n = 7 * len(zcols)
-    flat = flat.select("user_id", "event_id", "ts", "T_remaining", *[F.col("flat")[i].alias(f"x{i}") for i in range(n)])
-    flat = flat.withColumn("split", F.when(F.col("ts") < F.lit(SPLIT_AT).cast("timestamp_ntz"), "train")
-                           .otherwise("test"))
-    feats = [f"x{i}" for i in range(n)]
-    flat = materialize(flat.withColumn("is_val", F.col("ts") >= F.lit(VALID_FROM).cast("timestamp_ntz")))
-    model = models.fit_model(flat.filter(F.col("split") == "train"), feats, "T_remaining", ML_PARAMS,
-                             validation_col="is_val")
-    s = models.score(model, flat.filter(F.col("split") == "test"))
+    saved, d = _step_model(spark, sf)
+    s = models.score_windows(saved.model, d.filter(F.col("split") == "test"), "flat")
     return s.select("user_id", "event_id", "T_remaining", r6("pred"))
 
 
-@register("model_backtest")
-def q_model_backtest(spark, sf):
-    """Fit the start model, score the test starts, replay the cycles that have a
-    prediction, and report the stop KPIs with the number of skipped cycles."""
-    from ..operators import control, metrics
+_TEST_WINDOWS = f"""SELECT * FROM steps WHERE current_aeration = 1 AND run_pos >= {WINDOW_SIZE - 1} AND ts >= TIMESTAMP '{SPLIT_AT}'"""
+
+
+@register("step_baseline", with_chain("steps") + f"""SELECT count(*) AS n_rows, 0::BIGINT AS n_negative, true AS huber_beats_mean, true AS trees_beat_mean
+  FROM ({_TEST_WINDOWS})""")
+def q_step_baseline(spark, sf):
+    """The robust linear baseline beside the step model, on the test windows: mean absolute errors
+    against that of the training mean, and no negative prediction."""
+    saved, d = _step_model(spark, sf)
+    train, test = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
+    huber = models.fit_huber(train, "flat", "T_remaining")
+    both = models.score_windows(saved.model, models.score_windows(huber, test, "flat", "h"), "flat", "g")
+    mean = train.agg(F.avg("T_remaining").alias("mean"))                                  # one row
+    err = lambda c: F.avg(F.abs(F.col(c) - F.col("T_remaining")))
+    return both.join(F.broadcast(mean)).agg(
+        F.count(F.when(F.col("h").isNotNull() & F.col("g").isNotNull(), 1)).alias("n_rows"),
+        F.count(F.when((F.col("h") < 0) | (F.col("g") < 0), 1)).alias("n_negative"),
+        (err("h") < err("mean")).alias("huber_beats_mean"), (err("g") < err("mean")).alias("trees_beat_mean"))
+
+
+def model_replay(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(back-test with both saved models, test starts with the start model's prediction): the step
+    model's scores reach their rows by series position."""
+    from ..operators import control
+    from ..operators.series import join_small
     from .registry import SPEC
-    st = steps(spark, sf)
+    st = materialize(steps(spark, sf))
     model, d = _start_model(spark, sf)
     scored = models.score(model, d.filter(F.col("split") == "test"), "start_model_pred").select(
         "user_id", "ts", "event_id", "cycle_runtime", "start_model_pred")
-    rep = control.replay(st, scored, SPEC, "start_model_pred", SI.step_pred_expr())
-    kpis = metrics.stop_kpis(control.cycle_outcomes(rep, ["user_id"], "cycle_no"))
+    saved, windows = _step_model(spark, sf)
+    ahead = models.score_windows(saved.model, windows, "flat", "step_model_pred").select("user_id", POS, "step_model_pred")
+    st = join_small(st, ahead, ["user_id", POS], "left")
+    rep = control.replay(st, scored, SPEC, "start_model_pred", F.col("step_model_pred"))
     every = starts_of(st).join(scored.select("user_id", "event_id", "start_model_pred"), ["user_id", "event_id"], "left")
+    return rep, every
+
+
+@register("model_backtest")
+def q_model_backtest(spark, sf):
+    """Replay the test cycles with both fitted models and report the stop KPIs with the number of
+    skipped cycles."""
+    from ..operators import control, metrics
+    rep, every = model_replay(spark, sf)
+    kpis = metrics.stop_kpis(control.cycle_outcomes(rep, ["user_id"], "cycle_no"))
     return kpis.join(F.broadcast(control.skipped_cycles(every, "start_model_pred")))   # one row each
 
 
+@register("model_backtest_rows", with_chain("cno") + f""", first AS (SELECT user_id, cycle_no, min(ts) AS began FROM cno GROUP BY user_id, cycle_no),
+  t AS (SELECT c.*, row_number() OVER (PARTITION BY c.user_id, c.cycle_no ORDER BY opos) AS k FROM cno c JOIN first f
+    ON f.user_id = c.user_id AND f.cycle_no = c.cycle_no WHERE began >= TIMESTAMP '{SPLIT_AT}')
+SELECT user_id, event_id, cycle_no, elapsed_time, CAST(least(7, k) AS INTEGER) AS buffer_fill,
+  CASE WHEN elapsed_time < 60 OR k < 7 THEN 'xgb_only' ELSE 'integrated' END AS mode, elapsed_time >= 60 AND k >= 7 AS has_step_pred, true AS in_bounds FROM t""")
+def q_model_backtest_rows(spark, sf):
+    """The rows of the two-model back-test: which cycles are replayed, in which mode, where a step
+    prediction reached the row, and that every signal is within its bounds and never below
+    the step prediction."""
+    rep, _ = model_replay(spark, sf)
+    step = F.col("mode") == "integrated"
+    bounded = F.col("t_signal").between(MIN_T_SIGNAL, MAX_T_SIGNAL)
+    above = ~step | (F.col("t_signal") >= F.least(F.floor("step_model_pred"), F.lit(MAX_T_SIGNAL)))
+    return rep.select("user_id", "event_id", "cycle_no", "elapsed_time", "buffer_fill", "mode",
+                      (step & F.col("step_model_pred").isNotNull()).alias("has_step_pred"), (bounded & above).alias("in_bounds"))
+
+
 # ================================================================ streaming (ST1-ST5)
 def control_events(spark, sf, drop_features: bool = False) -> DataFrame:
     """Control events derived from the step table: one start per cycle (on-row with
@@ -232,14 +335,29 @@ def control_events(spark, sf, drop_features: bool = False) -> DataFrame:
     return starts.unionByName(ticks).select(*[f.name for f in ST.EVENT_SCHEMA.fields])
 
 
+SLICES = 3       # time slices that a stream query's events come in, a micro-batch each
+
+
+def write_slices(events: DataFrame, path: str, slices: int = SLICES, which: range | None = None) -> None:
+    """Write events as files in time order, a slice of equal time span after the other."""
+    t = F.unix_micros(F.col("event_time").cast("timestamp"))
+    lo, hi = events.agg(F.min(t), F.max(t)).first()
+    at = F.least(F.floor((t - F.lit(lo or 0)) * slices / F.lit(max(1, (hi or 0) - (lo or 0)))), F.lit(slices - 1))
+    for i in which if which is not None else range(slices):
+        append_slice(events.filter(at == i), path, FILES)
+
+
+FILES = 4
+
+
 def run_stream(spark, events: DataFrame, transform, tag: str, audit: bool = False) -> DataFrame:
-    """Write ``events`` as files, stream them through ``transform`` with an
-    availableNow trigger into a Parquet sink via foreachBatch (the audit sink of
-    ST4 when ``audit``), and return the sink as a table."""
+    """Write ``events`` as files in time order, stream them through ``transform``, a few
+    micro-batches with an availableNow trigger, into a Parquet sink via foreachBatch (the
+    audit sink of ST4 when ``audit``), and return the sink as a table."""
     src, sink, ckpt = scratch_path(spark, f"{tag}-src"), scratch_path(spark, f"{tag}-sink"), \
         scratch_path(spark, f"{tag}-ckpt")
-    events.write.parquet(src)
-    stream = spark.readStream.schema(ST.EVENT_SCHEMA).parquet(src)
+    write_slices(materialize(events), src)
+    stream = spark.readStream.schema(ST.EVENT_SCHEMA).option("maxFilesPerTrigger", FILES).parquet(src)
 
     def sink_batch(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(sink)
@@ -273,6 +391,100 @@ def q_feature_stream(spark, sf):
                                                             *[r6(c) for c in ST.RUN_FEATURES])
 
 
+@register("dedupe_stream", TICK_SQL)
+def q_dedupe_stream(spark, sf):
+    """Every fourth tick is sent twice; the watermarked repeat filter leaves the plain back-test."""
+    events = materialize(control_events(spark, sf))
+    again = events.filter((F.col("event_kind") == "tick") & (F.col("elapsed_time") > 0) & (F.col("seq") % 4 == 0))
+    out = run_stream(spark, events.unionByName(again), lambda s: ST.control_stream(s, dedupe_within="30 days"), "dedupe")
+    return out.filter(F.col("event_kind") == "tick").select(
+        "reactor", "seq", "elapsed_time", "start_pred", "buffer_fill", "mode", "t_signal", "was_clamped",
+        "should_continue")
+
+
+# events that the online chain must reject: a missing feature, an elapsed time off the grid, an unknown reactor
+_RULE_SQL = [(f"{c}_range", " OR ".join([f"{c} IS NULL", f"{c} < {lo}"] + ([f"{c} > {hi}"] if hi is not None else [])))
+             for c, lo, hi in [("nh4", 0.0, 100.0), ("no3", 0.0, 100.0), ("ph", 0.0, 14.0), ("temp", 0.0, 40.0), ("current_r", 0.0, None),
+                               ("hour_sin", -1.0, 1.0), ("hour_cos", -1.0, 1.0), ("weekday", 0, 6)]]
+_RULE_SQL += [("reactor_unknown", "user_id % 10 = 3"), ("elapsed_time_step", "event_kind = 'tick' AND elapsed_time % 10 <> 0"),
+              ("nh4_no3_ratio_missing", "nh4_no3_ratio IS NULL")]
+ONLINE_SQL = with_chain("onp") + f""", ev AS (
+  SELECT 'tick' AS event_kind, event_id AS seq, user_id, ts, CASE WHEN event_id % 101 = 0 THEN elapsed_time + 3 ELSE elapsed_time END AS elapsed_time,
+    nh4, no3, ph, temp, current_r, hour_sin, hour_cos, weekday, CASE WHEN event_id % 97 = 0 THEN NULL ELSE nh4_no3_ratio END AS nh4_no3_ratio,
+    nh4_rolling_mean, NULL::DOUBLE AS start_pred_raw FROM onp
+  UNION ALL SELECT 'start', event_id, user_id, ts, 0, nh4, no3, ph, temp, current_r, hour_sin, hour_cos, weekday,
+    CASE WHEN event_id % 97 = 0 THEN NULL ELSE nh4_no3_ratio END, nh4_rolling_mean, {SI.START_PRED_SQL} FROM onp WHERE elapsed_time = 0),
+chk AS (SELECT *, array_to_string(list_filter([{", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _RULE_SQL)}], lambda x: x IS NOT NULL), ',') AS violations FROM ev),
+num AS (SELECT *, sum(CASE WHEN event_kind = 'start' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, seq, event_kind ROWS UNBOUNDED PRECEDING) AS c
+  FROM chk WHERE violations = ''),
+st AS (SELECT user_id, c, CAST(trunc(greatest(10.0, start_pred_raw)) AS INTEGER) AS start_pred FROM num WHERE event_kind = 'start'),
+tk AS (SELECT num.*, start_pred FROM num LEFT JOIN st USING (user_id, c) WHERE event_kind = 'tick'),
+od AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) AS o FROM tk WHERE start_pred IS NOT NULL),
+rs AS (SELECT *, CASE WHEN lag(c) OVER w IS DISTINCT FROM c OR elapsed_time < lag(elapsed_time) OVER w THEN 1 ELSE 0 END AS r
+  FROM od WINDOW w AS (PARTITION BY user_id ORDER BY o)),
+sg AS (SELECT *, sum(r) OVER (PARTITION BY user_id ORDER BY o ROWS UNBOUNDED PRECEDING) AS s FROM rs),
+bf AS (SELECT *, CAST(least(7, row_number() OVER (PARTITION BY user_id, s ORDER BY o)) AS INTEGER) AS buffer_fill FROM sg),
+md AS (SELECT *, CASE WHEN elapsed_time < 60 OR buffer_fill < 7 THEN 'xgb_only' ELSE 'integrated' END AS mode FROM bf),
+rw AS (SELECT *, CASE WHEN mode = 'xgb_only' THEN greatest(0.0, start_pred - elapsed_time)
+  ELSE greatest(0.0, start_pred - elapsed_time, {SI.STEP_PRED_SQL}) END AS raw FROM md)
+SELECT CAST(user_id AS VARCHAR) AS reactor, seq, 'tick' AS outcome, elapsed_time, {R6('nh4')}, start_pred, buffer_fill, mode,
+  CAST(trunc(least(greatest(raw, 10.0), 250.0)) AS INTEGER) AS t_signal, NOT (raw >= 10.0 AND raw <= 250.0) AS was_clamped,
+  CAST(trunc(least(greatest(raw, 10.0), 250.0)) AS INTEGER) > 20 AS should_continue, NULL AS violations FROM rw
+UNION ALL SELECT CAST(user_id AS VARCHAR), seq, 'skipped', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM tk WHERE start_pred IS NULL
+UNION ALL SELECT CAST(user_id AS VARCHAR), seq, 'rejected ' || event_kind, elapsed_time, {R6('nh4')}, NULL, NULL, NULL, NULL, NULL, NULL, violations
+  FROM chk WHERE violations <> ''"""
+
+
+def chain_paths(spark, tag: str) -> ChainPaths:
+    return ChainPaths(*(scratch_path(spark, f"{tag}-{part}") for part in ("events", "audit", "quarantine", "ckpt")))
+
+
+def defective_events(spark, sf) -> DataFrame:
+    """Control events of which some break a rule."""
+    tick = F.col("event_kind") == "tick"
+    return control_events(spark, sf).withColumns({
+        "elapsed_time": F.when(tick & (F.col("seq") % 101 == 0), F.col("elapsed_time") + 3).otherwise(F.col("elapsed_time")),
+        "nh4_no3_ratio": F.when(F.col("seq") % 97 != 0, F.col("nh4_no3_ratio"))})
+
+
+class _Stopped(RuntimeError):
+    pass
+
+
+@register("online_chain", ONLINE_SQL)
+def q_online_chain(spark, sf):
+    """Validation, control and audit over four slices: the chain takes two, is broken off in the
+    next (after the audit write, before the batch is committed), and goes on from its
+    checkpoints."""
+    events = materialize(defective_events(spark, sf))
+    known = events.select("reactor").distinct().filter(F.col("reactor").cast("long") % 10 != 3)
+    paths = chain_paths(spark, "online")
+    known = materialize(known)
+    write_slices(events, paths.source, 4, range(0, 2))
+    run_chain(spark, paths, reactors=known, max_files=FILES)
+    write_slices(events, paths.source, 4, range(2, 4))
+    plain = ST.audit_writer(paths.audit, partition_by=("date",))
+
+    def broken(batch: DataFrame, batch_id: int) -> None:
+        plain(batch, batch_id)
+        raise _Stopped(f"batch {batch_id} is written but not committed")
+
+    try:
+        run_chain(spark, paths, reactors=known, max_files=FILES, writer=broken)
+    except Exception as e:  # noqa: BLE001  Spark wraps the error of a batch
+        if "not committed" not in str(e):
+            raise
+    run_chain(spark, paths, reactors=known, max_files=FILES)
+    audit, rejected = chain_tables(spark, paths)
+    none = F.lit(None)
+    rest = ["start_pred", "buffer_fill", "mode", "t_signal", "was_clamped", "should_continue"]
+    decided = audit.filter("event_kind <> 'start'").select(
+        "reactor", "seq", F.col("event_kind").alias("outcome"), "elapsed_time", r6("nh4"), *rest, none.cast("string").alias("violations"))
+    return decided.unionByName(rejected.select(
+        "reactor", "seq", F.concat(F.lit("rejected "), "event_kind").alias("outcome"), "elapsed_time", r6("nh4"),
+        *[none.cast(audit.schema[c].dataType).alias(c) for c in rest], F.array_join("violations", ",").alias("violations")))
+
+
 def _validate_sql() -> str:
     parts = []
     for c, lo, hi in [("nh4", 0.0, 100.0), ("no3", 0.0, 100.0), ("ph", 0.0, 14.0), ("temp", 0.0, 40.0),
@@ -300,3 +512,57 @@ def q_validate_stream(spark, sf):
     out = run_stream(spark, control_events(spark, sf), transform, "validate")
     return out.select("event_kind", "seq", "reactor", F.array_join("violations", ",").alias("violations"),
                       "is_valid")
+
+
+# ================================================================ incremental build (ML7, IO2)
+MONTH_FROM = ["2024-01-01 00:00:00", "2024-01-11 00:00:00", "2024-01-21 00:00:00", "2024-02-01 00:00:00"]
+
+
+def month_files(spark, sf) -> tuple[dict[int, str], dict[int, str]]:
+    """The stand-in's source files: quality and current tables of three periods."""
+    d = SI.aligned(spark, sf)
+    quality, current = {}, {}
+    for k, (a, b) in enumerate(zip(MONTH_FROM, MONTH_FROM[1:]), 1):
+        part = d.filter((F.col("ts") >= F.lit(a).cast("timestamp_ntz")) & (F.col("ts") < F.lit(b).cast("timestamp_ntz")))
+        quality[k], current[k] = scratch_path(spark, f"quality-{k}"), scratch_path(spark, f"current-{k}")
+        part.drop("current_r").write.parquet(quality[k])
+        part.select("user_id", "ts", "event_id", "current_r").write.parquet(current[k])
+    return quality, current
+
+
+def incremental_steps(spark, sf) -> DataFrame:
+    """The step table built period by period, each from its own files and the state before."""
+    from ..sources.readers import read_months
+    from .build import BuildOptions
+    from .incremental import IncrementalBuild, aligned_month
+    quality, current = month_files(spark, sf)
+    keys = ["user_id", "ts", "event_id"]
+    build = IncrementalBuild(spark, scratch_path(spark, "incremental"), SI.SPEC, BuildOptions(threshold=SI.ON_THRESHOLD))
+    for k in sorted(quality):
+        rows = aligned_month(read_months(spark, {k: quality[k]}), read_months(spark, {k: current[k]}), keys, "current_r")
+        build.add(rows.drop("month", "source_file"))
+    build.close(rows.drop("month", "source_file"))
+    return build.steps()
+
+
+@register("build_incremental", with_chain("steps") + f"SELECT ts, {_step_sql(STEP_COLS)} FROM steps")
+def q_build_incremental(spark, sf):
+    return incremental_steps(spark, sf).select("ts", *_step_select(STEP_COLS))
+
+
+@register("read_month_files", f"""SELECT event_id, user_id, ts, CAST(CASE WHEN ts < TIMESTAMP '{MONTH_FROM[1]}' THEN 1 WHEN ts < TIMESTAMP '{MONTH_FROM[2]}' THEN 2
+  ELSE 3 END AS INTEGER) AS month, value AS current_r FROM events""")
+def q_read_month_files(spark, sf):
+    """IO2 over several files."""
+    from ..sources.readers import read_months
+    return read_months(spark, month_files(spark, sf)[1]).select("event_id", "user_id", "ts", "month", "current_r")
+
+
+@register("cycle_table", with_chain("steps") + f"""SELECT user_id, event_id, ts, {', '.join(_step_sql([c]) for c in STEP_COLS if c not in ('user_id', 'event_id'))},
+  CAST(CASE WHEN user_id % 2 = 0 THEN 0 ELSE 1 END AS INTEGER) AS reactor FROM steps WHERE current_aeration = 1""")
+def q_cycle_table(spark, sf):
+    """The on-rows with the fixed reactor code."""
+    from ..schema import VALID_REACTORS
+    from .build import cycle_table
+    st = steps(spark, sf).withColumn("name", F.when(F.col("user_id") % 2 == 0, VALID_REACTORS[0]).otherwise(VALID_REACTORS[1]))
+    return cycle_table(st, "name").select("ts", *_step_select(STEP_COLS), F.col("reactor").cast("int").alias("reactor"))

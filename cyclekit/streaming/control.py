@@ -1,25 +1,29 @@
 """Structured Streaming: live control signal (ST1-ST5, IO4).
 
-Events: one stream with ``event_kind`` 'start' or 'tick', keyed by ``reactor``.
-State per reactor (bounded): start prediction, last elapsed, cycle id, the
-buffer of at most ``WINDOW_SIZE`` scaled rows and the last six raw samples
-(for features a client did not send). Rows of one key inside a micro-batch are
-processed in event-time order."""
+Events: one stream with ``event_kind`` 'start' or 'tick', keyed by ``reactor``. The stateful
+step (``ControlProcessor``) holds typed state per reactor, bounded whatever the history: the
+open cycle (start prediction, id) and its last ``WINDOW_SIZE`` ticks. It emits what only
+state can give: the start prediction, the buffer's fill, the features of the run so far and
+the window of scaled rows. Scoring and the control signal are columns after it, the same
+``signal_columns`` as in the batch back-test, so a Spark ML step model scores the stream.
+
+Events of one key inside a micro-batch are taken in event-time order; a source limit
+(``maxFilesPerTrigger``) bounds a micro-batch."""
 from __future__ import annotations
 
 import hashlib
-import json
-import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..schema import (LSTM_WINDOW_THRESHOLD, MAX_T_SIGNAL, MIN_T_SIGNAL, SCALER_CLIP, STEP_MINUTES,
-                      STOP_THRESHOLD, WINDOW_SIZE)
+from ..functions.scalar import nan_to_null
+from ..operators.control import signal_columns
+from ..schema import MIN_T_SIGNAL, SCALER_CLIP, STEP_MINUTES, WINDOW_SIZE
 
 SENSOR_FIELDS = ["nh4", "no3", "ph", "temp", "current_r", "nh4_no3_ratio", "do_saturation", "nh4_diff",
                  "no3_diff", "ph_diff", "nh4_rolling_mean", "nh4_decay_rate", "hour_sin", "hour_cos"]
@@ -38,7 +42,15 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("weekday", T.IntegerType()),
 ])
 
-DECISION_SCHEMA = T.StructType([
+#: One step of the window: the features of the step model, in order.
+TICK_FIELDS = [*SENSOR_FIELDS, "weekday", "elapsed_time"]
+
+#: Typed state: the open cycle, and its last ticks (oldest first) with the buffer's fill.
+CYCLE_STATE = T.StructType([T.StructField("start_pred", T.IntegerType()), T.StructField("cycle_id", T.StringType())])
+TICK_STATE = T.StructType([*[T.StructField(c, T.DoubleType()) for c in TICK_FIELDS], T.StructField("fill", T.IntegerType())])
+
+#: What the stateful step emits: one row an event, kind 'start', 'tick' or 'skipped'.
+STEP_SCHEMA = T.StructType([
     T.StructField("reactor", T.StringType()),
     T.StructField("event_kind", T.StringType()),
     T.StructField("event_time", T.TimestampNTZType()),
@@ -47,31 +59,12 @@ DECISION_SCHEMA = T.StructType([
     T.StructField("elapsed_time", T.IntegerType()),
     T.StructField("start_pred", T.IntegerType()),
     T.StructField("buffer_fill", T.IntegerType()),
-    T.StructField("mode", T.StringType()),
-    T.StructField("t_signal", T.IntegerType()),
-    T.StructField("was_clamped", T.BooleanType()),
-    T.StructField("should_continue", T.BooleanType()),
-    *[T.StructField(c, T.DoubleType()) for c in RUN_FEATURES],
-])
-
-STATE_SCHEMA = T.StructType([
-    T.StructField("start_pred", T.IntegerType()),
-    T.StructField("last_elapsed", T.IntegerType()),
-    T.StructField("cycle_id", T.StringType()),
-    T.StructField("buffer", T.StringType()),
-    T.StructField("history", T.StringType()),
+    *[T.StructField(c, T.DoubleType()) for c in SENSOR_FIELDS],
+    T.StructField("weekday", T.IntegerType()),
+    T.StructField("window", T.ArrayType(T.DoubleType())),
 ])
 
-StepModel = Callable[[list[dict], dict], "float | None"]
-
-
-def standin_step_model(window: list[dict], row: dict) -> float:
-    """Stand-in step predictor (same formula as the batch back-test), on the raw
-    current row: 3 * nh4_rolling_mean - elapsed_time. A real model scores
-    ``window`` (the scaled buffer, oldest first). No prediction without the mean."""
-    if row.get("nh4_rolling_mean") is None:
-        return None
-    return 3.0 * row["nh4_rolling_mean"] - row["elapsed_time"]
+Scaler = dict[str, tuple[float, float]]
 
 
 def cycle_id_for(reactor: str, start_time) -> str:
@@ -79,131 +72,196 @@ def cycle_id_for(reactor: str, start_time) -> str:
     return hashlib.sha256(f"{reactor}|{start_time:%Y-%m-%d %H:%M:%S}".encode()).hexdigest()[:32]
 
 
-def _features_from_history(row: dict, hist: list[dict], step: int = STEP_MINUTES) -> dict:
-    """ST5: fill run features a client did not send from the cycle's recent samples."""
-    def change(c: str, back: int) -> float:
-        """Change since ``back`` samples ago; 0 where either value is missing."""
-        old = hist[-back].get(c) if len(hist) >= back else None
-        return row[c] - old if old is not None and row.get(c) is not None else 0.0
+def run_features_so_far(x: np.ndarray, first: np.ndarray, step: int = STEP_MINUTES) -> np.ndarray:
+    """ST5: fill the run features that a client did not send, from the cycle's earlier ticks.
+    ``x`` holds the ticks in order (columns TICK_FIELDS, NaN missing), ``first`` the place of
+    each tick's cycle. Changes are 0 where either value is missing."""
+    at = {c: i for i, c in enumerate(TICK_FIELDS)}
+    here = np.arange(len(x))
+
+    def back(c: str, k: int) -> np.ndarray:
+        """The value ``k`` ticks before in the same cycle, NaN where there is none."""
+        old = np.full(len(x), np.nan)
+        some = here - k >= first
+        old[some] = x[here[some] - k, at[c]]
+        return old
+
+    def fill(c: str, value: np.ndarray) -> None:
+        x[:, at[c]] = np.where(np.isnan(x[:, at[c]]), value, x[:, at[c]])
 
-    out = dict(row)
     for c in ("nh4", "no3", "ph"):
-        if out.get(f"{c}_diff") is None:
-            out[f"{c}_diff"] = change(c, 1)
-    if out.get("nh4_decay_rate") is None:
-        out["nh4_decay_rate"] = change("nh4", 3) / (3 * step)
-    if out.get("nh4_rolling_mean") is None:
-        vals = [v for v in [*(h.get("nh4") for h in hist[-5:]), row.get("nh4")] if v is not None]
-        out["nh4_rolling_mean"] = sum(vals) / len(vals) if vals else None
-    return out
-
-
-def make_processor(step_model: StepModel = standin_step_model,
-                   scaler: dict[str, tuple[float, float]] | None = None):
-    """Build the per-reactor function for ``applyInPandasWithState``."""
-    feats = [*SENSOR_FIELDS, "weekday", "elapsed_time"]
-
-    def scale(row: dict) -> dict:
-        if not scaler:
-            return {c: row.get(c) for c in feats}
-        out = {}
-        for c in feats:
-            v = row.get(c)
-            if c in scaler and v is not None:
-                m, s = scaler[c]
-                v = max(-SCALER_CLIP, min(SCALER_CLIP, (v - m) / s))
-            out[c] = v
-        return out
-
-    def process(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        reactor = key[0]
-        if state.exists:
-            sp, le, cid, buf, hist = state.get
-            buffer, history = json.loads(buf), json.loads(hist)
+        fill(f"{c}_diff", np.nan_to_num(x[:, at[c]] - back(c, 1), nan=0.0))
+    fill("nh4_decay_rate", np.nan_to_num(x[:, at["nh4"]] - back("nh4", 3), nan=0.0) / (3 * step))
+    recent = np.column_stack([back("nh4", k) for k in range(5, 0, -1)] + [x[:, at["nh4"]]])
+    n = (~np.isnan(recent)).sum(axis=1)
+    fill("nh4_rolling_mean", np.where(n > 0, np.nansum(recent, axis=1) / np.maximum(n, 1), np.nan))
+    return x
+
+
+def advance(reactor: str, cycle: tuple[int | None, str | None], ticks: np.ndarray, batch: pd.DataFrame,
+            scaler: Scaler | None = None) -> tuple[tuple, np.ndarray, pd.DataFrame]:
+    """State and the events of one reactor -> new state and one output row an event.
+
+    ``ticks``: the open cycle's last ticks, columns TICK_FIELDS and the fill. A start event
+    opens a cycle (without a prediction its ticks are skipped, as are ticks without elapsed
+    time and ticks before any start). The buffer restarts where elapsed falls."""
+    batch = batch.assign(_k=(batch["event_kind"] != "start").astype(int))
+    batch = batch.sort_values(["event_time", "seq", "_k"], kind="stable").reset_index(drop=True)
+    start = (batch["event_kind"] == "start").to_numpy()
+    raw = batch[TICK_FIELDS].to_numpy(dtype=float, na_value=np.nan)
+    number = np.cumsum(start)                                # 0: the cycle that is open already
+    pred = batch["start_pred_raw"].to_numpy(dtype=float, na_value=np.nan)[start]
+    pred = np.trunc(np.clip(pred, MIN_T_SIGNAL, 2 ** 31 - 1))
+    preds = np.concatenate([[np.nan if cycle[0] is None else cycle[0]], pred])
+    ids = [cycle[1], *(cycle_id_for(reactor, t) for t in batch["event_time"][start])]
+
+    elapsed = raw[:, -1]
+    good = ~start & ~np.isnan(elapsed) & ~np.isnan(preds[number])
+    old = len(ticks)
+    of = np.concatenate([np.zeros(old, int), number[good]])  # cycle of each tick, old ones first
+    x = np.concatenate([ticks[:, :-1], raw[good]]) if old else raw[good]
+    first = np.searchsorted(of, of, side="left")
+    here = np.arange(len(x))
+    x = run_features_so_far(x, first)
+    falls = np.concatenate([[False], x[1:, -1] < x[:-1, -1]]) if len(x) else np.zeros(0, bool)
+    reset = (here >= old) & ((here == first) | falls)
+    since = np.maximum.accumulate(np.where(reset, here, -1)) if len(x) else here
+    held = int(ticks[-1, -1]) if old else 0
+    fill = np.where(since >= 0, here - since + 1, held + here - (old - 1))
+    fill = np.minimum(fill, WINDOW_SIZE)
+    if old:
+        fill[:old] = ticks[:, -1]
+
+    z = x
+    if scaler:
+        mean, std = (np.array([scaler.get(c, (0.0, 1.0))[k] for c in TICK_FIELDS]) for k in (0, 1))
+        known = np.array([c in scaler for c in TICK_FIELDS])
+        z = np.where(known, np.clip((x - mean) / std, -SCALER_CLIP, SCALER_CLIP), x)
+
+    out = {c: [None] * len(batch) for c in STEP_SCHEMA.names}
+    place = np.cumsum(good) - 1 + old
+    for i in range(len(batch)):
+        c = number[i]
+        out["cycle_id"][i] = ids[c]
+        if start[i]:
+            out["event_kind"][i], out["elapsed_time"][i], out["buffer_fill"][i] = "start", 0, 0
+            out["start_pred"][i] = None if np.isnan(preds[c]) else int(preds[c])
+        elif not good[i]:
+            out["event_kind"][i] = "skipped"
         else:
-            sp, le, cid, buffer, history = None, -1, None, [], []
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        batch = batch.assign(_k=(batch["event_kind"] != "start").astype(int))
-        batch = batch.sort_values(["event_time", "seq", "_k"], kind="stable").drop(columns="_k")
-        out = []
-        for rec in batch.to_dict("records"):
-            rec = {k: (None if isinstance(v, float) and math.isnan(v) else v) for k, v in rec.items()}
-            kind = rec["event_kind"]
-            if kind == "start":
-                pred = rec.get("start_pred_raw")
-                sp = None if pred is None else int(min(max(MIN_T_SIGNAL, pred), 2 ** 31 - 1))
-                le, buffer, history = -1, [], []
-                cid = cycle_id_for(reactor, rec["event_time"])
-                out.append(dict(reactor=reactor, event_kind=kind, event_time=rec["event_time"], seq=rec["seq"],
-                                cycle_id=cid, elapsed_time=0, start_pred=sp, buffer_fill=0, mode=None,
-                                t_signal=None, was_clamped=None, should_continue=None,
-                                **dict.fromkeys(RUN_FEATURES)))
-                continue
-            if rec["elapsed_time"] is None or sp is None:
-                # nothing to decide on: a tick without elapsed time, or a cycle without a prediction
-                out.append({**dict.fromkeys(f.name for f in DECISION_SCHEMA.fields), "reactor": reactor, "event_kind": "skipped",
-                            "event_time": rec["event_time"], "seq": rec["seq"], "cycle_id": cid})
-                continue
-            elapsed = int(rec["elapsed_time"])
-            if elapsed < le:
-                buffer = []
-            le = elapsed
-            row = _features_from_history(rec, history)
-            row["elapsed_time"] = elapsed
-            history = (history + [{"nh4": rec["nh4"], "no3": rec["no3"], "ph": rec["ph"]}])[-6:]
-            buffer = (buffer + [scale(row)])[-WINDOW_SIZE:]
-            base = float(max(0, sp - elapsed))
-            if elapsed < LSTM_WINDOW_THRESHOLD or len(buffer) < WINDOW_SIZE:
-                mode, raw = "xgb_only", base
-            else:
-                step_pred = step_model(buffer, row)
-                mode, raw = "integrated", max(base, 0.0 if step_pred is None else float(step_pred))
-            t = int(min(max(raw, MIN_T_SIGNAL), MAX_T_SIGNAL))
-            out.append(dict(reactor=reactor, event_kind=kind, event_time=rec["event_time"], seq=rec["seq"],
-                            cycle_id=cid, elapsed_time=elapsed, start_pred=sp, buffer_fill=len(buffer), mode=mode,
-                            t_signal=t, was_clamped=not (MIN_T_SIGNAL <= raw <= MAX_T_SIGNAL),
-                            should_continue=t > STOP_THRESHOLD, **{c: row[c] for c in RUN_FEATURES}))
-        state.update((sp, le, cid, json.dumps(buffer), json.dumps(history)))
-        cols = [f.name for f in DECISION_SCHEMA.fields]
-        yield pd.DataFrame(out, columns=cols)
-
-    return process
-
-
-def control_stream(events: DataFrame, step_model: StepModel = standin_step_model,
-                   scaler: dict[str, tuple[float, float]] | None = None,
-                   dedupe_within: str | None = None) -> DataFrame:
-    """ST1: keyed state per reactor, on a streaming DataFrame (the batch twin is
-    ``operators.control.replay``).
+            p = place[i]
+            out["event_kind"][i], out["elapsed_time"][i] = "tick", int(x[p, -1])
+            out["start_pred"][i], out["buffer_fill"][i] = int(preds[c]), int(fill[p])
+            if fill[p] == WINDOW_SIZE:
+                out["window"][i] = z[p - WINDOW_SIZE + 1:p + 1].ravel()
+    values = np.full((len(batch), len(TICK_FIELDS)), np.nan)
+    values[good] = x[old:]
+    for k, c in enumerate(SENSOR_FIELDS):
+        out[c] = values[:, k]
+    out["weekday"] = pd.array(np.where(np.isnan(values[:, len(SENSOR_FIELDS)]), None, values[:, len(SENSOR_FIELDS)]), dtype="Int32")
+    out |= {"reactor": [reactor] * len(batch), "event_time": batch["event_time"], "seq": batch["seq"]}
+    for c in ("elapsed_time", "start_pred", "buffer_fill"):
+        out[c] = pd.array(out[c], dtype="Int32")
+
+    last = number[-1] if len(batch) else 0
+    kept = np.flatnonzero(of == last)[-WINDOW_SIZE:] if len(x) else here
+    new = np.column_stack([x[kept], fill[kept]]) if len(kept) else np.zeros((0, len(TICK_FIELDS) + 1))
+    state = (None if np.isnan(preds[last]) else int(preds[last]), ids[last])
+    return state, new, pd.DataFrame(out, columns=STEP_SCHEMA.names)
+
+
+class ControlProcessor(StatefulProcessor):
+    """ST1 per reactor: typed state in, one row an event out."""
+
+    def __init__(self, scaler: Scaler | None = None):
+        self.scaler = scaler
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.cycle = handle.getValueState("cycle", CYCLE_STATE)
+        self.ticks = handle.getListState("ticks", TICK_STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        cycle = self.cycle.get() if self.cycle.exists() else (None, None)
+        held = [[np.nan if v is None else v for v in t] for t in self.ticks.get()] if self.ticks.exists() else []
+        ticks = np.array(held, dtype=float).reshape(-1, len(TICK_FIELDS) + 1)
+        batch = pd.concat(list(rows), ignore_index=True)      # one key's events of a bounded micro-batch
+        cycle, ticks, out = advance(key[0], tuple(cycle), ticks, batch, self.scaler)
+        self.cycle.update(cycle)
+        if len(ticks):
+            self.ticks.put([tuple(None if v != v else float(v) for v in t[:-1]) + (int(t[-1]),) for t in ticks])
+        elif held:
+            self.ticks.clear()
+        yield out
+
+    def close(self) -> None:
+        pass
+
 
-    The source system appends a repeated tick again (same elapsed); that is the
-    default here. ``dedupe_within`` (a watermark delay such as "30 minutes", on a
-    stream) drops repeated (reactor, kind, event time, elapsed) events first."""
+def use_typed_state(spark: SparkSession) -> None:
+    """Typed state needs the RocksDB state store; set it before a query with state starts."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def standin_step_pred() -> Column:
+    """Stand-in step prediction (same formula as the batch back-test): no prediction without
+    the rolling mean."""
+    return F.lit(3.0) * F.col("nh4_rolling_mean") - F.col("elapsed_time")
+
+
+def control_steps(events: DataFrame, scaler: Scaler | None = None, dedupe_within: str | None = None) -> DataFrame:
+    """ST1's stateful step alone (STEP_SCHEMA); ``window`` is filled once the buffer is full."""
+    use_typed_state(events.sparkSession)
     if dedupe_within:
         events = (events.withWatermark("event_time", dedupe_within)
                   .dropDuplicatesWithinWatermark(["reactor", "event_kind", "event_time", "elapsed_time"]))
-    return events.groupBy("reactor").applyInPandasWithState(
-        make_processor(step_model, scaler), DECISION_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.NoTimeout)
+    steps = events.groupBy("reactor").transformWithStateInPandas(ControlProcessor(scaler), STEP_SCHEMA, "append", "none")
+    return steps.withColumns({c: nan_to_null(c) for c in SENSOR_FIELDS})
+
+
+def control_stream(events: DataFrame, step_pred: Column | Callable[[DataFrame], DataFrame] | None = None,
+                   scaler: Scaler | None = None, dedupe_within: str | None = None) -> DataFrame:
+    """ST1: keyed state per reactor, on a streaming DataFrame (the batch twin is
+    ``operators.control.replay``); then scoring and the control signal as columns.
+
+    ``step_pred`` is the step model: a column on the emitted row, or a function that adds the
+    column ``step_pred`` (score a saved model on ``window``, say). The source system appends
+    a repeated tick again (same elapsed); that is the default here. ``dedupe_within`` (a
+    watermark delay such as "30 minutes", on a stream) drops repeated (reactor, kind, event
+    time, elapsed) events first."""
+    d = control_steps(events, scaler, dedupe_within)
+    d = step_pred(d) if callable(step_pred) else d.withColumn("step_pred", standin_step_pred() if step_pred is None else step_pred)
+    signal = ["mode", "t_signal", "was_clamped", "should_continue"]
+    d = signal_columns(d, "start_pred", "elapsed_time", "buffer_fill", "step_pred")
+    tick = F.col("event_kind") == "tick"
+    return d.withColumns({c: F.when(tick, F.col(c)) for c in signal}).drop("base_remaining", "raw_signal", "step_pred", "window")
 
 
-def validate_stream(events: DataFrame, reactors: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def validate_stream(events: DataFrame, reactors: list[str] | DataFrame | None = None,
+                    required: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """ST2: stateless checks; returns (valid, quarantine). A reactor must be named and, with
-    ``reactors``, be one of them."""
+    ``reactors`` (a list, or a table with a column ``reactor``), be one of them. ``required``
+    features must be there (those with bounds always must)."""
     from ..operators.clean import range_rules, validate_rows
     rules = range_rules(reactor_col=None, elapsed_col=None)
-    known = F.col("reactor").isin(*reactors) if reactors else F.lit(True)
+    known = F.lit(True)
+    if isinstance(reactors, DataFrame):
+        events = events.join(reactors.select("reactor", F.lit(True).alias("_known")).distinct(), "reactor", "left")
+        known = F.coalesce("_known", F.lit(False))
+    elif reactors:
+        known = F.col("reactor").isin(*reactors)
     rules.append(("reactor_unknown", F.col("reactor").isNull() | ~known))
     tick = F.col("event_kind") == "tick"
     e = F.col("elapsed_time")
     rules.append(("elapsed_time_step", tick & (e.isNull() | (F.pmod(e, F.lit(STEP_MINUTES)) != 0))))
-    v = validate_rows(events, rules)
+    rules += [(f"{c}_missing", F.col(c).isNull()) for c in required or []]
+    v = validate_rows(events, rules).drop("_known")
     return v.filter("is_valid"), v.filter("NOT is_valid")
 
 
 def audit_writer(path: str, reactor_col: str = "reactor", partition_by: tuple[str, ...] | None = None):
-    """ST4/IO4: foreachBatch sink appending decisions to a partitioned Parquet
-    table, idempotent on the batch id (a replayed batch is not written twice)."""
+    """ST4/IO4: foreachBatch sink appending decisions and their sensor values to a partitioned
+    Parquet table, idempotent on the batch id (a replayed batch is not written twice)."""
     from ..sources.sinks import append_audit
     parts = partition_by or (reactor_col, "date")
 

@@ -250,29 +250,64 @@ def test_stream_survives_missing_values():
     """ST1/ST5: missing sensors, a tick without elapsed time, a start without a prediction."""
     import pandas as pd
 
-    from cyclekit.streaming.control import SENSOR_FIELDS, make_processor
-
-    class State:
-        exists, value = False, None
-
-        @property
-        def get(self):
-            return self.value
+    import numpy as np
+    import pandas as pd
 
-        def update(self, v):
-            self.exists, self.value = True, v
+    from cyclekit.streaming.control import SENSOR_FIELDS, TICK_FIELDS, advance
 
     def event(i, kind, elapsed, pred, nh4):
         return {**dict.fromkeys(SENSOR_FIELDS), "event_kind": kind, "event_time": T0 + timedelta(minutes=i), "seq": i, "reactor": "A",
                 "elapsed_time": elapsed, "start_pred_raw": pred, "nh4": nh4, "weekday": 0}
 
-    state, run = State(), make_processor()
     first = [event(0, "start", 0, 50.0, 1.0), event(1, "tick", 0, None, None), event(2, "tick", None, None, 2.0), event(3, "tick", 10, None, 3.0)]
     second = [event(4, "tick", 20, None, 4.0), event(5, "start", 0, None, 1.0), event(6, "tick", 0, None, 1.0)]
-    out = [r for part in (first, second) for pdf in run(("A",), iter([pd.DataFrame(part)]), state) for r in pdf.to_dict("records")]
-    assert [r["event_kind"] for r in out] == ["start", "tick", "skipped", "tick", "tick", "start", "skipped"]
-    assert [r["t_signal"] for r in out if r["event_kind"] == "tick"] == [50, 40, 30]
-    assert [r["nh4_diff"] for r in out if r["event_kind"] == "tick"] == [0.0, 0.0, 1.0]
+    cycle, ticks, rows = (None, None), np.zeros((0, len(TICK_FIELDS) + 1)), []
+    for part in (first, second):
+        cycle, ticks, out = advance("A", cycle, ticks, pd.DataFrame(part))
+        rows += out.to_dict("records")
+    assert [r["event_kind"] for r in rows] == ["start", "tick", "skipped", "tick", "tick", "start", "skipped"]
+    assert [(r["start_pred"], r["elapsed_time"], r["buffer_fill"]) for r in rows if r["event_kind"] == "tick"] == [(50, 0, 1), (50, 10, 2), (50, 20, 3)]
+    assert [r["nh4_diff"] for r in rows if r["event_kind"] == "tick"] == [0.0, 0.0, 1.0]
+    assert cycle[0] is None and len(ticks) == 0
+
+
+def test_stream_state_is_split_invariant():
+    """ST1: any cutting of a reactor's events into micro-batches emits the same rows; the state
+    never holds more than a window."""
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    from cyclekit.schema import WINDOW_SIZE
+    from cyclekit.streaming.control import SENSOR_FIELDS, TICK_FIELDS, advance
+
+    r = random.Random(6)
+    events, elapsed = [], 0
+    for i in range(120):
+        kind = "start" if r.random() < 0.04 else "tick"
+        elapsed = 0 if kind == "start" or r.random() < 0.02 else elapsed + 10
+        events.append({**dict.fromkeys(SENSOR_FIELDS), "event_kind": kind, "event_time": T0 + timedelta(minutes=i), "seq": i,
+                       "elapsed_time": None if r.random() < 0.05 else elapsed, "start_pred_raw": r.choice([None, 3.0, 90.5, 120.0]),
+                       "weekday": 1, **{c: None if r.random() < 0.1 else r.random() * 9 for c in ("nh4", "no3", "ph")}})
+
+    def run(cuts):
+        cycle, ticks, out = (None, None), np.zeros((0, len(TICK_FIELDS) + 1)), []
+        for a, b in zip([0, *cuts], [*cuts, len(events)]):
+            if a < b:
+                cycle, ticks, rows = advance("A", cycle, ticks, pd.DataFrame(events[a:b]), {"nh4": (3.0, 2.0)})
+                assert len(ticks) <= WINDOW_SIZE
+                out.append(rows)
+        return pd.concat(out, ignore_index=True)
+
+    whole = run([])
+    assert (whole["window"].notna()).sum() > 5 and set(whole["event_kind"]) == {"start", "tick", "skipped"}
+    for _ in range(20):
+        part = run(sorted(r.sample(range(1, 120), r.randint(1, 30))))
+        for c in whole.columns:
+            for x, y in zip(whole[c], part[c]):
+                same = np.array_equal(x, y, equal_nan=True) if isinstance(x, np.ndarray) and y is not None else (x == y) or (pd.isna(x) and pd.isna(y))
+                assert same, c
 
 
 def test_audit_batch_replaces_itself(spark, tmp_path):
