@@ -408,13 +408,13 @@ _RULE_SQL = [(f"{c}_range", " OR ".join([f"{c} IS NULL", f"{c} < {lo}"] + ([f"{c
                                ("hour_sin", -1.0, 1.0), ("hour_cos", -1.0, 1.0), ("weekday", 0, 6)]]
 _RULE_SQL += [("reactor_unknown", "user_id % 10 = 3"), ("elapsed_time_step", "event_kind = 'tick' AND elapsed_time % 10 <> 0"),
               ("nh4_no3_ratio_missing", "nh4_no3_ratio IS NULL")]
-ONLINE_SQL = with_chain("onp") + f""", ev AS (
+ONLINE_SQL = with_chain("onp") + f""", sent_events AS (
   SELECT 'tick' AS event_kind, event_id AS seq, user_id, ts, CASE WHEN event_id % 101 = 0 THEN elapsed_time + 3 ELSE elapsed_time END AS elapsed_time,
     nh4, no3, ph, temp, current_r, hour_sin, hour_cos, weekday, CASE WHEN event_id % 97 = 0 THEN NULL ELSE nh4_no3_ratio END AS nh4_no3_ratio,
     nh4_rolling_mean, NULL::DOUBLE AS start_pred_raw FROM onp
   UNION ALL SELECT 'start', event_id, user_id, ts, 0, nh4, no3, ph, temp, current_r, hour_sin, hour_cos, weekday,
     CASE WHEN event_id % 97 = 0 THEN NULL ELSE nh4_no3_ratio END, nh4_rolling_mean, {SI.START_PRED_SQL} FROM onp WHERE elapsed_time = 0),
-chk AS (SELECT *, array_to_string(list_filter([{", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _RULE_SQL)}], lambda x: x IS NOT NULL), ',') AS violations FROM ev),
+chk AS (SELECT *, array_to_string(list_filter([{", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _RULE_SQL)}], lambda x: x IS NOT NULL), ',') AS violations FROM sent_events),
 num AS (SELECT *, sum(CASE WHEN event_kind = 'start' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, seq, event_kind ROWS UNBOUNDED PRECEDING) AS c
   FROM chk WHERE violations = ''),
 st AS (SELECT user_id, c, CAST(trunc(greatest(10.0, start_pred_raw)) AS INTEGER) AS start_pred FROM num WHERE event_kind = 'start'),

@@ -306,8 +306,10 @@ def test_stream_state_is_split_invariant():
         part = run(sorted(r.sample(range(1, 120), r.randint(1, 30))))
         for c in whole.columns:
             for x, y in zip(whole[c], part[c]):
-                same = np.array_equal(x, y, equal_nan=True) if isinstance(x, np.ndarray) and y is not None else (x == y) or (pd.isna(x) and pd.isna(y))
-                assert same, c
+                if isinstance(x, np.ndarray) or isinstance(y, np.ndarray):
+                    assert np.array_equal(x, y, equal_nan=True), c
+                else:
+                    assert pd.isna(x) and pd.isna(y) or x == y, c
 
 
 def test_audit_batch_replaces_itself(spark, tmp_path):
