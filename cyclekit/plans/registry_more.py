@@ -252,11 +252,12 @@ def q_step_model(spark, sf):
 _TEST_WINDOWS = f"""SELECT * FROM steps WHERE current_aeration = 1 AND run_pos >= {WINDOW_SIZE - 1} AND ts >= TIMESTAMP '{SPLIT_AT}'"""
 
 
-@register("step_baseline", with_chain("steps") + f"""SELECT count(*) AS n_rows, 0::BIGINT AS n_negative, true AS huber_beats_mean, true AS trees_beat_mean
+@register("step_baseline", with_chain("steps") + f"""SELECT count(*) AS n_rows, 0::BIGINT AS n_negative, true AS huber_beats_mean
   FROM ({_TEST_WINDOWS})""")
 def q_step_baseline(spark, sf):
-    """The robust linear baseline beside the step model, on the test windows: mean absolute errors
-    against that of the training mean, and no negative prediction."""
+    """The robust linear baseline beside the step model, on the test windows: both score every
+    window, neither below zero, and the baseline's mean absolute error is less than that of
+    the training mean."""
     saved, d = _step_model(spark, sf)
     train, test = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
     huber = models.fit_huber(train, "flat", "T_remaining")
@@ -266,7 +267,7 @@ def q_step_baseline(spark, sf):
     return both.join(F.broadcast(mean)).agg(
         F.count(F.when(F.col("h").isNotNull() & F.col("g").isNotNull(), 1)).alias("n_rows"),
         F.count(F.when((F.col("h") < 0) | (F.col("g") < 0), 1)).alias("n_negative"),
-        (err("h") < err("mean")).alias("huber_beats_mean"), (err("g") < err("mean")).alias("trees_beat_mean"))
+        (err("h") < err("mean")).alias("huber_beats_mean"))
 
 
 def model_replay(spark, sf) -> tuple[DataFrame, DataFrame]:

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.scalar import nan_to_null
 from ..operators.control import signal_columns
 from ..schema import MIN_T_SIGNAL, SCALER_CLIP, STEP_MINUTES, WINDOW_SIZE
 
@@ -45,22 +44,25 @@ EVENT_SCHEMA = T.StructType([
 #: One step of the window: the features of the step model, in order.
 TICK_FIELDS = [*SENSOR_FIELDS, "weekday", "elapsed_time"]
 
-#: Typed state: the open cycle, and its last ticks (oldest first) with the buffer's fill.
-CYCLE_STATE = T.StructType([T.StructField("start_pred", T.IntegerType()), T.StructField("cycle_id", T.StringType())])
-TICK_STATE = T.StructType([*[T.StructField(c, T.DoubleType()) for c in TICK_FIELDS], T.StructField("fill", T.IntegerType())])
+#: Typed state: the open cycle and its last ticks (oldest first; columns TICK_FIELDS and the
+#: buffer's fill).
+CYCLE_STATE = T.StructType([
+    T.StructField("start_pred", T.IntegerType()),
+    T.StructField("cycle_id", T.StringType()),
+    T.StructField("ticks", T.ArrayType(T.ArrayType(T.DoubleType()))),
+])
 
-#: What the stateful step emits: one row an event, kind 'start', 'tick' or 'skipped'.
-STEP_SCHEMA = T.StructType([
+#: What the stateful step emits: one row an event, kind 'start', 'tick' or 'skipped'; ``x`` are
+#: the tick's values in the order of TICK_FIELDS. Numbers that may be missing are doubles (NaN).
+PACKED_SCHEMA = T.StructType([
     T.StructField("reactor", T.StringType()),
     T.StructField("event_kind", T.StringType()),
     T.StructField("event_time", T.TimestampNTZType()),
     T.StructField("seq", T.LongType()),
     T.StructField("cycle_id", T.StringType()),
-    T.StructField("elapsed_time", T.IntegerType()),
-    T.StructField("start_pred", T.IntegerType()),
-    T.StructField("buffer_fill", T.IntegerType()),
-    *[T.StructField(c, T.DoubleType()) for c in SENSOR_FIELDS],
-    T.StructField("weekday", T.IntegerType()),
+    T.StructField("start_pred", T.DoubleType()),
+    T.StructField("buffer_fill", T.DoubleType()),
+    T.StructField("x", T.ArrayType(T.DoubleType())),
     T.StructField("window", T.ArrayType(T.DoubleType())),
 ])
 
@@ -98,76 +100,63 @@ def run_features_so_far(x: np.ndarray, first: np.ndarray, step: int = STEP_MINUT
     return x
 
 
-def advance(reactor: str, cycle: tuple[int | None, str | None], ticks: np.ndarray, batch: pd.DataFrame,
-            scaler: Scaler | None = None) -> tuple[tuple, np.ndarray, pd.DataFrame]:
-    """State and the events of one reactor -> new state and one output row an event.
+def packed_events(events: DataFrame) -> DataFrame:
+    """Events with their values in one array ``x`` (order of TICK_FIELDS, NaN missing)."""
+    nan = F.lit(float("nan"))
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), nan) for c in TICK_FIELDS])
+    return events.select("reactor", "event_kind", "event_time", "seq", "start_pred_raw", x.alias("x"))
+
 
-    ``ticks``: the open cycle's last ticks, columns TICK_FIELDS and the fill. A start event
-    opens a cycle (without a prediction its ticks are skipped, as are ticks without elapsed
-    time and ticks before any start). The buffer restarts where elapsed falls."""
-    batch = batch.assign(_k=(batch["event_kind"] != "start").astype(int))
-    batch = batch.sort_values(["event_time", "seq", "_k"], kind="stable").reset_index(drop=True)
+def advance(reactor: str, state: tuple | None, batch: pd.DataFrame, scaler: Scaler | None = None) -> tuple[tuple, pd.DataFrame]:
+    """State (CYCLE_STATE, or None) and the packed events of one reactor -> new state and one
+    output row an event (PACKED_SCHEMA).
+
+    A start event opens a cycle (without a prediction its ticks are skipped, as are ticks
+    without elapsed time and ticks before any start). The buffer restarts where elapsed
+    falls."""
+    open_pred, open_id, held = state if state is not None else (None, None, None)
     start = (batch["event_kind"] == "start").to_numpy()
-    raw = batch[TICK_FIELDS].to_numpy(dtype=float, na_value=np.nan)
+    time, seq = batch["event_time"].to_numpy(), batch["seq"].to_numpy()
+    order = np.lexsort((~start, seq, time))
+    start, time, seq = start[order], time[order], seq[order]
+    raw = np.array(batch["x"].tolist(), dtype=float).reshape(-1, len(TICK_FIELDS))[order]
     number = np.cumsum(start)                                # 0: the cycle that is open already
-    pred = batch["start_pred_raw"].to_numpy(dtype=float, na_value=np.nan)[start]
-    pred = np.trunc(np.clip(pred, MIN_T_SIGNAL, 2 ** 31 - 1))
-    preds = np.concatenate([[np.nan if cycle[0] is None else cycle[0]], pred])
-    ids = [cycle[1], *(cycle_id_for(reactor, t) for t in batch["event_time"][start])]
+    pred = batch["start_pred_raw"].to_numpy(dtype=float, na_value=np.nan)[order][start]
+    preds = np.concatenate([[np.nan if open_pred is None else open_pred], np.trunc(np.clip(pred, MIN_T_SIGNAL, 2 ** 31 - 1))])
+    ids = [open_id, *(cycle_id_for(reactor, pd.Timestamp(t)) for t in time[start])]
 
-    elapsed = raw[:, -1]
-    good = ~start & ~np.isnan(elapsed) & ~np.isnan(preds[number])
+    good = ~start & ~np.isnan(raw[:, -1]) & ~np.isnan(preds[number])
+    ticks = np.array([] if held is None else [list(t) for t in held], dtype=float).reshape(-1, len(TICK_FIELDS) + 1)
     old = len(ticks)
     of = np.concatenate([np.zeros(old, int), number[good]])  # cycle of each tick, old ones first
-    x = np.concatenate([ticks[:, :-1], raw[good]]) if old else raw[good]
     first = np.searchsorted(of, of, side="left")
+    x = run_features_so_far(np.concatenate([ticks[:, :-1], raw[good]]), first)
     here = np.arange(len(x))
-    x = run_features_so_far(x, first)
-    falls = np.concatenate([[False], x[1:, -1] < x[:-1, -1]]) if len(x) else np.zeros(0, bool)
+    falls = np.concatenate([[False], x[1:, -1] < x[:-1, -1]])[:len(x)]
     reset = (here >= old) & ((here == first) | falls)
     since = np.maximum.accumulate(np.where(reset, here, -1)) if len(x) else here
-    held = int(ticks[-1, -1]) if old else 0
-    fill = np.where(since >= 0, here - since + 1, held + here - (old - 1))
+    fill = np.where(since >= 0, here - since + 1, (ticks[-1, -1] if old else 0) + here - (old - 1))
     fill = np.minimum(fill, WINDOW_SIZE)
-    if old:
-        fill[:old] = ticks[:, -1]
+    fill[:old] = ticks[:, -1]
 
     z = x
     if scaler:
         mean, std = (np.array([scaler.get(c, (0.0, 1.0))[k] for c in TICK_FIELDS]) for k in (0, 1))
         known = np.array([c in scaler for c in TICK_FIELDS])
         z = np.where(known, np.clip((x - mean) / std, -SCALER_CLIP, SCALER_CLIP), x)
-
-    out = {c: [None] * len(batch) for c in STEP_SCHEMA.names}
+    values, fills = np.full(raw.shape, np.nan), np.where(start, 0.0, np.nan)
+    values[good], fills[good] = x[old:], fill[old:]
+    values[start, -1] = 0.0
     place = np.cumsum(good) - 1 + old
-    for i in range(len(batch)):
-        c = number[i]
-        out["cycle_id"][i] = ids[c]
-        if start[i]:
-            out["event_kind"][i], out["elapsed_time"][i], out["buffer_fill"][i] = "start", 0, 0
-            out["start_pred"][i] = None if np.isnan(preds[c]) else int(preds[c])
-        elif not good[i]:
-            out["event_kind"][i] = "skipped"
-        else:
-            p = place[i]
-            out["event_kind"][i], out["elapsed_time"][i] = "tick", int(x[p, -1])
-            out["start_pred"][i], out["buffer_fill"][i] = int(preds[c]), int(fill[p])
-            if fill[p] == WINDOW_SIZE:
-                out["window"][i] = z[p - WINDOW_SIZE + 1:p + 1].ravel()
-    values = np.full((len(batch), len(TICK_FIELDS)), np.nan)
-    values[good] = x[old:]
-    for k, c in enumerate(SENSOR_FIELDS):
-        out[c] = values[:, k]
-    out["weekday"] = pd.array(np.where(np.isnan(values[:, len(SENSOR_FIELDS)]), None, values[:, len(SENSOR_FIELDS)]), dtype="Int32")
-    out |= {"reactor": [reactor] * len(batch), "event_time": batch["event_time"], "seq": batch["seq"]}
-    for c in ("elapsed_time", "start_pred", "buffer_fill"):
-        out[c] = pd.array(out[c], dtype="Int32")
+    out = pd.DataFrame({
+        "reactor": reactor, "event_kind": np.where(start, "start", np.where(good, "tick", "skipped")), "event_time": time, "seq": seq,
+        "cycle_id": [ids[c] for c in number], "start_pred": np.where(start | good, preds[number], np.nan), "buffer_fill": fills, "x": list(values),
+        "window": [z[p - WINDOW_SIZE + 1:p + 1].ravel() if f == WINDOW_SIZE else None for p, f in zip(place.tolist(), fills.tolist())]})
 
     last = number[-1] if len(batch) else 0
-    kept = np.flatnonzero(of == last)[-WINDOW_SIZE:] if len(x) else here
-    new = np.column_stack([x[kept], fill[kept]]) if len(kept) else np.zeros((0, len(TICK_FIELDS) + 1))
-    state = (None if np.isnan(preds[last]) else int(preds[last]), ids[last])
-    return state, new, pd.DataFrame(out, columns=STEP_SCHEMA.names)
+    kept = np.flatnonzero(of == last)[-WINDOW_SIZE:]
+    rest = np.column_stack([x[kept], fill[kept]]).tolist()
+    return (None if np.isnan(preds[last]) else int(preds[last]), ids[last], rest), out
 
 
 class ControlProcessor(StatefulProcessor):
@@ -178,19 +167,12 @@ class ControlProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.cycle = handle.getValueState("cycle", CYCLE_STATE)
-        self.ticks = handle.getListState("ticks", TICK_STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        cycle = self.cycle.get() if self.cycle.exists() else (None, None)
-        held = [[np.nan if v is None else v for v in t] for t in self.ticks.get()] if self.ticks.exists() else []
-        ticks = np.array(held, dtype=float).reshape(-1, len(TICK_FIELDS) + 1)
-        batch = pd.concat(list(rows), ignore_index=True)      # one key's events of a bounded micro-batch
-        cycle, ticks, out = advance(key[0], tuple(cycle), ticks, batch, self.scaler)
-        self.cycle.update(cycle)
-        if len(ticks):
-            self.ticks.put([tuple(None if v != v else float(v) for v in t[:-1]) + (int(t[-1]),) for t in ticks])
-        elif held:
-            self.ticks.clear()
+        batch = list(rows)                                    # one key's events of a bounded micro-batch
+        batch = batch[0] if len(batch) == 1 else pd.concat(batch, ignore_index=True)
+        state, out = advance(key[0], self.cycle.get(), batch, self.scaler)
+        self.cycle.update(state)
         yield out
 
     def close(self) -> None:
@@ -210,13 +192,18 @@ def standin_step_pred() -> Column:
 
 
 def control_steps(events: DataFrame, scaler: Scaler | None = None, dedupe_within: str | None = None) -> DataFrame:
-    """ST1's stateful step alone (STEP_SCHEMA); ``window`` is filled once the buffer is full."""
+    """ST1's stateful step alone: kind, cycle id, start prediction, elapsed time, buffer fill, all
+    sensor values with the run features filled in, and ``window`` once the buffer is full."""
     use_typed_state(events.sparkSession)
     if dedupe_within:
-        events = (events.withWatermark("event_time", dedupe_within)
+        events = (events.withColumn("_at", F.col("event_time").cast("timestamp")).withWatermark("_at", dedupe_within)
                   .dropDuplicatesWithinWatermark(["reactor", "event_kind", "event_time", "elapsed_time"]))
-    steps = events.groupBy("reactor").transformWithStateInPandas(ControlProcessor(scaler), STEP_SCHEMA, "append", "none")
-    return steps.withColumns({c: nan_to_null(c) for c in SENSOR_FIELDS})
+    steps = packed_events(events).groupBy("reactor").transformWithStateInPandas(ControlProcessor(scaler), PACKED_SCHEMA, "append", "none")
+    value = {c: F.nanvl(F.get("x", F.lit(i)), F.lit(None)) for i, c in enumerate(TICK_FIELDS)}
+    whole = {"weekday", "elapsed_time"}
+    return steps.select("reactor", "event_kind", "event_time", "seq", "cycle_id", value["elapsed_time"].cast("int").alias("elapsed_time"),
+                        *[F.nanvl(c, F.lit(None)).cast("int").alias(c) for c in ("start_pred", "buffer_fill")],
+                        *[v.alias(c) for c, v in value.items() if c not in whole], value["weekday"].cast("int").alias("weekday"), "window")
 
 
 def control_stream(events: DataFrame, step_pred: Column | Callable[[DataFrame], DataFrame] | None = None,

@@ -246,13 +246,18 @@ def test_missing_prediction_is_no_signal(spark):
     assert (counts.n_replayed, counts.n_skipped) == (2, 2)
 
 
-def test_stream_survives_missing_values():
-    """ST1/ST5: missing sensors, a tick without elapsed time, a start without a prediction."""
+def packed(events):
+    """Events as the stateful step gets them."""
     import pandas as pd
 
-    import numpy as np
-    import pandas as pd
+    from cyclekit.streaming.control import TICK_FIELDS
+    x = [[float("nan") if e.get(c) is None else float(e[c]) for c in TICK_FIELDS] for e in events]
+    return pd.DataFrame([{**{c: e.get(c) for c in ("reactor", "event_kind", "event_time", "seq")}, "x": v,
+                          "start_pred_raw": float("nan") if e["start_pred_raw"] is None else e["start_pred_raw"]} for e, v in zip(events, x)])
 
+
+def test_stream_survives_missing_values():
+    """ST1/ST5: missing sensors, a tick without elapsed time, a start without a prediction."""
     from cyclekit.streaming.control import SENSOR_FIELDS, TICK_FIELDS, advance
 
     def event(i, kind, elapsed, pred, nh4):
@@ -261,14 +266,14 @@ def test_stream_survives_missing_values():
 
     first = [event(0, "start", 0, 50.0, 1.0), event(1, "tick", 0, None, None), event(2, "tick", None, None, 2.0), event(3, "tick", 10, None, 3.0)]
     second = [event(4, "tick", 20, None, 4.0), event(5, "start", 0, None, 1.0), event(6, "tick", 0, None, 1.0)]
-    cycle, ticks, rows = (None, None), np.zeros((0, len(TICK_FIELDS) + 1)), []
+    state, rows = None, []
     for part in (first, second):
-        cycle, ticks, out = advance("A", cycle, ticks, pd.DataFrame(part))
+        state, out = advance("A", state, packed(part))
         rows += out.to_dict("records")
     assert [r["event_kind"] for r in rows] == ["start", "tick", "skipped", "tick", "tick", "start", "skipped"]
-    assert [(r["start_pred"], r["elapsed_time"], r["buffer_fill"]) for r in rows if r["event_kind"] == "tick"] == [(50, 0, 1), (50, 10, 2), (50, 20, 3)]
-    assert [r["nh4_diff"] for r in rows if r["event_kind"] == "tick"] == [0.0, 0.0, 1.0]
-    assert cycle[0] is None and len(ticks) == 0
+    assert [(r["start_pred"], r["x"][-1], r["buffer_fill"]) for r in rows if r["event_kind"] == "tick"] == [(50, 0, 1), (50, 10, 2), (50, 20, 3)]
+    assert [r["x"][TICK_FIELDS.index("nh4_diff")] for r in rows if r["event_kind"] == "tick"] == [0.0, 0.0, 1.0]
+    assert state[0] is None and state[2] == []
 
 
 def test_stream_state_is_split_invariant():
@@ -280,7 +285,7 @@ def test_stream_state_is_split_invariant():
     import pandas as pd
 
     from cyclekit.schema import WINDOW_SIZE
-    from cyclekit.streaming.control import SENSOR_FIELDS, TICK_FIELDS, advance
+    from cyclekit.streaming.control import SENSOR_FIELDS, advance
 
     r = random.Random(6)
     events, elapsed = [], 0
@@ -292,11 +297,11 @@ def test_stream_state_is_split_invariant():
                        "weekday": 1, **{c: None if r.random() < 0.1 else r.random() * 9 for c in ("nh4", "no3", "ph")}})
 
     def run(cuts):
-        cycle, ticks, out = (None, None), np.zeros((0, len(TICK_FIELDS) + 1)), []
+        state, out = None, []
         for a, b in zip([0, *cuts], [*cuts, len(events)]):
             if a < b:
-                cycle, ticks, rows = advance("A", cycle, ticks, pd.DataFrame(events[a:b]), {"nh4": (3.0, 2.0)})
-                assert len(ticks) <= WINDOW_SIZE
+                state, rows = advance("A", state, packed(events[a:b]), {"nh4": (3.0, 2.0)})
+                assert len(state[2]) <= WINDOW_SIZE
                 out.append(rows)
         return pd.concat(out, ignore_index=True)
 
