@@ -142,6 +142,57 @@ def test_decontamination_finds_planted_items(spark):
     assert all(r.similarity == 1.0 and r.start_word == 40 for r in exact.values())
 
 
+def test_decontamination_equals_all_stretches(spark):
+    """Edited copies of items of 8 to 700 words: every pair whose best stretch reaches the threshold, by
+    comparing all stretches of all texts, is found at that stretch; repeated documents alike."""
+    import random
+    r = random.Random(9)
+    items = [(i, sentence(3000 + i, r.choice([8, 12, 30, 60, 120, 300, 400, 700]))) for i in range(24)]
+    docs = []
+    for i, text in items:
+        for _ in range(3):
+            w = text.split()
+            for _ in range(r.randint(0, max(1, len(w) // 40))):
+                at = r.randrange(len(w))
+                w[at:at + r.choice([0, 1, 1, 2])] = [f"new{r.randrange(999)}"] * r.choice([0, 1, 1, 2])
+            docs.append((len(docs), " ".join([sentence(len(docs), r.choice([0, 25])), *w, sentence(500 + len(docs), r.choice([0, 25]))])))
+    docs.append(docs[0])
+    index = decontaminate.Index([i for i, _ in items], [t for _, t in items])
+    want = {}
+    for d, text in docs:
+        h = X.word_hashes(X.words(pa.array([text]), lower=True))
+        for i, words_ in enumerate(index.words):
+            bag, many = (x.tolist() for x in index.bags[i])
+            have, n = dict(zip(bag, many)), len(words_)
+            for p in range(-n // 4, len(h)):
+                s, e = max(p, 0), min(p + n, len(h))
+                if e - s < 0.75 * n or i != d // 3:
+                    continue
+                c = collections.Counter(next(X.text_shingles(h[s:e], np.array([0, e - s]))).tolist())
+                weight = dict(zip(index.known.tolist(), index.weight.tolist()))
+                both = sum(weight.get(g, 1.0) * min(c[g], have.get(g, 0)) for g in c)
+                whole = sum(weight.get(g, 1.0) * max(c.get(g, 0), have.get(g, 0)) for g in {*c, *have})
+                if both / whole >= 0.8 - 1e-9 and (d, i) not in want or (d, i) in want and both / whole > want[d, i][0] + 1e-12:
+                    want[d, i] = (both / whole, s, e - s)
+    got = decontaminate.contaminated(spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, item_id int, start_word string"),
+                                     spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(got) == len(want) + 1 > 40                                     # one document stands twice
+    for g in got:
+        score, s, n = want[g.doc_id, g.item_id]
+        assert abs(g.similarity - score) < 1e-9 and (g.start_word, g.n_words) == (s, n)
+
+
+def test_wide_counters_equal_plain_counts():
+    h = X.mix(np.arange(1, 2000, dtype=np.uint64))
+    c = decontaminate.Counters(h)
+    for size in (3, 220, 256, 257, 1000):
+        for at in (0, 7, len(h) - size):
+            votes = [(int(v) >> b) & 1 for v in h[at:at + size] for b in range(64)]
+            bits = np.array(votes).reshape(size, 64).sum(axis=0) > size // 2
+            assert int(c.fingerprints(size)[at]) == sum(1 << b for b in range(64) if bits[b])
+    assert decontaminate.window_size(276) == 220 and decontaminate.window_size(10_000) > 6_000
+
+
 def test_multi_index_finds_all_fingerprints_within_the_radius():
     rng = np.random.default_rng(2)
     index = decontaminate.Index([0], [sentence(5, 50)], radius=7)
