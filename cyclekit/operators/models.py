@@ -5,6 +5,7 @@ trees: the cycle-start model on start rows, the step model on flattened
 7-row windows. Scoring, importance and audits stay DataFrame jobs."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -163,12 +164,13 @@ def permutation_importance(model: PipelineModel, sample: DataFrame, features: li
     return out.withColumn("quality_in_top5", F.coalesce(quality_in_top5, F.lit(0)) == 1)
 
 
-def monotone_audit(model: PipelineModel, sample: DataFrame, features: list[str], audit_cols: list[str],
-                   key_cols: list[str], grid_points: int = 10) -> DataFrame:
+def monotone_audit(model: PipelineModel | Callable[[DataFrame, list[str]], DataFrame], sample: DataFrame, features: list[str],
+                   audit_cols: list[str], key_cols: list[str], grid_points: int = 10) -> DataFrame:
     """ML6: Spark trees take no monotone constraint, so audit it: for each sampled
     row and audited feature, sweep the feature over a quantile grid (exploded, no
     join), score, and count steps where the prediction falls. Per-(row, feature)
-    windows hold ``grid_points`` rows."""
+    windows hold ``grid_points`` rows. Instead of a model a function may be given that adds
+    ``pred`` to rows with the given keys."""
     probs = [i / (grid_points - 1) for i in range(grid_points)]
     grids = sample.agg(*[F.percentile_approx(c, probs, 1000).alias(f"_g_{c}") for c in audit_cols])
     d = sample.crossJoin(F.broadcast(grids))  # one row of grid values
@@ -180,7 +182,7 @@ def monotone_audit(model: PipelineModel, sample: DataFrame, features: list[str],
     allg = parts[0]
     for p in parts[1:]:
         allg = allg.unionByName(p)
-    s = score(model, allg)
+    s = model(allg, [*key_cols, "_feature", "_gi"]) if callable(model) else score(model, allg)
     w = Window.partitionBy(*key_cols, "_feature").orderBy("_gi")
     s = s.withColumn("_drop", (F.col("pred") < F.lag("pred").over(w) - F.lit(1e-9)).cast("int"))
     return (s.groupBy(F.col("_feature").alias("feature"))

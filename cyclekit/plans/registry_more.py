@@ -7,14 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import models
+from ..operators import explain, models, sketches
 from ..operators.artefacts import ModelStore, missing_features
 from ..operators.series import POS, materialize
 from ..schema import (AUDIT_SCHEMA, CYCLE_SPEC, LSTM_FEATURES, MAX_T_SIGNAL, MIN_T_SIGNAL, QUALITY_SCHEMA, STEP_SPEC, WINDOW_SIZE,
                       XGB_FEATURES, FeatureSpec)
 from ..session import ensure_checkpoint_dir
 from ..sources.readers import read_sensor_csv
-from ..sources.sinks import append_audit, upsert_metrics, write_features
+from ..sources.sinks import MetricStore, append_audit, metric_rows, upsert_metrics, write_features
 from ..streaming import control as ST
 from ..streaming.online import ChainPaths, append_slice, chain_tables, run_chain
 from . import standin as SI
@@ -249,6 +249,54 @@ def q_step_model(spark, sf):
     return s.select("user_id", "event_id", "T_remaining", r6("pred"))
 
 
+@register("contribution_importance", f"""SELECT unnest({START_FEATS}) AS feature""")
+def q_contribution_importance(spark, sf):
+    """Mean absolute contributions, stored (IO5) and read back; every feature has a row."""
+    parts, _ = _contributions(spark, sf)
+    path = scratch_path(spark, "contributions")
+    write_features(explain.contribution_importance(parts, START_FEATS), path)
+    return spark.read.parquet(path).filter(F.col("importance") >= 0).select("feature")
+
+
+def _contributions(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(contributions, raw predictions) of the test starts under the saved start model."""
+    model, d = _start_model(spark, sf)
+    test = d.filter(F.col("split") == "test")
+    nodes = explain.tree_nodes(model, scratch_path(spark, "trees"))
+    parts = materialize(explain.contributions(test, nodes, START_FEATS, ["user_id", "event_id"], ML_PARAMS.max_depth))
+    return parts, model.transform(test).select("user_id", "event_id", "prediction")
+
+
+@register("contribution_sums", with_chain("steps") + f"SELECT count(*) AS n_rows, 0::BIGINT AS n_off FROM ({_TEST_STARTS})")
+def q_contribution_sums(spark, sf):
+    """Base and contributions sum to the prediction on every row."""
+    parts, raw = _contributions(spark, sf)
+    total = F.col("base")
+    for f in START_FEATS:
+        total = total + F.col(f"c_{f}")
+    both = parts.join(raw, ["user_id", "event_id"])
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.abs(total - F.col("prediction")) > 1e-6, 1)).alias("n_off"))
+
+
+@register("monotone_start_model", with_chain("steps") + f"""SELECT 'nh4' AS feature, 10 * count(*) AS n_points, 0::BIGINT AS n_decreasing, 0::BIGINT AS n_lowered
+  FROM ({_TEST_STARTS})""")
+def q_monotone_start_model(spark, sf):
+    """The start model corrected over nh4: the audit counts no fall, and no prediction is lowered."""
+    model, d = _start_model(spark, sf)
+    test = d.filter(F.col("split") == "test")
+    nodes = explain.tree_nodes(model, scratch_path(spark, "trees"))
+    nodes = materialize(nodes)
+
+    def corrected(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return explain.monotone_score(model, nodes, rows, START_FEATS, "nh4", keys)
+
+    audit = models.monotone_audit(corrected, test, START_FEATS, ["nh4"], ["user_id", "event_id"])
+    keys = ["user_id", "event_id"]
+    both = corrected(test, keys).select(*keys, "pred").join(models.score(model, test, "plain").select(*keys, "plain"), keys)
+    lowered = both.agg(F.count(F.when(F.col("pred") < F.col("plain") - 1e-9, 1)).alias("n_lowered"))
+    return audit.join(F.broadcast(lowered)).select("feature", "n_points", "n_decreasing", "n_lowered")      # one row each
+
+
 _TEST_WINDOWS = f"""SELECT * FROM steps WHERE current_aeration = 1 AND run_pos >= {WINDOW_SIZE - 1} AND ts >= TIMESTAMP '{SPLIT_AT}'"""
 
 
@@ -567,3 +615,68 @@ def q_cycle_table(spark, sf):
     from .build import cycle_table
     st = steps(spark, sf).withColumn("name", F.when(F.col("user_id") % 2 == 0, VALID_REACTORS[0]).otherwise(VALID_REACTORS[1]))
     return cycle_table(st, "name").select("ts", *_step_select(STEP_COLS), F.col("reactor").cast("int").alias("reactor"))
+
+
+# ================================================================ metrics store and sketches (IO6, A10, A15)
+_KPI_NAMES = ["n_cycles", "n_stopped", "no_stop_rate", "avg_time_saved", "unsafe_early_stop_rate", "avg_overrun", "nh4_risk_rate"]
+_STAGE_CASE = "CASE WHEN elapsed_time <= 30 THEN '0~30' WHEN elapsed_time <= 90 THEN '31~90' ELSE '91+' END"
+
+
+def _store_sql() -> str:
+    kpis = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _KPI_NAMES)
+    return with_chain("outc") + f""", k AS (SELECT user_id % 2 AS site, count(*) AS n_cycles, count(stop_elapsed) AS n_stopped,
+    avg(CASE WHEN stop_elapsed IS NULL THEN 1.0 ELSE 0.0 END) AS no_stop_rate, coalesce(avg(CAST(actual_runtime - stop_elapsed AS DOUBLE)), 0.0) AS avg_time_saved,
+    coalesce(avg(CASE WHEN stop_elapsed IS NOT NULL THEN CASE WHEN actual_runtime - stop_elapsed > 20 THEN 1.0 ELSE 0.0 END END), 0.0) AS unsafe_early_stop_rate,
+    coalesce(avg(CASE WHEN stop_elapsed IS NOT NULL THEN greatest(0.0, CAST(stop_elapsed - actual_runtime AS DOUBLE)) END), 0.0) AS avg_overrun,
+    coalesce(avg(CASE WHEN stop_elapsed IS NOT NULL THEN CASE WHEN stop_nh4 > 5.0 THEN 1.0 ELSE 0.0 END END), 0.0) AS nh4_risk_rate FROM outc GROUP BY 1),
+  s AS (SELECT user_id % 2 AS site, {_STAGE_CASE} AS stage, avg(abs(CAST(t_signal - T_remaining AS DOUBLE))) AS mae,
+    sqrt(avg(CAST(t_signal - T_remaining AS DOUBLE) ** 2)) AS rmse, CAST(count(*) AS DOUBLE) AS n FROM replayed GROUP BY 1, 2)
+SELECT 'stop_kpis/site=' || site AS section, metric, round(value, 6) AS value, TIMESTAMP '2024-02-01 00:00:00' AS updated_at
+  FROM (UNPIVOT (SELECT site, {kpis} FROM k) ON {', '.join(_KPI_NAMES)} INTO NAME metric VALUE value)
+UNION ALL SELECT 'stage_metrics/site=' || site || '/stage=' || stage, metric, round(value, 6), TIMESTAMP '2024-02-01 00:00:00'
+  FROM (UNPIVOT s ON mae, rmse, n INTO NAME metric VALUE value)
+UNION ALL SELECT 'model', 'n_features', {float(len(START_FEATS))}, TIMESTAMP '2024-01-01 00:00:00'"""
+
+
+@register("metrics_store", _store_sql())
+def q_metrics_store(spark, sf):
+    """KPIs and stage metrics of both sites through the versioned store: an early version with a
+    model metric and stale values, then the values of the back-test over it."""
+    from ..operators import control, metrics
+    rep = materialize(replayed(spark, sf).withColumn("site", F.col("user_id") % 2))
+    kpis = metrics.stop_kpis(control.cycle_outcomes(rep, ["user_id", "site"], "cycle_no"), group=["site"])
+    stages = metrics.stage_metrics(rep, "t_signal", "T_remaining", "elapsed_time", ["site"])
+    store = MetricStore(spark, scratch_path(spark, "metrics"))
+    now = metric_rows(kpis, "stop_kpis", "2024-02-01 00:00:00", _KPI_NAMES, ["site"]).unionByName(
+        metric_rows(stages, "stage_metrics", "2024-02-01 00:00:00", ["mae", "rmse", "n"], ["site", "stage"]))
+    now = materialize(now)
+    stale = now.withColumn("value", F.lit(-1.0)).withColumn("updated_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    model = spark.range(1).select(F.lit(float(len(START_FEATS))).alias("n_features"))
+    store.upsert(stale.unionByName(metric_rows(model, "model", "2024-01-01 00:00:00")))
+    store.upsert(now)
+    return store.read().select("section", "metric", r6("value"), F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
+_QS = [0.25, 0.5, 0.75, 0.95]
+
+
+@register("sketch_quantiles", "SELECT user_id % 2 AS site, CAST(count(value) AS BIGINT) AS n, true AS within FROM events "
+          f"WHERE ts >= TIMESTAMP '{MONTH_FROM[1]}' GROUP BY 1")
+def q_sketch_quantiles(spark, sf):
+    """Sketches per site and day, stored, merged over a range of days: the exact ranks of the quantiles
+    they give are within the sketch's error."""
+    e = table(spark, sf, "events").select((F.col("user_id") % 2).alias("site"), "ts", "value")
+    path = scratch_path(spark, "sketches")
+    sketches.quantile_sketches(e, ["site", F.to_date("ts").alias("day")], "value").write.parquet(path)
+    since = F.lit(MONTH_FROM[1])
+    got = sketches.merged_quantiles(spark.read.parquet(path).filter(F.col("day") >= since.cast("date")), _QS, ["site"])
+    got = materialize(got)                                                   # one row a site
+    rows = e.filter(F.col("ts") >= since.cast("timestamp_ntz")).join(got.select("site", "quantiles"), "site")
+    ranks = rows.groupBy("site").agg(*[x for i in range(len(_QS)) for x in (
+        F.avg((F.col("value") < F.get("quantiles", F.lit(i))).cast("double")).alias(f"below{i}"),
+        F.avg((F.col("value") <= F.get("quantiles", F.lit(i))).cast("double")).alias(f"upto{i}"))])
+    err = 2 * sketches.RANK_ERROR
+    within = F.lit(True)
+    for i, q in enumerate(_QS):
+        within = within & (F.col(f"below{i}") <= q + err) & (F.col(f"upto{i}") >= q - err)
+    return got.join(ranks, "site").select("site", "n", within.alias("within"))

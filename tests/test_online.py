@@ -191,3 +191,58 @@ def test_missing_month_file_is_an_error(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "1"))
     with pytest.raises(FileNotFoundError):
         read_months(spark, {1: str(tmp_path / "1"), 2: str(tmp_path / "2")})
+
+
+def test_contributions_and_monotone_scores_equal_brute_force(spark, tmp_path):
+    from cyclekit.operators import explain
+    import random
+    r = random.Random(4)
+    rows = [(i, r.random() * 9, r.random() * 3, r.random()) for i in range(300)]
+    rows = [(*x, 5 * x[1] - 2 * x[2] + (30 if x[1] < 2 else 0) + r.random()) for x in rows]
+    train = spark.createDataFrame(rows, "id long, a double, b double, c double, y double")
+    feats = ["a", "b", "c"]
+    model = models.fit_model(train, feats, "y", models.GBTParams(max_iter=8, max_depth=3))
+    nodes = explain.tree_nodes(model, str(tmp_path / "trees"))
+    parts = {x.id: x for x in explain.contributions(train, nodes, feats, ["id"], 3).collect()}
+    raw = {x.id: x.prediction for x in model.transform(train).select("id", "prediction").collect()}
+    assert len(parts) == len(rows)
+    for i, p in parts.items():
+        assert abs(p.base + p.c_a + p.c_b + p.c_c - raw[i]) < 1e-8
+    ranked = explain.contribution_importance(spark.createDataFrame(list(parts.values())), feats).orderBy("rank").collect()
+    assert ranked[0].feature == "a" and [x["rank"] for x in ranked] == [1, 2, 3]
+
+    some = train.filter("id < 40")
+    got = {x.id: x.pred for x in explain.monotone_score(model, nodes, some, feats, "a", ["id"]).collect()}
+    grid = [x / 20 for x in range(0, 181)]                      # finer than the split points that matter
+    sweep = some.select("id", "b", "c", F.explode(F.array(*[F.lit(g) for g in grid])).alias("a"), F.col("a").alias("own"))
+    want = {x.id: x.m for x in models.score(model, sweep.filter("a <= own")).groupBy("id").agg(F.max("pred").alias("m")).collect()}
+    plain = {x.id: x.pred for x in models.score(model, some).collect()}
+    for i, v in got.items():
+        assert v >= plain[i] - 1e-9 and v >= want.get(i, 0.0) - 1e-9
+    audit = models.monotone_audit(lambda d, k: explain.monotone_score(model, nodes, d, feats, "a", k), some, feats, ["a"], ["id"]).first()
+    before = models.monotone_audit(model, some, feats, ["a"], ["id"]).first()
+    assert audit.n_decreasing == 0 < before.n_decreasing and audit.n_points == before.n_points == 400
+
+
+def test_metric_store_survives_a_failed_write(spark, tmp_path, monkeypatch):
+    from cyclekit.schema import METRICS_SCHEMA
+    from cyclekit.sources import sinks
+    store = sinks.MetricStore(spark, str(tmp_path / "metrics"))
+    assert store.version() == 0 and store.read().count() == 0
+    kpi = spark.createDataFrame([(0, 1.0, 2.0), (1, 3.0, None)], "site int, mae double, n double")
+    assert store.upsert(sinks.metric_rows(kpi, "kpi", "2024-01-01 00:00:00", by=["site"])) == 1
+    assert store.read().schema.names == METRICS_SCHEMA.names
+    newer = sinks.metric_rows(kpi.filter("site = 0"), "kpi", "2024-01-02 00:00:00", ["mae"], ["site"]).withColumn("value", F.lit(9.0))
+
+    def cut(*a, **k):
+        raise OSError("disk full")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_at", lambda place, at=store._at: cut() if place.endswith(".json") else at(place))
+        with pytest.raises(OSError):
+            store.upsert(newer)                                  # the table is written, the version is not
+    assert store.version() == 1 and {r.value for r in store.read().collect()} == {1.0, 2.0, 3.0, None}
+    assert store.upsert(newer) == 2
+    got = {(r.section, r.metric): r.value for r in store.read().collect()}
+    assert got == {("kpi/site=0", "mae"): 9.0, ("kpi/site=0", "n"): 2.0, ("kpi/site=1", "mae"): 3.0, ("kpi/site=1", "n"): None}
+    assert store.read(1).filter("value = 9").count() == 0
