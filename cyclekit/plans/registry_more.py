@@ -249,13 +249,13 @@ def q_step_model(spark, sf):
     return s.select("user_id", "event_id", "T_remaining", r6("pred"))
 
 
-@register("contribution_importance", f"""SELECT unnest({START_FEATS}) AS feature""")
+@register("contribution_importance")
 def q_contribution_importance(spark, sf):
-    """Mean absolute contributions, stored (IO5) and read back; every feature has a row."""
+    """Mean absolute contributions, stored (IO5) and read back; ``contribution_sums`` checks the parts."""
     parts, _ = _contributions(spark, sf)
     path = scratch_path(spark, "contributions")
     write_features(explain.contribution_importance(parts, START_FEATS), path)
-    return spark.read.parquet(path).filter(F.col("importance") >= 0).select("feature")
+    return spark.read.parquet(path)
 
 
 def _contributions(spark, sf) -> tuple[DataFrame, DataFrame]:

@@ -43,7 +43,7 @@ def test_entry(spark):
 
 def test_every_query_has_oracle_or_is_listed():
     assert set(QUERIES) - set(ORACLE) <= {"cycle_model_scores", "feature_importance", "permutation_importance",
-                                          "monotone_audit", "step_model_scores", "model_backtest"}
+                                          "monotone_audit", "step_model_scores", "model_backtest", "contribution_importance"}
 
 
 @pytest.mark.parametrize("name", FAST)
