@@ -91,6 +91,17 @@ def interpolate_linear(df: DataFrame, spec: SeriesSpec, cols: list[str]) -> Data
     return interp_finish(block_scan(df, spec, lasts=lasts, nexts=nexts), cols)
 
 
+def rename_to_contract(df: DataFrame, fields: dict[str, str], whole: tuple[str, ...] = ("weekday", "elapsed_time", "reactor")) -> DataFrame:
+    """The fields of a request under the names of a feature contract (``fields``: field -> feature,
+    in contract order), coerced to numbers: ``whole`` features to integers, the others to
+    doubles. What is no number becomes null; an absent field is an error. Other columns go."""
+    missing = [c for c in fields if c not in df.columns]
+    if missing:
+        raise KeyError(f"fields missing: {missing}")
+    kinds = {f: "bigint" if f in whole else "double" for f in fields.values()}
+    return df.select(*[F.expr(f"try_cast(`{c}` AS {kinds[f]})").alias(f) for c, f in fields.items()])
+
+
 def impute_ramp(df: DataFrame, ts: str, config: dict[str, tuple[float, float]], month: int,
                 span_days: int) -> DataFrame:
     """On rows of ``month``, overwrite each column with a linear day ramp."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import threshold_flag_col
 from ..schema import STEP_MINUTES
-from .series import POS, SeriesSpec, block_scan, ensure_position, segment_runs
+from .series import POS, SeriesSpec, block_scan, ensure_position, key_totals, segment_runs
 
 
 def add_flag(df: DataFrame, value_col: str, threshold: float, out: str = "current_aeration") -> DataFrame:
@@ -76,6 +76,17 @@ def start_counter_id(df: DataFrame, spec: SeriesSpec, elapsed: str = "elapsed_ti
     return block_scan(df, spec, sums={out: (F.col(elapsed) == 0).cast("long")})
 
 
+def split_cycle_id(df: DataFrame, spec: SeriesSpec, split: str, first: str, cycle: str = "cycle_no") -> DataFrame:
+    """W11's ids of two splits that never collide: adds ``split_no``, the running count of cycle starts
+    within (key, split), for the composite id (key, split, split_no). ``cycle`` is the running count
+    over the whole key, ``first`` the value of ``split`` that comes first; rows of the other split
+    before its first start have 0 and belong to no cycle of it."""
+    own = F.when(F.col(split) == F.lit(first), F.col(cycle))
+    d = key_totals(df, spec, {"_before": ("max", own)})
+    base = F.when(F.col(split) == F.lit(first), F.lit(0)).otherwise(F.coalesce("_before", F.lit(0)))
+    return d.withColumn("split_no", F.col(cycle) - base).drop("_before")
+
+
 def cycle_first_row(df: DataFrame, keys: list[str], cycle: str, order: list[str]) -> DataFrame:
     """First row of every cycle as a grouped aggregate (partial aggregation)
     — no window over a possibly huge cycle."""
@@ -99,4 +110,4 @@ def longest_cycle(cycles: DataFrame, keys: list[str], n_col: str, start_col: str
 
 
 __all__ = ["add_flag", "cycle_finish", "cycle_columns", "active_rows", "cycle_starts", "split_by_time", "split_label",
-           "cycle_summary", "start_counter_id", "cycle_first_row", "longest_cycle", "POS"]
+           "cycle_summary", "start_counter_id", "split_cycle_id", "cycle_first_row", "longest_cycle", "POS"]

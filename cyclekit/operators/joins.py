@@ -37,3 +37,34 @@ def compare_sites(results: DataFrame, on: list[str], site_col: str, sites: list,
     site is null. ``<value>_<tag><site>`` for each site."""
     return results.groupBy(*on).agg(*[F.max(F.when(F.col(site_col) == s, F.col(c))).alias(f"{c}_{tag}{s}")
                                       for c in value_cols for s in sites])
+
+
+def site_report(replayed: DataFrame, outcomes: DataFrame, site_col: str, sites: list, tag: str = "site") -> DataFrame:
+    """J4 in full: every error, safety, stop and target row of a cross-site comparison, the sites side by
+    side: ``section, metric, value_<tag><site> ...``. Pass flags are 1 or 0. A stage that a site
+    lacks is null there.
+
+    ``replayed``: back-test rows with the site; ``outcomes``: one row per cycle with the site."""
+    from . import metrics as M
+    by = [site_col]
+    signal, truth, elapsed = "t_signal", "T_remaining", "elapsed_time"
+    late = M.late_stage_metrics(replayed, signal, truth, elapsed, by)
+    target = M.target_check(late.select(site_col, F.col("late_mae").alias("mae"), F.col("late_rmse").alias("rmse")), "late_stage")
+    parts = [
+        ("errors", M.error_metrics(replayed, signal, truth, by)),
+        ("errors", M.underprediction_rate(replayed, signal, truth, group=by)),
+        ("late", late),
+        ("target", target.select(site_col, F.col("mae_pass").cast("double").alias("mae_pass"), F.col("rmse_pass").cast("double").alias("rmse_pass"))),
+        ("stop", M.stop_kpis(outcomes, group=by)),
+    ]
+    rows = None
+    for section, wide in parts:
+        names = [c for c in wide.columns if c != site_col]
+        flat = wide.select(site_col, *[F.col(c).cast("double").alias(c) for c in names]).unpivot(site_col, names, "metric", "value")
+        flat = flat.select(F.lit(section).alias("section"), "metric", site_col, "value")
+        rows = flat if rows is None else rows.unionByName(flat)
+    stages = M.stage_metrics(replayed, signal, truth, elapsed, by)
+    names = ["mae", "rmse", "n"]
+    flat = stages.select(site_col, "stage", *[F.col(c).cast("double").alias(c) for c in names]).unpivot([site_col, "stage"], names, "metric", "value")
+    rows = rows.unionByName(flat.select(F.concat(F.lit("stage "), "stage").alias("section"), "metric", site_col, "value"))
+    return compare_sites(rows, ["section", "metric"], site_col, sites, ["value"], tag)

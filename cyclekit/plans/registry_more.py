@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import explain, models, sketches
 from ..operators.artefacts import ModelStore, missing_features
 from ..operators.series import POS, materialize
-from ..schema import (AUDIT_SCHEMA, CYCLE_SPEC, LSTM_FEATURES, MAX_T_SIGNAL, MIN_T_SIGNAL, QUALITY_SCHEMA, STEP_SPEC, WINDOW_SIZE,
+from ..schema import (AUDIT_SCHEMA, CYCLE_SPEC, LSTM_FEATURES, MAX_T_SIGNAL, MIN_T_SIGNAL, QUALITY_SCHEMA, STEP_FIELDS, STEP_SPEC, WINDOW_SIZE,
                       XGB_FEATURES, FeatureSpec)
 from ..session import ensure_checkpoint_dir
 from ..sources.readers import read_sensor_csv
@@ -680,3 +680,81 @@ def q_sketch_quantiles(spark, sf):
     for i, q in enumerate(_QS):
         within = within & (F.col(f"below{i}") <= q + err) & (F.col(f"upto{i}") >= q - err)
     return got.join(ranks, "site").select("site", "n", within.alias("within"))
+
+
+# ================================================================ whole comparisons and branches
+def _report_sql() -> str:
+    d = "CAST(t_signal - T_remaining AS DOUBLE)"
+    parts = [
+        ("'errors'", f"avg(abs({d})) AS mae, sqrt(avg({d} * {d})) AS rmse, CAST(count(*) AS DOUBLE) AS n, "
+                     "avg(CASE WHEN t_signal < T_remaining - 20 THEN 1.0 ELSE 0.0 END) AS underprediction_rate", "replayed", "GROUP BY 1"),
+        ("'late'", ", ".join(f"avg(abs({d})) FILTER (WHERE elapsed_time >= {lo}) AS {n}_mae, sqrt(avg({d} * {d}) FILTER (WHERE elapsed_time >= {lo})) AS {n}_rmse, "
+                             f"CAST(count(*) FILTER (WHERE elapsed_time >= {lo}) AS DOUBLE) AS {n}_n" for n, lo in (("late", 91), ("integrated", 60))), "replayed", "GROUP BY 1"),
+        ("'target'", f"CASE WHEN avg(abs({d})) FILTER (WHERE elapsed_time >= 91) < 30 THEN 1.0 ELSE 0.0 END AS mae_pass, "
+                     f"CASE WHEN sqrt(avg({d} * {d}) FILTER (WHERE elapsed_time >= 91)) < 45 THEN 1.0 ELSE 0.0 END AS rmse_pass", "replayed", "GROUP BY 1"),
+        ("'stop'", """CAST(count(*) AS DOUBLE) AS n_cycles, CAST(count(stop_elapsed) AS DOUBLE) AS n_stopped,
+    avg(CASE WHEN stop_elapsed IS NULL THEN 1.0 ELSE 0.0 END) AS no_stop_rate, coalesce(avg(CAST(actual_runtime - stop_elapsed AS DOUBLE)), 0.0) AS avg_time_saved,
+    coalesce(avg(CASE WHEN stop_elapsed IS NOT NULL THEN CASE WHEN actual_runtime - stop_elapsed > 20 THEN 1.0 ELSE 0.0 END END), 0.0) AS unsafe_early_stop_rate,
+    coalesce(avg(CASE WHEN stop_elapsed IS NOT NULL THEN greatest(0.0, CAST(stop_elapsed - actual_runtime AS DOUBLE)) END), 0.0) AS avg_overrun,
+    coalesce(avg(CASE WHEN stop_elapsed IS NOT NULL THEN CASE WHEN stop_nh4 > 5.0 THEN 1.0 ELSE 0.0 END END), 0.0) AS nh4_risk_rate""", "outc", "GROUP BY 1"),
+        (f"'stage ' || {_STAGE_CASE}", f"avg(abs({d})) AS mae, sqrt(avg({d} * {d})) AS rmse, CAST(count(*) AS DOUBLE) AS n", "replayed", "GROUP BY 1, 2"),
+    ]
+    long = " UNION ALL ".join(f"SELECT section, metric, site, value FROM (UNPIVOT (SELECT user_id % 2 AS site, {section} AS section, {cols} FROM {source} GROUP BY 1, 2) "
+                              f"ON COLUMNS(* EXCLUDE (site, section)) INTO NAME metric VALUE value)" for section, cols, source, _ in parts)
+    return with_chain("outc") + f""", long AS ({long})
+SELECT section, metric, round(max(value) FILTER (WHERE site = 0), 6) AS value_site0, round(max(value) FILTER (WHERE site = 1), 6) AS value_site1
+  FROM long GROUP BY section, metric"""
+
+
+@register("site_report", _report_sql())
+def q_site_report(spark, sf):
+    from ..operators import control, joins
+    rep = materialize(replayed(spark, sf).withColumn("site", F.col("user_id") % 2))         # read by every part
+    out = control.cycle_outcomes(rep, ["user_id", "site"], "cycle_no")
+    return joins.site_report(rep, out, "site", [0, 1]).select("section", "metric", r6("value_site0"), r6("value_site1"))
+
+
+@register("despike_strict", with_chain("sent") + f""", spk15 AS (SELECT *, quantile_cont(no3, 0.5) OVER w5 AS med, coalesce(stddev_samp(no3) OVER w5, 1.0) AS sd
+  FROM sent WINDOW w5 AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+SELECT user_id, event_id, round(CASE WHEN abs(no3 - med) > 1.5 * sd THEN NULL ELSE no3 END, 6) AS no3 FROM spk15""")
+def q_despike_strict(spark, sf):
+    """W9's deviation branch: at k = 1.5 it removes values (at 5 a window of five rows never can)."""
+    from ..operators import clean
+    from ..operators.series import with_position
+    d = clean.null_sentinel(with_position(SI.aligned(spark, sf), SI.SPEC), ["nh4", "ph"])
+    return clean.despike(d, SI.SPEC, "no3", k=1.5, abs_threshold=None).select("user_id", "event_id", r6("no3"))
+
+
+@register("cycle_starts_raw", with_chain("steps") + """SELECT s.user_id, s.event_id, s.cycle_runtime FROM steps s JOIN clean c ON c.user_id = s.user_id AND c.pos = s.pos
+  WHERE s.current_aeration = 1 AND s.elapsed_time = 0 AND c.nh4 IS NOT NULL AND c.no3 IS NOT NULL AND c.ph IS NOT NULL""")
+def q_cycle_starts_raw(spark, sf):
+    """P10 without interpolation: starts with a missing measurement are dropped."""
+    from ..operators import cycles
+    from .build import build_dataset
+    d = build_dataset(SI.aligned(spark, sf), SI.SPEC, threshold=SI.ON_THRESHOLD, interp_cols=[])
+    return cycles.cycle_starts(cycles.active_rows(d), ["nh4", "no3", "ph", "temp"], "cycle_runtime").select("user_id", "event_id", "cycle_runtime")
+
+
+@register("split_cycle_id", with_chain("cno") + f""", sp AS (SELECT *, CASE WHEN ts < TIMESTAMP '{SPLIT_AT}' THEN 'train' ELSE 'test' END AS split FROM cno)
+SELECT user_id, event_id, split, CAST(sum(CASE WHEN elapsed_time = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, split ORDER BY opos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS split_no FROM sp""")
+def q_split_cycle_id(spark, sf):
+    from ..operators import cycles
+    from .registry import _cno
+    d = cycles.split_label(_cno(spark, sf), "ts", SPLIT_AT)
+    d = cycles.split_cycle_id(d, SI.SPEC, "split", "train")
+    return d.filter(F.col("current_aeration") == 1).select("user_id", "event_id", "split", "split_no")
+
+
+_FIELD_SQL = ", ".join(f'CAST({c} AS {"BIGINT" if f in ("weekday", "elapsed_time") else "DOUBLE"}) AS "{f}"' if c in ("weekday", "elapsed_time")
+                       else f'round(CAST({c} AS DOUBLE), 6) AS "{f}"' for c, f in STEP_FIELDS.items())
+
+
+@register("contract_fields", with_chain("steps") + f"SELECT event_id, {_FIELD_SQL} FROM steps WHERE current_aeration = 1")
+def q_contract_fields(spark, sf):
+    """The step model's 16 features from request fields that come as text."""
+    from ..operators import clean
+    d = steps(spark, sf).filter(F.col("current_aeration") == 1)
+    fields = {"event_id": "event_id", **STEP_FIELDS}
+    text = d.select(*[F.col(c).cast("string").alias(c) for c in fields], F.lit("x").alias("request_id"))
+    out = clean.rename_to_contract(text, fields, ("event_id", "weekday", "elapsed_time"))
+    return out.select("event_id", *[F.col(f"`{f}`") if f in ("weekday", "elapsed_time") else F.round(F.col(f"`{f}`"), 6).alias(f) for f in STEP_FIELDS.values()])

@@ -79,6 +79,10 @@ TARGETS = {  # metric -> (mae_target, rmse_target)
     "start_model": (60.0, 75.0),
 }
 
+# Request field -> feature of the two models' contracts (P15); only the current has another name.
+START_FIELDS = {("current_r" if f == "상전류(R)" else f): f for f in XGB_FEATURES}
+STEP_FIELDS = {("current_r" if f == "상전류(R)" else f): f for f in LSTM_FEATURES}
+
 # API input bounds: column -> (low, high); None means open on that side.
 INPUT_BOUNDS = {
     "nh4": (0.0, 100.0),
