@@ -76,6 +76,13 @@ def start_counter_id(df: DataFrame, spec: SeriesSpec, elapsed: str = "elapsed_ti
     return block_scan(df, spec, sums={out: (F.col(elapsed) == 0).cast("long")})
 
 
+def run_cycle_no(df: DataFrame, flag: str = "current_aeration", run_col: str = "run_id", out: str = "cycle_no") -> DataFrame:
+    """W11 for a built step table, without a scan: on- and off-runs alternate, so an on-run's number
+    gives its place among the on-runs. Off-rows have none. Not for runs that a time gap may
+    end (``segment_runs(max_gap_seconds=...)``): use ``start_counter_id`` there."""
+    return df.withColumn(out, F.when(F.col(flag) == 1, F.expr(f"(`{run_col}` + 1) div 2")))
+
+
 def split_cycle_id(df: DataFrame, spec: SeriesSpec, split: str, first: str, cycle: str = "cycle_no") -> DataFrame:
     """W11's ids of two splits that never collide: adds ``split_no``, the running count of cycle starts
     within (key, split), for the composite id (key, split, split_no). ``cycle`` is the running count
@@ -110,4 +117,4 @@ def longest_cycle(cycles: DataFrame, keys: list[str], n_col: str, start_col: str
 
 
 __all__ = ["add_flag", "cycle_finish", "cycle_columns", "active_rows", "cycle_starts", "split_by_time", "split_label",
-           "cycle_summary", "start_counter_id", "split_cycle_id", "cycle_first_row", "longest_cycle", "POS"]
+           "cycle_summary", "start_counter_id", "run_cycle_no", "split_cycle_id", "cycle_first_row", "longest_cycle", "POS"]

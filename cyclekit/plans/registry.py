@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import clean, control, cycles, features, joins, metrics
-from ..operators.series import POS, with_position
+from ..operators.series import POS, materialize, with_position
 from ..schema import (CURRENT_REACTORS, INPUT_BOUNDS, LSTM_FEATURES, QUALITY_REACTORS,
                       REACTOR_NAME_MAP, SEPT_IMPUTE, VALID_REACTORS)
 from . import standin as SI
@@ -74,7 +74,9 @@ def starts_of(st: DataFrame) -> DataFrame:
 
 
 def replayed(spark: SparkSession, sf: str) -> DataFrame:
-    st = steps(spark, sf)
+    """The back-test. Its carry reads the step table twice, so that is staged: building it a
+    second time would cost another pass over the source and all its shuffles."""
+    st = materialize(steps(spark, sf))
     return control.replay(st, None, SPEC, SI.start_pred_expr(), SI.step_pred_expr())
 
 
@@ -169,6 +171,11 @@ def _cno(spark, sf):
     return d.withColumn("cycle_no", F.when(on, F.col("cycle_no"))).drop("_e0")
 
 
+def run_cycles(spark, sf):
+    """As ``_cno``, from the build's own run numbers instead of another carry."""
+    return cycles.run_cycle_no(steps(spark, sf))
+
+
 # ================================================================ build pieces
 STEP_COLS = ["user_id", "event_id", "nh4", "no3", "ph", "temp", "current_r", "current_aeration", "run_id",
              "cycle_runtime", "elapsed_time", "T_remaining", "nh4_diff", "no3_diff", "ph_diff",
@@ -449,7 +456,7 @@ def q_start_floor(spark, sf):
   FROM buf b JOIN sdd2 s ON b.user_id = s.user_id AND b.ts = s.ts WHERE b.elapsed_time = 0""")
 def q_match(spark, sf):
     """Start records given as a table that lacks some starts and repeats others."""
-    st = steps(spark, sf)
+    st = materialize(steps(spark, sf))
     own = starts_of(st).select("user_id", "ts", "event_id", "cycle_runtime", "start_pred_raw")
     again = own.filter("event_id % 5 BETWEEN 1 AND 2").withColumns({"event_id": F.col("event_id") + 1_000_000_000,
                                                         "start_pred_raw": F.col("start_pred_raw") + 7})
@@ -469,7 +476,7 @@ def q_first_stop(spark, sf):
   elapsed_time + t_signal AS predicted_end_time, start_pred AS xgb_prediction, mode, was_clamped FROM replayed
   WHERE cycle_no = (SELECT max(cycle_no) FROM replayed r2 WHERE r2.user_id = replayed.user_id)""")
 def q_history(spark, sf):
-    d = control.current_history(replayed(spark, sf), SPEC, "cycle_no")
+    d = control.current_history(materialize(replayed(spark, sf)), SPEC, "cycle_no")      # read for the rows and the latest cycle
     return d.select("user_id", "cycle_no", "elapsed_time", "t_signal", "predicted_end_time",
                     F.col("start_pred").alias("xgb_prediction"), "mode", "was_clamped")
 
@@ -702,7 +709,7 @@ def q_top(spark, sf):
   FROM cno WINDOW w7 AS (PARTITION BY user_id, cycle_no ORDER BY opos ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
   WHERE len = 7""")
 def q_sliding(spark, sf):
-    d = features.sliding_sequences(_cno(spark, sf), SPEC, ["nh4", "elapsed_time"], 7, "cycle_no")
+    d = features.sliding_sequences(run_cycles(spark, sf), SPEC, ["nh4", "elapsed_time"], 7, "cycle_no")
     d = d.filter(F.col("current_aeration") == 1)
     seq = F.array_join(F.transform("window", lambda s: F.floor(s["nh4"] * 100 + 0.5).cast("long").cast("string")), ",")
     return d.select("user_id", "event_id", "elapsed_time", "T_remaining", seq.alias("seq"))

@@ -166,8 +166,8 @@ def _window_frame(spark, sf, scaler: dict | None) -> tuple[DataFrame, dict]:
     """Flattened scaled windows (``flat``) of every on-row that has one; the scaler is fitted on
     the training rows unless given."""
     from ..operators.features import apply_scaler, fit_scaler, sliding_sequences, window_matrix
-    from .registry import _cno
-    full = materialize(_cno(spark, sf))
+    from .registry import run_cycles
+    full = materialize(run_cycles(spark, sf))
     on = full.filter(F.col("current_aeration") == 1)
     params = scaler or fit_scaler(on.filter(F.col("ts") < F.lit(SPLIT_AT).cast("timestamp_ntz")), STEP_FEATS)
     z = [f"{c}_z" for c in STEP_FEATS]
