@@ -19,7 +19,10 @@ REDACTED = "[SECRET]"
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules.kept_rows(docs)
+    row = free_name(docs, "_row")
+    rows = numbered(docs, row)
+    gone = stage(quality_rules.judged(rows, row).where("not kept").select(row), "gone")
+    return rows.join(gone, row, "left_anti").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
