@@ -11,9 +11,9 @@
    that a single page has counts 1. The importance of a node is its presentation's and
    its children's, weighed by GAMMA to the number of sequences, computed level by level
    from the leaves by grouped sums.
-3. Declared nodes have a fixed importance: 0 where tag, role, class or id say menu, header,
-   footer, sidebar, notice, advert, form, script or comment, or where nearly all text
-   outside the article is links; 1 for ``article`` and ``main`` and the flow elements in
+3. Declared nodes have a fixed importance: 0 where tag, role, class, id or opening words say
+   menu, header, footer, sidebar, notice, advert, form, script or comment, or where nearly all
+   text outside the article is links; 1 for ``article`` and ``main`` and the flow elements in
    them. A node goes with its branch when no node of the branch is important.
 
 Nodes on fewer than MIN_PAGES pages of a host, and pages without a host, have nothing to
@@ -50,7 +50,11 @@ NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos promotion banner cookie cookies consent gdpr "
     "notice notices notification alert popup modal overlay newsletter subscribe subscription signup login register sidebar aside rail menu menus nav navbar "
     "navigation breadcrumb breadcrumbs masthead topbar footer copyright comment comments commentlist reply replies respond disqus discussion share sharing "
-    "social related recommended recommendations trending pager pagination widget widgets toolbar skip hidden".split())
+    "social related recommended recommendations trending pager pagination widget widgets toolbar skip hidden announcement announcements search "
+    "searchform searchbox adsbygoogle adbox adslot skyscraper commentsection commentbox commentform colophon bottombar".split())
+#: Opening words of a box that say what it is.
+OPENINGS = re.compile(r"(?:\d+ )?(?:reader |user )?(?:comments?|responses|replies|kommentare?|commentaires?|comentarios?)(?: ?\(\d+\))?:?|"
+                      r"advertisement|sponsored|anzeige|werbung|publicité|publicidad", re.I)
 HEADER_WORDS = frozenset(("header", "head", "banner"))
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -192,13 +196,24 @@ def parse(page: str) -> Element:
         main = b.now.main or tag in MAIN_TAGS or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
         noise = hidden or attrs.get("role", "") in NOISE_ROLES or tag in NOISE_TAGS and not (tag == "header" and b.now.main)
         if tag not in ("html", "body") and tag not in MAIN_TAGS:
-            noise = noise or bool(names) and _says_noise(names, b.now.main)
+            noise = noise or bool(names) and _says_noise(names, b.now.main or tag[0] == "h" and tag[1:].isdigit())
         sign = " ".join([tag, *sorted(_DIGITS.sub("#", names.lower()).split())])
         b.push(Element(tag, sign, b.now, noise, main, bool(names)))
     b.say(page[place:])
     return b.root
 
 
+def _opening(e: Element) -> str:
+    """The first text block of a branch, if it comes within three steps down."""
+    for _ in range(4):
+        if not e.kids:
+            return ""
+        e = e.kids[0]
+        if isinstance(e, list):
+            return " ".join("".join(e).split())
+    return ""
+
+
 def _is_box(e: Element) -> bool:
     return e.tag not in FLOW
 
@@ -239,7 +254,9 @@ def page_nodes(page: str) -> tuple[list[tuple], list[tuple]]:
             return False
         if e.tag in ("form", "fieldset") and 2 * e.chars > root.chars:       # the page is within a form
             return False
-        return e.noise or not e.main and e.linked >= 3 and e.links >= 0.8 * e.chars
+        if e.noise or not e.main and e.linked >= 3 and e.links >= 0.8 * e.chars:
+            return True
+        return _is_box(e) and e.tag not in MAIN_TAGS and e.tag not in ("html", "body") and bool(OPENINGS.fullmatch(_opening(e)))
 
     nodes, blocks = {}, []
     todo = [(root, _hash("#page"), 0, 0, False, ())]

@@ -30,6 +30,13 @@ def test_blocks_of_awkward_markup():
     assert blocks_of("<table><tr><td>1<td>2<tr><td>3</table>") == ["1", "2", "3"]
 
 
+def test_boxes_that_say_what_they_are():
+    page = """<body><div id="header">Site</div><ul class="main-nav"><li>x</ul><div class="content with-sidebar"><h1 class="page-header">Title</h1><p>Text.</p>
+    <div class="ad-slot">buy</div><section><h3>12 Comments</h3><div><p>first!</p></div></section><div><p>Werbung</p><p>kauf</p></div>
+    <p>Comments on the law are rare.</p></div><div class="widget-area">w</div><div role="contentinfo">c</div><p hidden>h<p style="display: none">d"""
+    assert blocks_of(page) == ["Title", "Text.", "Comments on the law are rare."]
+
+
 def site(i, body, menu="Home|About us|Contact"):
     links = "".join(f"<span>{m}</span> " for m in menu.split("|"))
     return f"<html><body><div>{links}</div><div><h2>Title {i} {sentence(i, 3)}</h2>{body}</div><div>Subscribe now! {i} readers</div></body></html>"
