@@ -49,7 +49,8 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
         return stage(df.withColumn(name, F.monotonically_increasing_id()), "rows")
     files = sorted(r[0] for r in at.select("_f").distinct().collect())
     place = df.sparkSession.createDataFrame([(f, i << 40) for i, f in enumerate(files)], "_f string, _base long")
-    return at.join(F.broadcast(place), "_f").select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_base") + F.col("_i")).alias(name))
+    small = len(files) <= 100_000            # names of more files are not sent to every task
+    return at.join(F.broadcast(place) if small else place, "_f").select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_base") + F.col("_i")).alias(name))
 
 
 def free_name(df: DataFrame, name: str) -> str:
