@@ -38,14 +38,26 @@ def delete_stage(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def _reads_files(df: DataFrame) -> bool:
+    """Whether the frame is files read as they are, at most with rows or columns left out."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter"):
+        plan = plan.child()
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a number of its own for each row in column ``name``. Rows of Parquet files
     are numbered by file and place in the file, so nothing is written and every reader
-    sees the same number; rows of any other frame are written once. The driver holds the
-    names of the files."""
-    try:
-        at = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
-    except AnalysisException:
+    sees the same number; rows of any other frame (a join, say, which repeats places) are
+    written once. The driver holds the names of the files."""
+    at = None
+    if _reads_files(df):
+        try:
+            at = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
+        except AnalysisException:                # a format whose rows have no place
+            pass
+    if at is None:
         return stage(df.withColumn(name, F.monotonically_increasing_id()), "rows")
     files = sorted(r[0] for r in at.select("_f").distinct().collect())
     place = df.sparkSession.createDataFrame([(f, i << 40) for i, f in enumerate(files)], "_f string, _base long")
