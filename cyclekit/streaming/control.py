@@ -1,8 +1,8 @@
 """Structured Streaming: live control signal (ST1-ST5, IO4).
 
 Events: one stream with ``event_kind`` 'start' or 'tick', keyed by ``reactor``. The stateful
-step (``ControlProcessor``) holds typed state per reactor, bounded whatever the history: the
-open cycle (start prediction, id) and its last ``WINDOW_SIZE`` ticks. It emits what only
+step (``ControlProcessor``) runs on lanes of reactors and holds typed state per reactor, bounded
+whatever the history: the open cycle (start prediction, id) and its last ``WINDOW_SIZE`` ticks. It emits what only
 state can give: the start prediction, the buffer's fill, the features of the run so far and
 the window of scaled rows. Scoring and the control signal are columns after it, the same
 ``signal_columns`` as in the batch back-test, so a Spark ML step model scores the stream.
@@ -44,13 +44,19 @@ EVENT_SCHEMA = T.StructType([
 #: One step of the window: the features of the step model, in order.
 TICK_FIELDS = [*SENSOR_FIELDS, "weekday", "elapsed_time"]
 
-#: Typed state: the open cycle and its last ticks (oldest first; columns TICK_FIELDS and the
-#: buffer's fill).
+#: Typed state of a reactor: the open cycle and its last ticks (oldest first; columns TICK_FIELDS and
+#: the buffer's fill, as doubles row after row: a list of lists costs more than the step itself).
 CYCLE_STATE = T.StructType([
     T.StructField("start_pred", T.IntegerType()),
     T.StructField("cycle_id", T.StringType()),
-    T.StructField("ticks", T.ArrayType(T.ArrayType(T.DoubleType()))),
+    T.StructField("ticks", T.BinaryType()),
 ])
+REACTOR_KEY = T.StructType([T.StructField("reactor", T.StringType())])
+
+#: Lanes that reactors are dealt to by hash. The stateful step runs once a lane and micro-batch, over
+#: all of the lane's reactors at once: a call a reactor costs some ten milliseconds of Python and
+#: socket time for a few rows.
+LANES = 512
 
 #: What the stateful step emits: one row an event, kind 'start', 'tick' or 'skipped'; ``x`` are
 #: the tick's values in the order of TICK_FIELDS. Numbers that may be missing are doubles (NaN).
@@ -101,78 +107,113 @@ def run_features_so_far(x: np.ndarray, first: np.ndarray, step: int = STEP_MINUT
 
 
 def packed_events(events: DataFrame) -> DataFrame:
-    """Events with their values in one array ``x`` (order of TICK_FIELDS, NaN missing)."""
+    """Events with their lane and their values in one array ``x`` (order of TICK_FIELDS, NaN missing)."""
     nan = F.lit(float("nan"))
     x = F.array(*[F.coalesce(F.col(c).cast("double"), nan) for c in TICK_FIELDS])
-    return events.select("reactor", "event_kind", "event_time", "seq", "start_pred_raw", x.alias("x"))
+    lane = F.pmod(F.xxhash64("reactor"), F.lit(LANES)).cast("int").alias("lane")
+    return events.select(lane, "reactor", "event_kind", "event_time", "seq", "start_pred_raw", x.alias("x"))
 
 
-def advance(reactor: str, state: tuple | None, batch: pd.DataFrame, scaler: Scaler | None = None) -> tuple[tuple, pd.DataFrame]:
-    """State (CYCLE_STATE, or None) and the packed events of one reactor -> new state and one
+def advance_all(states: dict, batch: pd.DataFrame, scaler: Scaler | None = None) -> tuple[dict, pd.DataFrame]:
+    """States by reactor (start prediction, cycle id, ticks as a matrix; None or missing: no state) and
+    the packed events of any number of reactors -> the new states of those reactors and one
     output row an event (PACKED_SCHEMA).
 
     A start event opens a cycle (without a prediction its ticks are skipped, as are ticks
     without elapsed time and ticks before any start). The buffer restarts where elapsed
     falls."""
-    open_pred, open_id, held = state if state is not None else (None, None, None)
+    who, names = pd.factorize(batch["reactor"], use_na_sentinel=False)
+    names = [None if pd.isna(n) else n for n in names]
     start = (batch["event_kind"] == "start").to_numpy()
     time, seq = batch["event_time"].to_numpy(), batch["seq"].to_numpy()
-    order = np.lexsort((~start, seq, time))
-    start, time, seq = start[order], time[order], seq[order]
+    order = np.lexsort((~start, seq, time, who))
+    who, start, time, seq = who[order], start[order], time[order], seq[order]
     raw = np.array(batch["x"].tolist(), dtype=float).reshape(-1, len(TICK_FIELDS))[order]
-    number = np.cumsum(start)                                # 0: the cycle that is open already
+    # cycles of all reactors, each reactor's open one first: ``number`` of every event
+    starts = np.bincount(who[start], minlength=len(names))
+    opened = np.cumsum(starts + 1) - (starts + 1)
+    number = np.cumsum(start) + who
+    old_states = [states.get(n) or (None, None, None) for n in names]
+    preds, ids = np.full(len(names) + int(start.sum()), np.nan), [None] * (len(names) + int(start.sum()))
+    preds[opened] = [np.nan if s[0] is None else s[0] for s in old_states]
     pred = batch["start_pred_raw"].to_numpy(dtype=float, na_value=np.nan)[order][start]
-    preds = np.concatenate([[np.nan if open_pred is None else open_pred], np.trunc(np.clip(pred, MIN_T_SIGNAL, 2 ** 31 - 1))])
-    ids = [open_id, *(cycle_id_for(reactor, pd.Timestamp(t)) for t in time[start])]
+    preds[number[start]] = np.trunc(np.clip(pred, MIN_T_SIGNAL, 2 ** 31 - 1))
+    for c, s in zip(opened.tolist(), old_states):
+        ids[c] = s[1]
+    for c, r, t in zip(number[start].tolist(), who[start].tolist(), time[start]):
+        ids[c] = cycle_id_for(names[r], pd.Timestamp(t))
 
     good = ~start & ~np.isnan(raw[:, -1]) & ~np.isnan(preds[number])
-    ticks = np.array([] if held is None else [list(t) for t in held], dtype=float).reshape(-1, len(TICK_FIELDS) + 1)
-    old = len(ticks)
-    of = np.concatenate([np.zeros(old, int), number[good]])  # cycle of each tick, old ones first
+    none = np.empty((0, len(TICK_FIELDS) + 1))
+    held = [none if s[2] is None else np.asarray(s[2], dtype=float).reshape(-1, len(TICK_FIELDS) + 1) for s in old_states]
+    n_held = np.array([len(h) for h in held], dtype=int)
+    ticks = np.concatenate([none, *held])
+    of = np.concatenate([np.repeat(opened, n_held), number[good]])       # cycle of each tick
+    by_cycle = np.argsort(of, kind="stable")                             # a cycle's old ticks first
+    of, is_old = of[by_cycle], by_cycle < len(ticks)
     first = np.searchsorted(of, of, side="left")
-    x = run_features_so_far(np.concatenate([ticks[:, :-1], raw[good]]), first)
+    x = run_features_so_far(np.concatenate([ticks[:, :-1], raw[good]])[by_cycle], first)
     here = np.arange(len(x))
     falls = np.concatenate([[False], x[1:, -1] < x[:-1, -1]])[:len(x)]
-    reset = (here >= old) & ((here == first) | falls)
+    reset = ~is_old & ((here == first) | falls)
     since = np.maximum.accumulate(np.where(reset, here, -1)) if len(x) else here
-    fill = np.where(since >= 0, here - since + 1, (ticks[-1, -1] if old else 0) + here - (old - 1))
+    before, filled = np.zeros(len(preds), int), np.zeros(len(preds))     # old ticks of a cycle, the last one's fill
+    before[opened], filled[opened] = n_held, [h[-1, -1] if len(h) else 0 for h in held]
+    fill = np.where(since >= first, here - since + 1, filled[of] + here - (first + before[of] - 1))
     fill = np.minimum(fill, WINDOW_SIZE)
-    fill[:old] = ticks[:, -1]
+    fill[is_old] = ticks[:, -1]
 
     z = x
     if scaler:
         mean, std = (np.array([scaler.get(c, (0.0, 1.0))[k] for c in TICK_FIELDS]) for k in (0, 1))
         known = np.array([c in scaler for c in TICK_FIELDS])
         z = np.where(known, np.clip((x - mean) / std, -SCALER_CLIP, SCALER_CLIP), x)
-    values, fills = np.full(raw.shape, np.nan), np.where(start, 0.0, np.nan)
-    values[good], fills[good] = x[old:], fill[old:]
+    values, fills, place = np.full(raw.shape, np.nan), np.where(start, 0.0, np.nan), np.zeros(len(raw), int)
+    place[good] = np.flatnonzero(~is_old)
+    values[good], fills[good] = x[place[good]], fill[place[good]]
     values[start, -1] = 0.0
-    place = np.cumsum(good) - 1 + old
     out = pd.DataFrame({
-        "reactor": reactor, "event_kind": np.where(start, "start", np.where(good, "tick", "skipped")), "event_time": time, "seq": seq,
-        "cycle_id": [ids[c] for c in number], "start_pred": np.where(start | good, preds[number], np.nan), "buffer_fill": fills, "x": list(values),
+        "reactor": np.array(names, dtype=object)[who], "event_kind": np.where(start, "start", np.where(good, "tick", "skipped")), "event_time": time,
+        "seq": seq, "cycle_id": [ids[c] for c in number.tolist()], "start_pred": np.where(start | good, preds[number], np.nan), "buffer_fill": fills,
+        "x": list(values),
         "window": [z[p - WINDOW_SIZE + 1:p + 1].ravel() if f == WINDOW_SIZE else None for p, f in zip(place.tolist(), fills.tolist())]})
 
-    last = number[-1] if len(batch) else 0
-    kept = np.flatnonzero(of == last)[-WINDOW_SIZE:]
-    rest = np.column_stack([x[kept], fill[kept]]).tolist()
-    return (None if np.isnan(preds[last]) else int(preds[last]), ids[last], rest), out
+    last, rest = opened + starts, np.column_stack([x, fill])
+    ends = np.searchsorted(of, last, side="right").tolist()
+    begins = np.searchsorted(of, last, side="left").tolist()
+    after = {n: (None if np.isnan(preds[c]) else int(preds[c]), ids[c], rest[max(lo, hi - WINDOW_SIZE):hi])
+             for n, c, lo, hi in zip(names, last.tolist(), begins, ends)}
+    return after, out
+
+
+def advance(reactor: str, state: tuple | None, batch: pd.DataFrame, scaler: Scaler | None = None) -> tuple[tuple, pd.DataFrame]:
+    """``advance_all`` for one reactor."""
+    after, out = advance_all({reactor: state}, batch.assign(reactor=reactor), scaler)
+    pred, cycle_id, ticks = after.get(reactor, state)
+    return (pred, cycle_id, ticks.tolist()), out
 
 
 class ControlProcessor(StatefulProcessor):
-    """ST1 per reactor: typed state in, one row an event out."""
+    """ST1 per lane of reactors: typed state a reactor in, one row an event out. A reactor's state is
+    an entry of its own, so a micro-batch reads and writes those of its own reactors alone."""
 
     def __init__(self, scaler: Scaler | None = None):
         self.scaler = scaler
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cycle = handle.getValueState("cycle", CYCLE_STATE)
+        self.cycles = handle.getMapState("cycles", REACTOR_KEY, CYCLE_STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = list(rows)                                    # one key's events of a bounded micro-batch
+        batch = list(rows)                                    # one lane's events of a bounded micro-batch
         batch = batch[0] if len(batch) == 1 else pd.concat(batch, ignore_index=True)
-        state, out = advance(key[0], self.cycle.get(), batch, self.scaler)
-        self.cycle.update(state)
+        states = {}
+        for r in batch["reactor"].unique():
+            r = None if pd.isna(r) else r
+            if (s := self.cycles.getValue((r,))) is not None:
+                states[r] = (s[0], s[1], np.frombuffer(s[2]))
+        after, out = advance_all(states, batch, self.scaler)
+        for r, (pred, cycle_id, ticks) in after.items():
+            self.cycles.updateValue((r,), (pred, cycle_id, ticks.tobytes()))
         yield out
 
     def close(self) -> None:
@@ -198,7 +239,7 @@ def control_steps(events: DataFrame, scaler: Scaler | None = None, dedupe_within
     if dedupe_within:
         events = (events.withColumn("_at", F.col("event_time").cast("timestamp")).withWatermark("_at", dedupe_within)
                   .dropDuplicatesWithinWatermark(["reactor", "event_kind", "event_time", "elapsed_time"]))
-    steps = packed_events(events).groupBy("reactor").transformWithStateInPandas(ControlProcessor(scaler), PACKED_SCHEMA, "append", "none")
+    steps = packed_events(events).groupBy("lane").transformWithStateInPandas(ControlProcessor(scaler), PACKED_SCHEMA, "append", "none")
     value = {c: F.nanvl(F.get("x", F.lit(i)), F.lit(None)) for i, c in enumerate(TICK_FIELDS)}
     whole = {"weekday", "elapsed_time"}
     return steps.select("reactor", "event_kind", "event_time", "seq", "cycle_id", value["elapsed_time"].cast("int").alias("elapsed_time"),

@@ -326,3 +326,43 @@ def test_audit_batch_replaces_itself(spark, tmp_path):
     append_audit(d, path, batch_id=3, partition_by=("date",))
     append_audit(d, path, batch_id=4, partition_by=("date",))
     assert {r["batch_id"]: r["count"] for r in spark.read.parquet(path).groupBy("batch_id").count().collect()} == {3: 10, 4: 10}
+
+
+def test_stream_lanes_equal_single_reactors(spark):
+    """ST1: a lane's reactors in one call give what a call a reactor gives, over several
+    micro-batches and with a null reactor; lanes, not reactors, bound the number of calls."""
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    from cyclekit.streaming.control import LANES, SENSOR_FIELDS, WINDOW_SIZE, advance, advance_all, packed_events
+
+    r, names = random.Random(8), ["A", "B", "C", None]
+    events = []
+    for n in names:
+        elapsed = 0
+        for i in range(60):
+            kind = "start" if r.random() < 0.06 else "tick"
+            elapsed = 0 if kind == "start" or r.random() < 0.03 else elapsed + 10
+            events.append({**dict.fromkeys(SENSOR_FIELDS), "event_kind": kind, "event_time": T0 + timedelta(minutes=i), "seq": i, "reactor": n,
+                           "elapsed_time": None if r.random() < 0.05 else elapsed, "start_pred_raw": r.choice([None, 90.5, 120.0]),
+                           "weekday": 1, **{c: None if r.random() < 0.1 else r.random() * 9 for c in ("nh4", "no3", "ph")}})
+    states, alone = {}, dict.fromkeys(names)
+    for lo, hi, who in ((0, 20, names), (20, 40, ["A", None]), (40, 60, names)):
+        part = [e for e in events if lo <= e["seq"] < hi and e["reactor"] in who]
+        after, out = advance_all(states, packed(r.sample(part, len(part))), {"nh4": (3.0, 2.0)})
+        assert set(after) == set(who)
+        states |= after
+        for n in who:
+            alone[n], want = advance(n, alone[n], packed([e for e in part if e["reactor"] == n]), {"nh4": (3.0, 2.0)})
+            got = out[out["reactor"].isna() if n is None else out["reactor"] == n].reset_index(drop=True)
+            assert list(states[n][:2]) == list(alone[n][:2]) and states[n][2].tolist() == alone[n][2] or np.array_equal(
+                states[n][2], np.array(alone[n][2]), equal_nan=True)
+            assert len(got) == len(want) and len(states[n][2]) <= WINDOW_SIZE
+            for c in set(want.columns) - {"reactor"}:
+                for x, y in zip(got[c], want[c]):
+                    assert np.array_equal(x, y, equal_nan=True) if isinstance(y, np.ndarray) else pd.isna(x) and pd.isna(y) or x == y, c
+    wide = spark.range(4 * LANES).selectExpr("cast(id as string) reactor", "'tick' event_kind", "timestamp_ntz'2024-01-01 00:00:00' event_time",
+                                             "id seq", "0D start_pred_raw", "0 elapsed_time", "0 weekday", *[f"0D {c}" for c in SENSOR_FIELDS])
+    assert packed_events(wide).select("lane").distinct().count() <= LANES
