@@ -255,12 +255,13 @@ class MultiIndex:
             run, "aid long, own long, label int, vec array<long>, skip int")
 
     def found(self, queries: DataFrame, keep: int) -> DataFrame:
-        """One pass: ``queries`` (QUERY) -> aid, place, id, score."""
+        """One pass: ``queries`` (QUERY) -> aid, place, id, score. Blocks hold all vectors and must not
+        be broadcast through the driver: their files are small, their rows are not."""
         groups = F.pmod(F.xxhash64("aid"), F.lit(max(1, -(-self.n // (100 * GROUP))))).alias("g")
         packed = queries.groupBy(groups).agg(F.collect_list(F.struct(*[f.split()[0] for f in QUERY.split(", ")])).alias("members")).select("members")
         members = "array<struct<" + ",".join(f.replace(" ", ":") for f in QUERY.split(", ")) + ">>"
         visits = packed.mapInArrow(_visits(self.cells, self.width), f"cell int, chunk int, members {members}")
-        return visits.join(self.blocks, ["cell", "chunk"]).select("members", "rows").mapInArrow(
+        return visits.join(self.blocks.hint("merge"), ["cell", "chunk"]).select("members", "rows").mapInArrow(
             _scored(self.width, keep, self.exact), "aid long, place int, id long, score long")
 
 

@@ -218,3 +218,19 @@ def test_cells_come_by_falling_bound_and_bounds_hold():
             assert set(cell[scores >= floor].tolist()) <= seen
             first = len(list(cells.visit(q, 0, None)))
             assert set(cells.visit(q, first, int(floor))) == set(list(cells.visit(q, 0, int(floor)))[first:])
+
+
+def test_blocks_of_vectors_are_not_broadcast(spark):
+    """The blocks hold every vector: no join may send them through the driver."""
+    from pyspark.sql import functions as F
+
+    from cyclekit.llm import hard_negatives as H
+
+    rows = spark.range(400).selectExpr("id", "cast(id % 10 as int) as label", "transform(sequence(1, 8), i -> cast(pmod(hash(id, i), 512) - 256 as bigint)) as vec")
+    index = H.MultiIndex(rows)
+    empty = F.array().cast("array<long>")
+    asked = index.opened(rows.where("id % 100 = 0"))
+    found = index.found(asked.select("aid", "own", "label", "vec", F.lit(0).alias("skip"), F.lit(None).cast("long").alias("floor"),
+                                     empty.alias("high"), empty.alias("low")), 5)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() > 0
