@@ -75,17 +75,20 @@ def build_dataset(aligned: DataFrame, spec: SeriesSpec, current_col: str = "curr
                   sentinel=SENTINEL_VALUE, spike_k: float = NO3_SPIKE_STD_THRESHOLD,
                   spike_abs: float | None = NO3_ABSOLUTE_THRESHOLD, interp_cols: list[str] = INTERP_COLS,
                   clean_temp_first: bool = False, clean_no3_sentinel: bool = False,
-                  step: int = STEP_MINUTES, checkpoint: bool = False) -> DataFrame:
+                  step: int = STEP_MINUTES, checkpoint: bool = False, staged: bool = False) -> DataFrame:
     """Step feature table. ``aligned`` has spec.keys, spec.order, nh4, no3, ph,
     temp and ``current_col``; NaN counts as missing. One lazy plan: nothing is written
     unless ``checkpoint=True`` asks for the cleaned series and the final table as stage
     tables in the shared checkpoint folder, which a caller with many uses of the step
     table wants. Options: ``clean_temp_first`` (V4: temp sentinel
-    nulled before do_saturation) and ``clean_no3_sentinel`` (V5)."""
+    nulled before do_saturation) and ``clean_no3_sentinel`` (V5). ``staged=True`` writes the
+    despiked series alone: the carry scan reads it twice and would else number, sort and clean
+    the whole source twice."""
     o = BuildOptions(current_col, threshold, tuple(sentinel_cols), sentinel, spike_k, spike_abs, tuple(interp_cols),
                      clean_temp_first, clean_no3_sentinel, step)
     d = flagged(with_position(aligned, spec), o)
-    d = segmented(scanned(despiked(d, spec, o), spec, o), o)
+    d = materialize(despiked(d, spec, o), staged)
+    d = segmented(scanned(d, spec, o), o)
     d = materialize(d, checkpoint)      # cleaned, segmented series: stage boundary
     return materialize(featured(d, spec, o), checkpoint)   # the step feature table
 

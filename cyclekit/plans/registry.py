@@ -64,8 +64,8 @@ def raw_segmented(spark: SparkSession, sf: str) -> DataFrame:
     return cycles.cycle_columns(cycles.add_flag(e, "value", 10.0, out="f"), SPEC, flag="f")
 
 
-def steps(spark: SparkSession, sf: str) -> DataFrame:
-    return SI.steps(spark, sf)
+def steps(spark: SparkSession, sf: str, staged: bool = False) -> DataFrame:
+    return SI.steps(spark, sf, staged)
 
 
 def starts_of(st: DataFrame) -> DataFrame:

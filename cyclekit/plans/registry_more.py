@@ -146,8 +146,9 @@ def _split(d: DataFrame) -> DataFrame:
              .withColumn("is_val", ts >= F.lit(VALID_FROM).cast("timestamp_ntz")))
 
 
-def _start_frame(spark, sf) -> DataFrame:
-    d = starts_of(steps(spark, sf)).select("user_id", "event_id", "ts", *START_FEATS, "cycle_runtime")
+def _start_frame(spark, sf, st: DataFrame | None = None) -> DataFrame:
+    st = steps(spark, sf, staged=True) if st is None else st
+    d = starts_of(st).select("user_id", "event_id", "ts", *START_FEATS, "cycle_runtime")
     return materialize(_split(d))       # fits and audits read it many times
 
 
@@ -155,19 +156,20 @@ def _fit_start(d: DataFrame):
     return models.fit_contract(d.filter(F.col("split") == "train"), START_SPEC, ML_PARAMS, validation_col="is_val")
 
 
-def _start_model(spark, sf):
-    store, d = model_store(spark, sf), _start_frame(spark, sf)
+def _start_model(spark, sf, st: DataFrame | None = None):
+    """(saved start model, start rows); ``st`` is the step table, if the caller has it staged."""
+    store, d = model_store(spark, sf), _start_frame(spark, sf, st)
     if not store.versions("start"):
         store.save("start", _fit_start(d), START_SPEC, split=SPLIT)
     return store.load("start").model, d
 
 
-def _window_frame(spark, sf, scaler: dict | None) -> tuple[DataFrame, dict]:
+def _window_frame(spark, sf, scaler: dict | None, st: DataFrame | None = None) -> tuple[DataFrame, dict]:
     """Flattened scaled windows (``flat``) of every on-row that has one; the scaler is fitted on
     the training rows unless given."""
     from ..operators.features import apply_scaler, fit_scaler, sliding_sequences, window_matrix
-    from .registry import run_cycles
-    full = materialize(run_cycles(spark, sf))
+    from ..operators.cycles import run_cycle_no
+    full = run_cycle_no(materialize(steps(spark, sf, staged=True)) if st is None else st)
     on = full.filter(F.col("current_aeration") == 1)
     params = scaler or fit_scaler(on.filter(F.col("ts") < F.lit(SPLIT_AT).cast("timestamp_ntz")), STEP_FEATS)
     z = [f"{c}_z" for c in STEP_FEATS]
@@ -176,16 +178,16 @@ def _window_frame(spark, sf, scaler: dict | None) -> tuple[DataFrame, dict]:
     return materialize(_split(flat)), params
 
 
-def _step_model(spark, sf):
+def _step_model(spark, sf, st: DataFrame | None = None):
     store = model_store(spark, sf)
     if not store.versions("step"):
-        d, scaler = _window_frame(spark, sf, None)
+        d, scaler = _window_frame(spark, sf, None, st)
         WINDOW_SPEC.assert_valid()
         model = models.fit_window_model(d.filter(F.col("split") == "train"), "flat", WINDOW_SPEC.target, ML_PARAMS, validation_col="is_val")
         store.save("step", model, WINDOW_SPEC, scaler, SPLIT)
         return store.load("step"), d
     saved = store.load("step")
-    return saved, _window_frame(spark, sf, saved.scaler)[0]
+    return saved, _window_frame(spark, sf, saved.scaler, st)[0]
 
 
 @register("cycle_model_scores")
@@ -324,11 +326,11 @@ def model_replay(spark, sf) -> tuple[DataFrame, DataFrame]:
     from ..operators import control
     from ..operators.series import join_small
     from .registry import SPEC
-    st = materialize(steps(spark, sf))
-    model, d = _start_model(spark, sf)
+    st = materialize(steps(spark, sf, staged=True))       # one build for the starts, the windows and the replay
+    model, d = _start_model(spark, sf, st)
     scored = models.score(model, d.filter(F.col("split") == "test"), "start_model_pred").select(
         "user_id", "ts", "event_id", "cycle_runtime", "start_model_pred")
-    saved, windows = _step_model(spark, sf)
+    saved, windows = _step_model(spark, sf, st)
     ahead = models.score_windows(saved.model, windows, "flat", "step_model_pred").select("user_id", POS, "step_model_pred")
     st = join_small(st, ahead, ["user_id", POS], "left")
     rep = control.replay(st, scored, SPEC, "start_model_pred", F.col("step_model_pred"))
@@ -369,19 +371,14 @@ def control_events(spark, sf, drop_features: bool = False) -> DataFrame:
     elapsed 0, carrying the start model's raw prediction) and one tick per on-row.
     Every on-row belongs to a run that starts at elapsed 0, so these are exactly
     the cycles the batch back-test replays."""
-    rep = steps(spark, sf).filter(F.col("current_aeration") == 1)
-    sensors = [F.col(c).cast("double").alias(c) for c in ST.SENSOR_FIELDS]
-    base = [F.col("ts").alias("event_time"), F.col("event_id").alias("seq"),
-            F.col("user_id").cast("string").alias("reactor")]
-    ticks = rep.select(F.lit("tick").alias("event_kind"), *base, F.col("elapsed_time").cast("int"),
-                       F.lit(None).cast("double").alias("start_pred_raw"), *sensors, F.col("weekday").cast("int"))
-    if drop_features:
-        ticks = ticks.withColumns({c: F.lit(None).cast("double") for c in
-                                   ["nh4_diff", "no3_diff", "ph_diff", "nh4_decay_rate", "nh4_rolling_mean"]})
-    starts = rep.filter(F.col("elapsed_time") == 0).select(
-        F.lit("start").alias("event_kind"), *base, F.lit(0).alias("elapsed_time"),
-        SI.start_pred_expr().alias("start_pred_raw"), *sensors, F.col("weekday").cast("int"))
-    return starts.unionByName(ticks).select(*[f.name for f in ST.EVENT_SCHEMA.fields])
+    kinds = F.when(F.col("elapsed_time") == 0, F.array(F.lit("start"), F.lit("tick"))).otherwise(F.array(F.lit("tick")))
+    rep = steps(spark, sf, staged=True).filter(F.col("current_aeration") == 1).withColumn("event_kind", F.explode(kinds))     # one pass over the step table
+    tick = F.col("event_kind") == "tick"
+    dropped = set(ST.RUN_FEATURES) if drop_features else set()
+    sensors = [(F.when(~tick, F.col(c)) if c in dropped else F.col(c)).cast("double").alias(c) for c in ST.SENSOR_FIELDS]
+    events = rep.select("event_kind", F.col("ts").alias("event_time"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("reactor"),
+                        F.col("elapsed_time").cast("int"), F.when(~tick, SI.start_pred_expr()).alias("start_pred_raw"), *sensors, F.col("weekday").cast("int"))
+    return events.select(*[f.name for f in ST.EVENT_SCHEMA.fields])
 
 
 SLICES = 3       # time slices that a stream query's events come in, a micro-batch each
@@ -570,13 +567,14 @@ MONTH_FROM = ["2024-01-01 00:00:00", "2024-01-11 00:00:00", "2024-01-21 00:00:00
 def month_files(spark, sf) -> tuple[dict[int, str], dict[int, str]]:
     """The stand-in's source files: quality and current tables of three periods."""
     d = SI.aligned(spark, sf)
-    quality, current = {}, {}
+    period = F.lit(None).cast("int")
     for k, (a, b) in enumerate(zip(MONTH_FROM, MONTH_FROM[1:]), 1):
-        part = d.filter((F.col("ts") >= F.lit(a).cast("timestamp_ntz")) & (F.col("ts") < F.lit(b).cast("timestamp_ntz")))
-        quality[k], current[k] = scratch_path(spark, f"quality-{k}"), scratch_path(spark, f"current-{k}")
-        part.drop("current_r").write.parquet(quality[k])
-        part.select("user_id", "ts", "event_id", "current_r").write.parquet(current[k])
-    return quality, current
+        period = F.when((F.col("ts") >= F.lit(a).cast("timestamp_ntz")) & (F.col("ts") < F.lit(b).cast("timestamp_ntz")), k).otherwise(period)
+    part = d.withColumn("period", period).filter("period is not null")
+    root = {"quality": scratch_path(spark, "quality"), "current": scratch_path(spark, "current")}
+    part.drop("current_r").write.partitionBy("period").parquet(root["quality"])        # all periods in one pass over the source
+    part.select("user_id", "ts", "event_id", "current_r", "period").write.partitionBy("period").parquet(root["current"])
+    return tuple({k: f"{path}/period={k}" for k in range(1, len(MONTH_FROM))} for path in root.values())
 
 
 def incremental_steps(spark, sf) -> DataFrame:

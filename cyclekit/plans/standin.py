@@ -44,8 +44,8 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
                     v.alias("current_r"))
 
 
-def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_dataset(aligned(spark, sf_dir), SPEC, current_col="current_r", threshold=ON_THRESHOLD)
+def steps(spark: SparkSession, sf_dir: str, staged: bool = False) -> DataFrame:
+    return build_dataset(aligned(spark, sf_dir), SPEC, current_col="current_r", threshold=ON_THRESHOLD, staged=staged)
 
 
 def start_pred_expr() -> F.Column:
