@@ -69,7 +69,7 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at - 1, pa.int32()), pa.array(c[at])], names=["lang", "bucket", "n"])
         sums.clear()
     for batch in batches:
-        for part in X.slices(batch, "text"):
+        for part in X.slices(batch, "text", 4 * X.SLICE_BYTES):
             buf, off = X.text_buffer(part.column("text"))
             bucket, n = _grams(buf, off)
             labels = part.column("lang").dictionary_encode()
@@ -111,7 +111,7 @@ def train_text_model(labelled: DataFrame, text_col: str = "text", lang_col: str
 def _scored(size: int, model: TextModel, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in X.slices(batch, "text", X.SLICE_BYTES // 2):
+            for part in X.slices(batch, "text", 2 * X.SLICE_BYTES):
                 buf, off = X.text_buffer(part.column("text"))
                 bucket, n = _grams(buf, off)
                 rows = np.zeros((part.num_rows, size))

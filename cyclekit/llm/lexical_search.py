@@ -72,7 +72,7 @@ def _restricted(known: np.ndarray, number: np.ndarray):
     left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in X.slices(batch, "text"):
+            for part in X.slices(batch, "text", 4 * X.SLICE_BYTES):
                 h, first = term_hashes(part.column("text"))
                 n = np.diff(first)
                 at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))

@@ -28,6 +28,7 @@ Sets are the distinct word 5-grams of a text. Two sets link when
 Identities are 64-bit hashes of whole sets; shingles are 64-bit hashes."""
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -142,12 +143,15 @@ def _survey(k: int, share: float, chunk: int = 2_000_000):
             [pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen, total = [], set(), 0
+        held, seen, total = np.empty(chunk, np.uint64), set(), 0
 
         def common() -> pa.RecordBatch:
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            keep = c >= max(4, share / 2 * len(held))
-            return rows({"shingle": u[keep].view(np.int64), "texts": c[keep]}, int(keep.sum()))
+            s = held[:total]
+            s.sort()                             # in place; a run of ``least`` equal values is a common shingle
+            least = max(4, math.ceil(share / 2 * len(seen)))
+            u = np.unique(s[least - 1:][s[least - 1:] == s[:max(0, total - least + 1)]])
+            c = np.searchsorted(s, u, side="right") - np.searchsorted(s, u)
+            return rows({"shingle": u.view(np.int64), "texts": c}, len(u))
 
         for batch in batches:
             out = {"id": [], "n": [], "sid": [], "sketch": []}
@@ -156,14 +160,16 @@ def _survey(k: int, share: float, chunk: int = 2_000_000):
                 for name, v in zip(out, (i, len(s), sid, bit_sketch(s) if len(s) else b"")):
                     out[name].append(v)
                 if len(s) and sid not in seen:
+                    if total + len(s) > chunk and total:
+                        yield common()
+                        seen, total = set(), 0
+                    if len(s) > len(held):
+                        held = np.empty(len(s), np.uint64)
+                    held[total:total + len(s)] = s
                     seen.add(sid)
-                    held.append(s)
                     total += len(s)
-                    if total > chunk:
-                        yield common()
-                        held, seen, total = [], set(), 0
             yield rows(out, len(out["id"]))
-        if held:
+        if total:
             yield common()
 
     return run, "id long, n long, sid long, sketch binary, shingle long, texts long"

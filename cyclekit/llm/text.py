@@ -3,8 +3,9 @@
 A word is a maximal run of bytes other than the six ASCII white-space bytes
 (``[^\\x20\\x09-\\x0D]+``). Those bytes never occur inside a multi-byte UTF-8
 sequence, so working on bytes gives the same words as working on characters. Whole texts
-are processed; a batch is cut into slices of a few MB so that memory stays bounded
-by the slice (or by one text, when a single text is larger)."""
+are processed; a batch is cut into slices of half a MB, hashed in chunks of 128 KB, so that memory
+stays bounded by the slice (or by one text, when a single text is larger): a slice needs
+arrays of many times its bytes, and a reused worker keeps much of what it once took."""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -12,9 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
-HASH_CHUNK = 1 << 20
+SLICE_BYTES = 512 << 10
+HASH_CHUNK = 1 << 17
 SHINGLE = 5
 
 _U = np.uint64
@@ -62,8 +64,8 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive row slices whose texts hold about ``limit`` bytes each (one text at least)."""
-    i = batch.schema.get_field_index(column)
-    _, off = text_buffer(batch.column(i))
+    size = pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0)
+    off = np.concatenate([[0], np.cumsum(size.to_numpy(zero_copy_only=False), dtype=np.int64)])
     start, n = 0, batch.num_rows
     while start < n:
         stop = int(np.searchsorted(off, off[start] + limit, side="left"))

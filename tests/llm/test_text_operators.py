@@ -2,7 +2,9 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -326,3 +328,36 @@ def test_bpe_equals_tiktoken(spark, documents, no_documents):
     assert byte_bpe.fold(b"ab" * 40, ranks) == coder._core_bpe.encode_single_piece(b"ab" * 40)
     back = spark.range(1).select(byte_bpe.decode(F.lit(None).cast("array<int>"), ranks).alias("b")).first()
     assert back.b is None
+
+
+@pytest.mark.parametrize("step", ["measures", "survey", "postings", "shingles"])
+def test_a_worker_holds_little_beside_its_batch(step):
+    """A reused worker keeps what a task took, and shares the executor's memory with the JVM."""
+    r = np.random.default_rng(3)
+    texts = [" ".join(map(str, r.integers(1 << 40, size=1200))) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    run = {"measures": lambda b: quality_rules._measure(next(b), "text"), "survey": ngram_join._survey(5, 0.002)[0],
+           "postings": ngram_join._postings(5, Fraction(4, 5), np.zeros(0, np.uint64))[0], "shingles": ngram_join._shingle_rows(5)[0]}[step]
+    X._POW.clear()
+    tracemalloc.start()
+    try:
+        for out in run(iter([batch])):
+            del out
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 56 << 20
+
+
+def test_survey_counts_the_shingles_that_several_texts_share():
+    shared = [f"s{i}" for i in range(9)]
+    texts = [" ".join([*shared, *(f"t{t}w{i}" for i in range(20 + t))]) for t in range(6)] + ["a b c d e f"] * 9 + ["", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    found = [b.to_pylist() for b in ngram_join._survey(5, 0.002)[0](iter([batch]))]
+    common = [r for b in found for r in b if r["shingle"] is not None]
+    w = X.words(pa.array([" ".join(shared)]))
+    assert {r["shingle"]: r["texts"] for r in common} == dict.fromkeys(
+        X.window_hashes(X.word_hashes(w)).view(np.int64).tolist(), 6)
+    # chunks that are full are counted by themselves; texts above the chunk too
+    again = [r for b in ngram_join._survey(5, 0.002, chunk=3)[0](iter([batch])) for r in b.to_pylist()]
+    assert not [r for r in again if r["shingle"] is not None] and sum(r["sid"] is not None for r in again) == len(texts)
