@@ -3,10 +3,11 @@
 ``fold_words`` is the named form: Spark higher-order functions fold the ranked merges
 over the byte array of each distinct word, against a rank map held as a literal (hash
 buckets of small maps, because a Spark map is searched linearly). ``encode`` applies the
-same fold inside Arrow batches to the distinct words a task meets; it is the form that
-meets the resource limits on whole corpora, where mapping each of the words back to its
-place in the texts would need a shuffle of every word (see README). ``decode`` is the
-higher-order form: the ids pick pieces from a literal table and are concatenated.
+same fold inside Arrow batches to the distinct words a task meets, all new words of a slice
+of texts side by side; it is the form that meets the resource limits on whole corpora, where
+mapping each of the words back to its place in the texts would need a shuffle of every word
+(see README). ``decode`` is the higher-order form: the ids pick pieces from a literal table
+and are concatenated.
 
 A text is cut into pieces by the given pattern, each piece is merged by itself, without
 special tokens. Pieces that are a token themselves are that token. Null and empty texts
@@ -17,9 +18,10 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import sys
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,11 @@ from . import text as X
 
 CACHE_WORDS = 200_000       # distinct words a worker remembers; forgotten ones are folded again
 CACHE_PIECE = 256           # longer pieces are never remembered
-GROUP = 100_000             # pieces of a text handled at once
+GROUP = 150_000             # pieces handled at once, and those of the text that fills the group
+LONG_TEXT = 1 << 20         # longer texts are cut into several groups
+SHORT = 48                  # bytes of a piece that is folded beside others, or with a plain list
+SIDE = 4096                 # pieces folded side by side
+NONE = np.int32(2**31 - 1)  # no merge
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,7 +50,7 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Merge the lowest-ranked neighbours (leftmost on a tie) until none is left."""
     if word in ranks:
         return [ranks[word]]
-    if len(word) > 48:
+    if len(word) > SHORT:
         return _fold_long(word, ranks)
     parts = [word[i:i + 1] for i in range(len(word))]
     scores = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
@@ -86,20 +92,120 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class _Pairs:
+    """All pairs of tokens that merge, in a hash table with linear probing. Tokens are
+    numbered by rank, so of two merges the one with the smaller number goes first."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = sorted(ranks, key=ranks.get)
+        number = {t: i for i, t in enumerate(tokens)}
+        found = np.fromiter(((a, b, i) for i, t in enumerate(tokens) for j in range(1, len(t))
+                             if (a := number.get(t[:j])) is not None and (b := number.get(t[j:])) is not None),
+                            np.dtype((np.int64, 3)))
+        left, right, merged = found.T
+        self.single = np.array([number[bytes([i])] for i in range(256)], np.int32)
+        self.rank = np.array([ranks[t] for t in tokens], np.int32)
+        self.bits = (2 * len(found) + 256).bit_length()
+        self.key, self.merged = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int32)
+        key = left << 32 | right
+        slot, todo = self._slot(key), np.arange(len(key))
+        while len(todo):
+            free = todo[self.key[slot[todo]] < 0]
+            self.key[slot[free]] = key[free]
+            todo = todo[self.key[slot[todo]] != key[todo]]
+            slot[todo] = (slot[todo] + 1) % len(self.key)
+        self.merged[slot] = merged
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The number of each pair's merged token, or ``NONE``."""
+        key = left.astype(np.int64) << 32 | right
+        slot = self._slot(key)
+        held = self.key[slot]
+        out = np.where(held == key, self.merged[slot], NONE)
+        other = np.flatnonzero((held != key) & (held >= 0))
+        while len(other):
+            slot[other] = (slot[other] + 1) % len(self.key)
+            held = self.key[slot[other]]
+            out[other[held == key[other]]] = self.merged[slot[other]][held == key[other]]
+            other = other[(held != key[other]) & (held >= 0)]
+        return out
+
+
+def _fold_side_by_side(words: list[bytes], pairs: _Pairs) -> list[bytes]:
+    """``fold`` of many pieces of 2 to ``SHORT`` bytes that are no token themselves, as
+    packed ids. Column w of the arrays is word w, row i its part that begins at byte i; a
+    round does the next merge of every word that has one."""
+    n, sizes = len(words), np.array(list(map(len, words)))
+    width = int(sizes.max())
+    row = np.arange(width + 1)[:, None]
+    letters = np.zeros((n, width), np.uint8)
+    letters[row[:-1].T < sizes[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+    letters = letters.T
+    part = pairs.single[letters]
+    after, before = np.repeat(row + 1, n, 1).astype(np.int8), np.repeat(row - 1, n, 1).astype(np.int8)
+
+    def order(left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        merged = pairs.get(left, right)             # the lowest rank first, then the leftmost
+        return np.where(merged == NONE, NONE, merged << 6 | at)
+
+    first = order(part[:-1].ravel(), part[1:].ravel(), np.repeat(np.arange(width - 1, dtype=np.int32), n)).reshape(width - 1, n)
+    first[row[1:-1] >= sizes] = NONE
+    while len(w := np.flatnonzero((best := first.min(axis=0)) != NONE)):
+        best = best[w]
+        i, new = best & 63, best >> 6
+        j = after[i, w]
+        k = after[j, w]
+        part[i, w], part[j, w] = new, -1
+        after[i, w], before[k, w] = k, i
+        at = np.minimum(j, width - 2)                # the last part begins no pair
+        first[at, w] = np.where(j == at, NONE, first[at, w])
+        first[i, w] = NONE
+        x = np.flatnonzero(k < sizes[w])
+        first[i[x], w[x]] = order(new[x], part[k[x], w[x]], i[x])
+        x = np.flatnonzero(i > 0)
+        h = before[i[x], w[x]]
+        first[h, w[x]] = order(part[h, w[x]], new[x], h.astype(np.int32))
+    left = (part >= 0) & (row[:-1] < sizes)
+    packed = pairs.rank[part.T[left.T]].tobytes()
+    ends = (4 * np.cumsum(left.sum(axis=0))).tolist()
+    return [packed[a:b] for a, b in pairwise([0, *ends])]
+
+
 class _Cache(dict):
     """piece -> its ids as packed 32-bit integers."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
+        plain = all(bytes([i]) in ranks for i in range(256)) and len(set(ranks.values())) == len(ranks) < 1 << 25
+        self.pairs = _Pairs(ranks) if plain else None
 
     def __missing__(self, piece: str) -> bytes:
         packed = np.array(fold(piece.encode("utf-8"), self.ranks), np.int32).tobytes()
-        if len(piece) <= CACHE_PIECE:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
+        if len(piece) <= CACHE_PIECE and len(self) < CACHE_WORDS:
             self[piece] = packed
         return packed
 
+    def learn(self, pieces: set[str]) -> None:
+        """Take up the new ones among the pieces, folded side by side. Long ones, and all of a
+        rank file without some single byte or with a rank given twice, wait for their turn."""
+        new = pieces.difference(self)
+        if len(self) + len(new) > CACHE_WORDS:       # the others are forgotten
+            kept = {p: self[p] for p in pieces if p in self}
+            self.clear()
+            self.update(kept)
+        if self.pairs is None:
+            return
+        words = dict(zip(map(str.encode, new), new))
+        for word in words.keys() & self.ranks.keys():
+            self[words.pop(word)] = self.ranks[word].to_bytes(4, sys.byteorder, signed=True)
+        short = sorted((w for w in words if 1 < len(w) <= SHORT), key=len)
+        for a in range(0, len(short), SIDE):         # words of about one length share an array
+            some = short[a:a + SIDE]
+            self.update(zip([words[w] for w in some], _fold_side_by_side(some, self.pairs)))
+
 
 _WORKER: dict[int, _Cache] = {}
 
@@ -112,18 +218,36 @@ def _encoder(ranks: dict[bytes, int], pattern: str) -> Callable:
         if key not in _WORKER:
             _WORKER[key] = _Cache({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())})
         cache, cut = _WORKER[key], regex.compile(pattern)
+
+        def known(texts: list[str | None]) -> Iterator[list[str] | None]:
+            """The pieces of the texts, which the cache has taken up; None where a text ends."""
+            held, n = [], 0
+            for text in texts:
+                if text and len(text) > LONG_TEXT:
+                    found = cut.finditer(text)
+                    cuts = iter(lambda: [m[0] for m in islice(found, GROUP)], [])
+                else:
+                    cuts = [cut.findall(text or "")]
+                for pieces in cuts:
+                    held.append(pieces)
+                    n += len(pieces)
+                    if n >= GROUP:
+                        cache.learn(set(chain.from_iterable(p for p in held if p)))
+                        yield from held
+                        held, n = [], 0
+                held.append(None)
+            cache.learn(set(chain.from_iterable(p for p in held if p)))
+            yield from held
+
         for batch in batches:
             for part in X.slices(batch, "text"):
                 ids, offsets, total = [], [0], 0
-                for text in part.column("text").to_pylist():
-                    found = cut.finditer(text or "")
-                    while pieces := [m[0] for m in islice(found, GROUP)] if len(text or "") > 1 << 20 else cut.findall(text or ""):
-                        packed = b"".join([cache[p] for p in pieces])
-                        ids.append(packed)
-                        total += len(packed) // 4
-                        if len(text) <= 1 << 20:
-                            break
-                    offsets.append(total)
+                for pieces in known(part.column("text").to_pylist()):
+                    if pieces is None:
+                        offsets.append(total)
+                        continue
+                    ids.append(b"".join(map(cache.__getitem__, pieces)))
+                    total += len(ids[-1]) // 4
                 flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
                 columns = [c for i, c in enumerate(part.columns) if part.schema.names[i] != "text"]

@@ -330,6 +330,51 @@ def test_bpe_equals_tiktoken(spark, documents, no_documents):
     assert back.b is None
 
 
+def test_bpe_folds_the_new_pieces_of_a_slice_side_by_side(monkeypatch):
+    """One by one only pieces of more than 48 bytes; with a cache that forgets, and a text cut in groups."""
+    import public_tokenizers as tokenizers
+    import tiktoken
+
+    ranks = byte_bpe.read_ranks(tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    coder = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r, one_by_one, fold = np.random.default_rng(5), [], byte_bpe.fold
+    letters = [list("etaoinshrdlu"), list("éàbç中文字Ⅷ😀\x00\x85"), list("ab")]
+
+    def text(n):
+        return " ".join("".join(r.choice(letters[k % 3], size=r.integers(1, 30))) for k in range(n))
+
+    texts = [None, "", "a" * 48 + "b" * 9 + " " + "é" * 24, "x", *(text(400) for _ in range(6)), text(20_000) + " word" * 210_000]
+    texts += texts[2:6]
+    assert max(len(t or "") for t in texts) > 1 << 20
+    monkeypatch.setattr(byte_bpe, "_WORKER", {})
+    monkeypatch.setattr(byte_bpe, "CACHE_WORDS", 3000)
+    monkeypatch.setattr(byte_bpe, "fold", lambda word, ranks: one_by_one.append(word) or fold(word, ranks))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["k0", "text"])
+    got = [x for b in byte_bpe._encoder(ranks, tokenizers.PATTERN)(iter([batch])) for x in b.column("ids").to_pylist()]
+    assert got == [coder.encode_ordinary(t or "") for t in texts]
+    assert all(len(word) > 48 for word in one_by_one)
+
+
+@pytest.mark.parametrize("tokens", [0, 40, 600])
+def test_bpe_side_by_side_equals_one_by_one(tokens):
+    """Any rank file: ranks here are dealt at random, so a merge may make a pair of a lower rank."""
+    r = np.random.default_rng(tokens)
+
+    def word(least, most):
+        return bytes(r.choice(list(b"abcd"), size=r.integers(least, most)).astype(np.uint8))
+
+    made = {word(2, 9) for _ in range(tokens)}
+    order = r.permutation(256 + len(made)).tolist()
+    ranks = dict(zip([*(bytes([i]) for i in range(256)), *sorted(made)], [3 * i for i in order]))
+    words_ = sorted({w for w in (word(2, 49) for _ in range(3000)) if w not in ranks} | {b"ab" * 24, b"\x00\xff"}, key=len)
+    got = byte_bpe._fold_side_by_side(words_, byte_bpe._Pairs(ranks))
+    assert [np.frombuffer(b, np.int32).tolist() for b in got] == [byte_bpe.fold(w, ranks) for w in words_]
+    for odd in ({t: i for t, i in ranks.items() if t != b"z"}, ranks | {b"z": ranks[b"a"]}):
+        cache = byte_bpe._Cache(odd)
+        cache.learn({"abcd", "abab"})
+        assert [np.frombuffer(cache[w], np.int32).tolist() for w in ("abcd", "abab")] == [byte_bpe.fold(w, odd) for w in (b"abcd", b"abab")]
+
+
 @pytest.mark.parametrize("step", ["measures", "survey", "postings", "shingles"])
 def test_a_worker_holds_little_beside_its_batch(step):
     """A reused worker keeps what a task took, and shares the executor's memory with the JVM."""
